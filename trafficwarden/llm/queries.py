@@ -1,9 +1,12 @@
 """Registry of the training-data queries and of the SQL that checks them."""
 
-from trafficwarden.llm import decontaminate
+from trafficwarden.llm import decontaminate, language, neardup, packing
 
 QUERIES = {
+    "op5_packing": packing.op5_packing,
+    "op6_language": language.op6_language,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_neardup": neardup.op10_neardup,
 }
 
 ORACLE_SQL = {
