@@ -1,11 +1,65 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: language, near duplicates, benchmark passages, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the
+last return the columns of documents. Columns of docs may be null, and docs may be empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trafficwarden.llm import decontaminate, language, neardup, packing, pii
+from trafficwarden.llm.common import materialise
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language isn't rejected; lang becomes the predicted one."""
+    found = language.identify(docs, language.fit(docs), found="_language").filter(~F.col("_language.rejected"))
+    return found.withColumn("lang", F.col("_language.lang")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return neardup.near_duplicates(docs).filter("keep").select(*docs.columns)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = decontaminate.find_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), found="_found")
+    return found.filter(F.size("_found.hits") == 0).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind in brackets; n_chars follows the text."""
+    found = pii.find_private(docs, pii.fit(docs), found="_private")
+    changed = F.size("_private.spans") > 0
+    found = found.withColumn("n_chars", F.when(changed, F.length("_private.redacted").cast("long")).otherwise(F.col("n_chars")))
+    return found.withColumn("text", F.col("_private.redacted")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 ids."""
+    return packing.crc32(packing.pack(docs))
+
+
+STAGES = [
+    ("language", by_language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", benchmark_free),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
+
+#: Not expressible in SQL; the tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs, name)
     return docs

@@ -1,10 +1,12 @@
 """Registry of the training-data queries and of the SQL that checks them."""
 
-from trafficwarden.llm import decontaminate, language, neardup, packing
+from trafficwarden.llm import decontaminate, html_text, language, neardup, packing, pii
 
 QUERIES = {
+    "op4_html": html_text.op4_html,
     "op5_packing": packing.op5_packing,
     "op6_language": language.op6_language,
+    "op8_pii": pii.op8_pii,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_neardup": neardup.op10_neardup,
 }
