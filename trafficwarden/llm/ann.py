@@ -3,7 +3,8 @@
 Equal vectors are found first and searched once; of each at most ``top + 1`` smallest ids can ever be
 among the nearest, so no more are kept. An extra coordinate gives all vectors one length, which turns
 the largest inner product into the smallest distance. K-means on a bounded sample gives the lists;
-every vector is in the list of its nearest centre, and a query probes its nearest lists.
+every vector is in the list of its nearest centre, and a query probes its nearest lists. How many is
+measured on the sample: few where vectors cluster, up to all where they don't.
 
 Lists are dealt out in blocks of bounded size, and so are the queries of a list, so a task holds one
 block of each. There the vectors, rotated at random, are scanned in blocks of columns: from the partial
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from trafficwarden.llm.common import materialise
 
 TOP = 20
-#: Bounds: sample that the centres are fitted on, lists, part of the lists that a query probes (and least number).
-SAMPLE, LISTS, PROBED, PROBES = 16_384, 1024, 0.25, 24
+#: Bounds: sample that the centres are fitted on, and lists.
+SAMPLE, LISTS = 16_384, 1024
+#: Queries probe so many lists that this part of the true neighbours within the sample lies in them; rows that tell so.
+TARGET, TRIED = 0.96, 512
 #: Columns scanned at once, and the slack of the test.
 COLUMNS, EPSILON = 16, 2.1
 #: Rows of a block of vectors, of queries, and vectors between two updates of the bounds.
@@ -50,11 +53,18 @@ class Lists:
         x = self.level(sample)
         centres = x[rng.permutation(len(x))[:lists]].copy()
         for _ in range(8):
-            near = self._nearest(x, centres, 1)[:, 0]
+            near = self._nearest(x, centres)
             n = np.bincount(near, minlength=len(centres))
             for k in range(x.shape[1]):
                 centres[:, k] = np.where(n > 0, np.bincount(near, x[:, k], len(centres)) / np.maximum(n, 1), centres[:, k])
         self.centres = centres
+        tried = sample[:TRIED].astype(np.float64)
+        score = tried @ sample.T.astype(np.float64)
+        score[np.arange(len(tried)), np.arange(len(tried))] = -np.inf
+        best = np.argsort(-score, axis=1)[:, : min(TOP, len(sample) - 1)]
+        order = np.argsort(self.probes(tried, len(centres)), axis=1)  # place of each list for each row
+        place = np.take_along_axis(order, self.of(sample)[best], axis=1) if best.size else np.zeros(1)
+        self.enough = int(np.quantile(place, TARGET)) + 1
         self.rotation = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))[0].astype(np.float32)
 
     def level(self, x: np.ndarray, query: bool = False) -> np.ndarray:
@@ -64,17 +74,17 @@ class Lists:
         return np.concatenate([x, rest[:, None]], axis=1)
 
     @staticmethod
-    def _nearest(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
-        d = (centres * centres).sum(1) - 2 * x @ centres.T
-        return d.argmin(1)[:, None] if k == 1 else np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+    def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return ((centres * centres).sum(1) - 2 * x @ centres.T).argmin(1)
 
     def of(self, x: np.ndarray) -> np.ndarray:
-        return self._nearest(self.level(x), self.centres, 1)[:, 0]
+        return self._nearest(self.level(x), self.centres)
 
     def probes(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Nearest lists by direction: queries are scaled to the common length first."""
+        """The k nearest lists by direction, nearest first: queries are scaled to the common length."""
         length = np.sqrt((q.astype(np.float64) ** 2).sum(1, keepdims=True))
-        return self._nearest(self.level(q / length * np.sqrt(self.longest), True), self.centres, min(k, len(self.centres)))
+        x = self.level(q / length * np.sqrt(self.longest), True)
+        return np.argsort((self.centres * self.centres).sum(1) - 2 * x @ self.centres.T, axis=1)[:, :k]
 
 
 def adaptive_scan(x: np.ndarray, q: np.ndarray, top: int, rotation: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,7 +132,7 @@ def _matrix(column: pd.Series, kind: str) -> np.ndarray:
 
 def nearest(
     vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vector: str = "embedding", top: int = TOP,
-    sample: int = SAMPLE, lists: int | None = None, probed: float = PROBED,
+    sample: int = SAMPLE, lists: int | None = None,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for the rows where ``queries`` holds, their nearest other rows.
 
@@ -155,7 +165,7 @@ def nearest(
     part = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
     some = one.filter(part < int(min(1.0, 1.2 * sample / n) * (1 << 30))).select("v", part.alias("h")).orderBy("h").limit(sample).collect()
     fitted = Lists(np.array([r.v for r in some] or [one.first().v]), longest, lists)
-    probes = max(PROBES, round(probed * len(fitted.centres)))
+    probes = fitted.enough
     shared = spark.sparkContext.broadcast(fitted)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
