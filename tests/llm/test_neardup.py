@@ -24,9 +24,9 @@ def test_signature_is_unbiased():
     assert abs(np.mean(seen) - np.mean(true)) < 0.02
 
 
-def test_groups_of_half_similar_texts_are_divided(spark, monkeypatch):
+def test_groups_of_half_similar_texts_in_chunks(spark, monkeypatch):
     """Many texts share most of a passage but only some pairs are near: every link is found."""
-    monkeypatch.setattr(N, "PAIRED", 3)
+    monkeypatch.setattr(N, "CHUNK", 9)
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(120)]
     rows = []

@@ -12,11 +12,13 @@ signature slot, points above the weight are thinned away, and a slot keeps its e
 ``ROWS`` slots are hashed to bucket keys.
 
 In each bucket all members are paired with the smallest member only, and the pairs are verified on
-the whole texts. Buckets whose members then lie in several components are looked at again: members of
-different components are paired directly in small buckets, and large buckets are first divided by a
-further shared band (a pair at 0.8 that shares one band shares another but for 5e-5), again and again.
-So no bucket is cut and no link between different texts is dropped, and no group is expanded into all
-its pairs. Components come from alternating star contractions over tables in the shared folder.
+the whole texts. Buckets whose members then lie in several components (``mixed``) are looked at
+again: buckets that share members form a group, a group is cut into chunks of bounded size, and every
+pair of chunks is one task's block, in which all pairs of different components are verified at once
+by a product of 0-1 matrices. Only the links that join components leave a block. So no bucket is cut,
+no link is dropped, no pairs are shuffled, and a text is sent once for each chunk of its group, not
+once for each pair or band. Components come from alternating star contractions over tables in the
+shared folder.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ WORDS, THRESHOLD = 5, 0.8
 #: A pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 26 = 3e-5.
 BANDS, ROWS = 26, 5
 SLOTS = BANDS * ROWS
-#: Members of a bucket beyond which it is divided by a further band before members are paired.
-PAIRED = 64
+#: Texts and word runs of a chunk of a group (about), and columns of the matrices at once.
+CHUNK, CHUNK_RUNS, COLUMNS = 1024, 2_000_000, 2048
+#: Size of the set of rows whose texts are compared.
+FILTER_BITS = 1 << 24
 #: Points of a process that are drawn at once after the first.
 DRAWN = 8
 
@@ -176,12 +180,35 @@ def _verified(threshold: float):
     return run
 
 
+def _involved(pairs: DataFrame, texts: DataFrame, tag: str) -> DataFrame:
+    """Rows of texts whose uid may be in pairs, written out.
+
+    A bit set of fixed size (``FILTER_BITS``) says which, so that the texts of all others are not
+    shuffled; where it fills up, more rows pass, none is lost.
+    """
+    slot = F.pmod(F.xxhash64("uid"), F.lit(FILTER_BITS))
+    ids = pairs.select(F.col("a").alias("uid")).unionAll(pairs.select(F.col("b").alias("uid")))
+    words = ids.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.collect():  # FILTER_BITS / 64 rows at most
+        bits[r.word] = r.bits
+    shared = pairs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            keep = pa.array((shared.value[at // 64] >> (at % 64)) & 1 == 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["uid", "text"])
+
+    return materialise(texts.select("uid", "text", slot.alias("slot")).mapInArrow(run, "uid long, text string"), tag)
+
+
 def _links(pairs: DataFrame, texts: DataFrame, threshold: float, tag: str) -> DataFrame:
     """The pairs (a, b) whose whole texts are as similar as that, written out."""
+    texts = _involved(pairs, texts, f"{tag}-texts")
     left = texts.select(F.col("uid").alias("a"), F.col("text").alias("one"))
     right = texts.select(F.col("uid").alias("b"), F.col("text").alias("two"))
-    both = left.join(pairs.hint("shuffle_hash"), "a")
-    both = right.join(both.hint("shuffle_merge"), "b").select("a", "b", "one", "two")
+    both = left.join(pairs, "a").join(right, "b").select("a", "b", "one", "two")
     return materialise(both.mapInArrow(_verified(threshold), "a long, b long"), tag)
 
 
@@ -214,26 +241,66 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "uid").unionAll(edges.select(F.col("b").alias("uid"), F.col("b").alias("comp")).distinct())
 
 
-def _across(reps: DataFrame, comp: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs not yet tested that share a bucket and lie in different components."""
-    known = reps.join(comp, "uid", "left").select("uid", "n", "bands", F.coalesce("comp", "uid").alias("comp"))
-    members = known.select("uid", "n", "comp", "bands", F.explode("bands").alias("bucket"))
-    out = None
-    for level in range(4):
-        # buckets of several components; the bands stay behind until a bucket has to be divided
-        held = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "size")
-        mixed_ = members.join(held, "bucket")
-        fit = F.col("size") <= PAIRED if level < 3 else F.lit(True)
-        some = materialise(mixed_.select("bucket", "size", "uid", "n", "comp", *(["bands"] if level < 3 else [])), "mixed")
-        x, y = (some.filter(fit).select("bucket", *[F.col(c).alias(c + s) for c in ("uid", "n", "comp")]) for s in "12")
-        pairs = x.join(y, "bucket").filter("uid1 > uid2 and comp1 <> comp2 and least(n1, n2) >= 0.8 * greatest(n1, n2)").select(F.col("uid1").alias("a"), F.col("uid2").alias("b"))
-        out = pairs if out is None else out.unionAll(pairs)
-        large = some.filter(~fit)
-        if level == 3 or large.isEmpty():
-            break
-        parts = large.select("uid", "n", "comp", "bands", "bucket", F.explode("bands").alias("more")).filter("more <> bucket")
-        members = parts.select("uid", "n", "comp", "bands", F.xxhash64("bucket", "more").alias("bucket"))
-    return out.distinct().join(tested, ["a", "b"], "left_anti")
+def _block(threshold: float):
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        hashes, counts, *_ = run_hashes(block.column("text").combine_chunks())
+        uid, comp, upper = (block.column(c).to_numpy() for c in ("uid", "comp", "upper"))
+        row, distinct, weights = bag(hashes, counts)
+        # a run that occurs w times is w tokens; tokens of one text alone don't matter
+        row, token = np.repeat(row, weights), np.repeat(distinct, weights)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(weights) - weights, weights)
+        _, token, df = np.unique(token + nth.astype(np.uint64) * _GOLD, return_inverse=True, return_counts=True)
+        common = np.cumsum(df > 1) - 1
+        on = df[token] > 1
+        row, token = row[on], common[token[on]]
+        order = np.argsort(token, kind="stable")
+        row, token = row[order], token[order]
+        cross = upper.any() and not upper.all()
+        one, two = (np.flatnonzero(~upper), np.flatnonzero(upper)) if cross else (np.arange(len(uid)), np.arange(len(uid)))
+        both = np.zeros((len(one), len(two)), np.float32)
+        ends = np.searchsorted(token, np.arange(0, int(df.size and (df > 1).sum()) + COLUMNS, COLUMNS))
+        for k in range(len(ends) - 1):
+            part = slice(ends[k], ends[k + 1])
+            m = np.zeros((len(uid), COLUMNS), np.float32)
+            m[row[part], token[part] - k * COLUMNS] = 1
+            both += m[one] @ m[two].T
+        whole = counts[one][:, None] + counts[two][None, :] - both
+        near = (both >= threshold * whole - 1e-6) & (both > 0) & (comp[one][:, None] != comp[two][None, :])
+        head = {c: c for c in set(comp.tolist())}
+
+        def find(c: int) -> int:
+            while head[c] != c:
+                head[c] = head[head[c]]
+                c = head[c]
+            return c
+
+        links = []
+        for i, j in zip(*np.nonzero(near)):
+            x, y = find(int(comp[one[i]])), find(int(comp[two[j]]))
+            if x != y:
+                head[max(x, y)] = min(x, y)
+                links.append((int(uid[one[i]]), int(uid[two[j]])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
+def _across(shared: DataFrame, comp: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """Links between members of one group of buckets that lie in different components. shared: bucket, uid, n."""
+    members = shared.join(comp, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+    held = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("uid").alias("head")).filter("low <> high").select("bucket", "head")
+    mixed_ = materialise(members.join(held, "bucket").select("uid", "n", "comp", "head").distinct(), "mixed")
+    if mixed_.isEmpty():
+        return None
+    groups = components(mixed_.select(F.col("uid").alias("a"), F.col("head").alias("b"))).withColumnRenamed("comp", "group")
+    single = mixed_.select("uid", "n", "comp").distinct().join(groups, "uid")
+    sizes = single.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_RUNS)).cast("int").alias("chunks"))
+    dealt = materialise(single.join(sizes, "group").withColumn("chunk", F.pmod(F.xxhash64("uid"), "chunks").cast("int")), "dealt")
+    wanted = _involved(dealt.select(F.col("uid").alias("a"), F.col("uid").alias("b")), texts, "mixed-texts")
+    rows = dealt.join(wanted, "uid").select("group", "uid", "comp", "text", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    rows = rows.select("group", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), (F.col("chunk") > F.col("other")).alias("upper"), "uid", "comp", "text")
+    return materialise(rows.groupBy("group", "low", "high").applyInArrow(_block(threshold), "a long, b long"), "across")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -256,17 +323,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     members = reps.select("uid", "n", F.explode("bands").alias("bucket"))
     pivots = members.groupBy("bucket").agg(F.min(F.struct("uid", "n")).alias("pivot"), F.count("*").alias("size")).filter("size > 1").select("bucket", "pivot")
-    pairs = members.join(pivots, "bucket").filter("uid <> pivot.uid").select(F.col("uid").alias("a"), F.col("pivot.uid").alias("b"), "n", F.col("pivot.n").alias("m")).filter(F.least("n", "m") >= threshold * F.greatest("n", "m"))
-    pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
+    shared = materialise(members.join(pivots, "bucket"), "shared")
+    near = F.least("n", "pivot.n") >= threshold * F.greatest("n", "pivot.n")
+    pairs = materialise(shared.filter((F.col("uid") != F.col("pivot.uid")) & near).select(F.col("uid").alias("a"), F.col("pivot.uid").alias("b")).distinct(), "pairs")
     texts = rows.select("uid", whole.alias("text"))
     links = _links(pairs, texts, threshold, "links")
     comp = materialise(components(links), "components")
-    more = materialise(_across(reps, comp, pairs), "across")
-    if not more.isEmpty():
-        more = _links(more, texts, threshold, "across-links")
-        if not more.isEmpty():
-            stars = comp.filter("uid <> comp").select(F.col("uid").alias("a"), F.col("comp").alias("b"))
-            comp = materialise(components(stars.unionAll(more)), "components")
+    more = _across(shared.select("bucket", "uid", "n"), comp, texts, threshold)
+    if more is not None and not more.isEmpty():
+        stars = comp.filter("uid <> comp").select(F.col("uid").alias("a"), F.col("comp").alias("b"))
+        comp = materialise(components(stars.unionAll(more)), "components")
 
     owned = reps.select("uid", "digest", "first").join(comp, "uid", "left").select("digest", "first", F.coalesce("comp", "uid").alias("comp"))
     heads = owned.groupBy("comp").agg(F.min("first").alias("head"))
