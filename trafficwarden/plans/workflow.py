@@ -21,6 +21,12 @@ from trafficwarden.sources.readers import append_ledger, read_ledger
 RUNS = T.StructType([T.StructField(n, k) for n, k in (("run_id", T.StringType()), ("version", T.StringType()), ("content_hash", T.StringType()), ("model", T.StringType()), ("rows", T.LongType()), ("f1_macro", T.DoubleType()), ("fpr", T.DoubleType()), ("per_class_recall", T.MapType(T.StringType(), T.DoubleType())))])
 
 
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    """df as a table under the root: later steps start from it."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def evaluate_on_golden(model, golden: DataFrame, fresh: DataFrame | None = None, text: str = "query_canonical") -> DataFrame:
     """One row: the gate evaluation of a model on golden rows (and held-out rows of a new class)."""
     rows = golden if fresh is None else L.with_new_class(golden, fresh)
@@ -80,14 +86,14 @@ def scenario(spark: SparkSession, root: str, corpus: DataFrame, features: list[s
 
     corpus has id, query_canonical, label, and the features. One row: what happened.
     """
-    rows = C.held_out_protocol(corpus, "label", new_class, "id")
+    rows = _kept(C.held_out_protocol(corpus, "label", new_class, "id"), f"{root}/tables/roles")
     keep = ["id", "query_canonical", "label"]
     base, golden = rows.filter("role = 'base'"), rows.filter("role = 'golden'")
     champion = train_and_seal(spark, root, base.select(*keep), None, golden.filter(F.col("label") != new_class).select(*keep), "1.0", config)
     first = promote(spark, root, champion, None)
     reserve = rows.filter("role = 'reserve'")
-    stream = C.replay_stream(reserve.filter("label = 0"), reserve.filter(F.col("label") > 0), rows.filter("role = 'held'"), "id", 0.2, 0.5, 0.6)
-    scored = ML.classify(ML.load_model(champion["model"]), stream.withColumn("label_name", label_name(F.col("label"))))
+    stream = _kept(C.replay_stream(reserve.filter("label = 0"), reserve.filter(F.col("label") > 0), rows.filter("role = 'held'"), "id", 0.2, 0.5, 0.6), f"{root}/tables/stream")
+    scored = _kept(ML.classify(ML.load_model(champion["model"]), stream.withColumn("label_name", label_name(F.col("label")))), f"{root}/tables/scored")
     trigger = R.trigger(R.replay(scored, features, window, 1), 0.2, 1).first()
     confirmed = L.harvest(scored, scored).join(stream.select("id", "query_canonical", F.col("label").alias("truth")), "id").select("id", "query_canonical", F.col("truth").alias("label"), F.current_timestamp().alias("confirmed_at"))
     candidate = train_and_seal(spark, root, base.select(*keep), confirmed, golden.select(*keep), "2.0", config)
