@@ -9,7 +9,11 @@ from trafficwarden.operators import metrics as M
 from trafficwarden.operators import sessions as S
 from trafficwarden.plans.traffic import SCORED_SQL, scored
 
-ATTACK = F.col("is_attack")
+
+
+def _attack():
+    return F.col("is_attack")
+
 CELLS = ", cells AS (SELECT label_name AS truth, predicted, count(*) AS n FROM scored GROUP BY ALL)"
 REPORT = CELLS + """, labels AS (SELECT truth AS label FROM cells UNION SELECT predicted FROM cells),
 rep AS (SELECT label, coalesce(sum(n) FILTER (truth = label AND predicted = label), 0) AS tp, coalesce(sum(n) FILTER (truth = label), 0) AS support, coalesce(sum(n) FILTER (predicted = label), 0) AS called FROM labels, cells GROUP BY label),
@@ -197,17 +201,17 @@ QUERIES = {
     "a21_class_report": lambda s, d: M.class_report(M.confusion(scored(s, d))).select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support"),
     "a21_summary": lambda s, d: M.summary(M.confusion(scored(s, d))),
     "a22_gate_evaluation": lambda s, d: M.gate_evaluation(M.confusion(scored(s, d))).select(F.round("f1_macro", 6).alias("f1_macro"), F.round("fpr", 6).alias("fpr"), F.round(F.element_at("per_class_recall", "stacked"), 6).alias("stacked_recall"), "n_rows"),
-    "a23_roc": lambda s, d: M.roc(scored(s, d), "score", ATTACK),
-    "a23_auc": lambda s, d: M.auc(scored(s, d), "score", ATTACK),
-    "a24_thinned_roc": lambda s, d: M.thinned(M.roc(scored(s, d), "score", ATTACK), "threshold").select("threshold", "fpr", "tpr"),
-    "a25_precision_recall": lambda s, d: M.precision_recall(scored(s, d), "score", ATTACK),
-    "a25_average_precision": lambda s, d: M.average_precision(scored(s, d), "score", ATTACK),
-    "a26_detector": lambda s, d: M.detector_report(scored(s, d), F.col("score") > 0.7, ATTACK),
-    "a27_matched_fpr": lambda s, d: M.matched_fpr(scored(s, d), "score", ATTACK),
-    "a28_threshold_sweep": lambda s, d: M.threshold_sweep(scored(s, d), "score", ATTACK),
+    "a23_roc": lambda s, d: M.roc(scored(s, d), "score", _attack()),
+    "a23_auc": lambda s, d: M.auc(scored(s, d), "score", _attack()),
+    "a24_thinned_roc": lambda s, d: M.thinned(M.roc(scored(s, d), "score", _attack()), "threshold").select("threshold", "fpr", "tpr"),
+    "a25_precision_recall": lambda s, d: M.precision_recall(scored(s, d), "score", _attack()),
+    "a25_average_precision": lambda s, d: M.average_precision(scored(s, d), "score", _attack()),
+    "a26_detector": lambda s, d: M.detector_report(scored(s, d), F.col("score") > 0.7, _attack()),
+    "a27_matched_fpr": lambda s, d: M.matched_fpr(scored(s, d), "score", _attack()),
+    "a28_threshold_sweep": lambda s, d: M.threshold_sweep(scored(s, d), "score", _attack()),
     "a29_rate_by_source": lambda s, d: M.rate_by(scored(s, d), "source", F.col("score") > 0.7),
-    "a30_ks": lambda s, d: M.ks_statistic(scored(s, d), "score", ATTACK),
-    "a31_youden": lambda s, d: M.youden(scored(s, d), "score", ATTACK),
+    "a30_ks": lambda s, d: M.ks_statistic(scored(s, d), "score", _attack()),
+    "a31_youden": lambda s, d: M.youden(scored(s, d), "score", _attack()),
     "a32_zero_day": lambda s, d: M.zero_day(scored(s, d), "label_name", "predicted", F.col("score") > 0.8),
     "a33_ablation": lambda s, d: M.ablation(scored(s, d), "label_name", F.col("score") > 0.9, F.col("confidence") > 0.9),
     "a34_shadow": lambda s, d: M.shadow_report(scored(s, d), scored(s, d).withColumn("predicted", F.when(F.col("id") % 13 == 0, F.lit("normal")).otherwise(F.col("predicted")))),

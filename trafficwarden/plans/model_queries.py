@@ -12,7 +12,11 @@ from trafficwarden.plans.text_queries import _c, tagged
 
 FEATURES = ["length", "special_char_ratio", "entropy", "quote_imbalance"]
 DETECTORS = ["local_outlier_factor", "isolation_forest", "one_class_svm"]
-POSITIVE = F.col("is_attack")
+
+
+def _positive():
+    return F.col("is_attack")
+
 
 
 def _corpus(s, d):
@@ -77,14 +81,14 @@ QUERIES = {
     "ml7_isolation_forest": _detector("isolation_forest"),
     "ml8_one_class_svm": _detector("one_class_svm"),
     "ml9_flags": lambda s, d: M.flags(_detector("isolation_forest")(s, d), 0.55),
-    "ml10_grid_search": lambda s, d: M.grid_search("isolation_forest", *_vectors(s, d), POSITIVE, {"trees": [10, 30], "sample": [64, 256]}),
-    "ml11_compare_detectors": lambda s, d: M.compare_detectors(*_vectors(s, d), POSITIVE, DETECTORS[1:]),
-    "l4_best": lambda s, d: M.best(M.grid_search("isolation_forest", *_vectors(s, d), POSITIVE, {"trees": [10, 30]}), "options", "auc"),
+    "ml10_grid_search": lambda s, d: M.grid_search("isolation_forest", *_vectors(s, d), _positive(), {"trees": [10, 30], "sample": [64, 256]}),
+    "ml11_compare_detectors": lambda s, d: M.compare_detectors(*_vectors(s, d), _positive(), DETECTORS[1:]),
+    "l4_best": lambda s, d: M.best(M.grid_search("isolation_forest", *_vectors(s, d), _positive(), {"trees": [10, 30]}), "options", "auc"),
     "ml12_zero_day": lambda s, d: M.zero_day_runs(_corpus(s, d), "label", [1, 3], _detector("isolation_forest")(s, d), threshold=0.55),
-    "ml13_univariate_ks": lambda s, d: M.univariate_ks(X.with_features(tagged(s, d), names=FEATURES), FEATURES, POSITIVE),
+    "ml13_univariate_ks": lambda s, d: M.univariate_ks(X.with_features(tagged(s, d), names=FEATURES), FEATURES, _positive()),
     "ml14_verdicts": _verdicts,
-    "a36_permutation": lambda s, d: E.permutation_importance(X.with_features(tagged(s, d), names=FEATURES).withColumn("length", F.col("length").cast("double")), ["special_char_ratio", "quote_imbalance"], "id", lambda df: df.withColumn("score", F.col("special_char_ratio") + F.col("quote_imbalance") / 4), POSITIVE),
-    "a37_impact": lambda s, d: M.impact(_detector("isolation_forest")(s, d).withColumn("anomaly_score", F.col("anomaly_score") - 0.55), _detector("isolation_forest", sample=64)(s, d).withColumn("anomaly_score", F.col("anomaly_score") - 0.55), POSITIVE),
+    "a36_permutation": lambda s, d: E.permutation_importance(X.with_features(tagged(s, d), names=FEATURES).withColumn("length", F.col("length").cast("double")), ["special_char_ratio", "quote_imbalance"], "id", lambda df: df.withColumn("score", F.col("special_char_ratio") + F.col("quote_imbalance") / 4), _positive()),
+    "a37_impact": lambda s, d: M.impact(_detector("isolation_forest")(s, d).withColumn("anomaly_score", F.col("anomaly_score") - 0.55), _detector("isolation_forest", sample=64)(s, d).withColumn("anomaly_score", F.col("anomaly_score") - 0.55), _positive()),
     "m16_fragment_sessions": lambda s, d: C.fragment_sessions(tagged(s, d).filter("is_attack"), "query_raw", "id"),
 }
 
