@@ -38,7 +38,7 @@ def _bits(items: Column, text: Column) -> Column:
         return F.struct(x.alias("last"), F.when(same, s["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"), F.when(same, s["sum"]).otherwise(s["sum"] + term(s["run"])).alias("sum"))
 
     n = F.size(items).cast("double")
-    total = F.aggregate(F.array_sort(items), start, step, lambda s: s["sum"] + term(s["run"]))
+    total = F.aggregate(F.sort_array(items), start, step, lambda s: s["sum"] + term(s["run"]))
     return F.when(text.isNotNull(), F.when(n > 0, F.greatest(F.log2(n) - total / n, F.lit(0.0))).otherwise(0.0))
 
 
