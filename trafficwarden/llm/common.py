@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds in work arrays at once; a longer text is a slice of its own.
@@ -42,6 +42,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, keys: list[str], rows: int) -> list:
+    """At most ``rows`` rows of df on the driver, those of the smallest hashes of the keys.
+
+    The rows are counted first, so that no task sends more than its share of about 1.3 times as many.
+    """
+    n = df.count()
+    h = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
+    some = df.withColumn("_h", h).filter(F.col("_h") < int(min(1.0, 1.3 * rows / max(n, 1)) * (1 << 30)))
+    found = some.limit(3 * rows).collect()  # the bound holds for tables of one repeated row too
+    return sorted(found, key=lambda r: (r["_h"], *[str(r[k]) for k in keys]))[:rows]
+
+
 def slices(batch: pa.RecordBatch, column: int | str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about limit bytes of text; each row is whole."""
     n = batch.num_rows
@@ -88,10 +100,3 @@ def spaced_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     keep[1:] = ~(space[1:] & space[:-1])
     out = spread[keep]
     return out, np.flatnonzero(out == 0)
-
-
-def native_words(text: Column) -> Column:
-    """The same words as an array column, native: A-Z lower-cased, null gives an empty array."""
-    # Fixed value: the word class of spaced_words, as a Java pattern.
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(1))
-    return found

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficwarden.llm import lstm
-from trafficwarden.llm.common import slices
+from trafficwarden.llm.common import hash_sample, slices
 
 #: Fixed value: the kinds, in the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -327,8 +327,8 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_LONGEST) -> lstm.Params:
     """The model, fitted on at most ``rows`` documents of at most ``longest`` characters that hold a digit or an at sign, by the hash of the id."""
-    some = docs.select(F.col(text).alias("text"), F.xxhash64(F.col(doc_id)).alias("h")).filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= longest))
-    return train([r.text for r in some.orderBy("h", "text").limit(rows).collect()])
+    some = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= longest))
+    return train([r.text for r in hash_sample(some, ["id", "text"], rows)])
 
 
 def find_private(docs: DataFrame, model: lstm.Params, text: str = "text", found: str = "private") -> DataFrame:
