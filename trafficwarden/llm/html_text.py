@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficwarden.llm import lstm
-from trafficwarden.llm.common import slices
+from trafficwarden.llm.common import hash_sample, slices
 from trafficwarden.llm.neardup import run_hashes
 
 #: Bound of the sample of the table's pages: rows, and characters of each.
@@ -364,8 +364,8 @@ def plain_labels(found: list[Block]) -> list[int] | None:
 
 def fit(pages: DataFrame, page_id: str = "page_id", source: str = "html", rows: int = SAMPLE_ROWS, longest: int = SAMPLE_LONGEST) -> lstm.Params:
     """The labeller, fitted on made pages and at most ``rows`` of the table's pages of at most ``longest`` characters, by the hash of the id."""
-    some = pages.select(F.col(source).alias("html"), F.xxhash64(F.col(page_id)).alias("h")).filter(F.length("html") <= longest)
-    own = [blocks(r.html) for r in some.orderBy("h", "html").limit(rows).collect()]
+    some = pages.select(F.col(page_id).alias("id"), F.col(source).alias("html")).filter(F.length("html") <= longest)
+    own = [blocks(r.html) for r in hash_sample(some, ["id", "html"], rows)]
     words = sorted({w for p in own for b in p for w in b.text.split()[:60]})
     plain = [(p, y) for p in own if (y := plain_labels(p))]
     return train(made_pages(MADE, words) + plain)
