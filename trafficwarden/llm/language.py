@@ -6,7 +6,7 @@ language of the lowest cross-entropy per character. A text is rejected if even t
 calibration texts of the chosen language show.
 
 The models are fitted on a bounded sample of labelled rows: at most ``rows_per_lang`` texts a
-language, each of at most ``longest`` characters, those of the smallest hashes of the id. Every
+language, each of at most ``longest`` characters, those of the smallest hashes of id and text. Every
 document is scored whole, in one pass without a shuffle.
 """
 
@@ -28,7 +28,7 @@ LONGEST = 50_000
 #: Letters told apart; all others are one symbol.
 LETTERS = 250
 #: Bits per character that a text may have beyond the calibration quantile; texts of fewer symbols aren't rejected.
-SLACK, QUANTILE, SHORTEST = 1.0, 0.999, 50
+SLACK, QUANTILE, SHORTEST = 2.0, 0.999, 50
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,9 +102,12 @@ class KneserNey:
         letter = _letters()[points]
         points, n = points[letter], n[letter]
         self.common = points[np.lexsort((points, -n))[:LETTERS]]
+        self.levels: list = []
+        self.limit = np.full(len(self.langs), np.inf)
+        if not self.langs:
+            return
         fit = {x: t if len(t) < 5 else [v for i, v in enumerate(t) if i % 5] for x, t in samples.items()}
         counts = [self._counts(fit[x]) for x in self.langs]
-        self.levels = []
         flat = 1.0 / (len(self.common) + 2)
         below: tuple[HashArray, np.ndarray] | None = None
         for n in range(1, order + 1):
@@ -137,7 +140,6 @@ class KneserNey:
             self.levels.append((table, np.log2(prob).astype(np.float32).T.copy(), back, np.log2(gamma[back.order]).astype(np.float32).T.copy()))
             below = (table, prob)
         self.flat = np.float32(np.log2(flat))
-        self.limit = np.full(len(self.langs), np.inf)
         for i, x in enumerate(self.langs):
             bits, _, size = self.cross_entropy([v for j, v in enumerate(samples[x]) if j % 5 == 0])
             long = size >= SHORTEST
@@ -200,11 +202,11 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     share = [(r.lang, min(1.0, 1.3 * rows_per_lang / r.n)) for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()]
     if not share:
         return KneserNey({})
-    part = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("part")
+    part = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)).alias("part")
     shares = F.create_map(*[F.lit(v) for pair in share for v in pair])
     chosen = known.select("lang", "text", part).filter(F.col("part") < F.element_at(shares, F.col("lang")))
     samples: dict[str, list] = {}
-    for r in chosen.collect():
+    for r in chosen.limit(3 * rows_per_lang * len(share)).collect():
         samples.setdefault(r.lang, []).append((r.part, r.text))
     return KneserNey({x: [t for _, t in sorted(rows)[:rows_per_lang]] for x, rows in samples.items()})
 
