@@ -97,6 +97,8 @@ class KneserNey:
     """Models of all languages, fitted on {language: texts}."""
 
     def __init__(self, samples: dict[str, list[str]], order: int = ORDER):
+        lettered = lambda texts: any(c.isalpha() for t in texts for c in t)
+        samples = {x: t for x, t in samples.items() if lettered(t)}  # a language of no letter can't be learned
         self.order, self.langs = order, sorted(samples)
         points, n = np.unique(np.concatenate([code_points(samples[x])[0] for x in self.langs] or [np.empty(0, np.uint32)]), return_counts=True)
         letter = _letters()[points]
@@ -106,7 +108,8 @@ class KneserNey:
         self.limit = np.full(len(self.langs), np.inf)
         if not self.langs:
             return
-        fit = {x: t if len(t) < 5 else [v for i, v in enumerate(t) if i % 5] for x, t in samples.items()}
+        parts = {x: [v for i, v in enumerate(t) if i % 5] for x, t in samples.items()}
+        fit = {x: parts[x] if len(t) >= 5 and lettered(parts[x]) else t for x, t in samples.items()}
         counts = [self._counts(fit[x]) for x in self.langs]
         flat = 1.0 / (len(self.common) + 2)
         below: tuple[HashArray, np.ndarray] | None = None
