@@ -1,5 +1,7 @@
 """Queue, versions, gate, stage log and workflow."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,44 @@ def test_stage_log(spark):
     assert {tuple(r) for r in L.resolve_active(events, base).collect()} == {("b1", "v1"), ("b2", "base"), ("b3", "base")}
 
 
+def test_stages_of_long_logs(spark):
+    """As a plain fold tells, whatever parts the log is dealt out in; no log is gathered in one row."""
+    rng, log, want = random.Random(5), [], set()
+    for b in range(12):
+        live, old = None, []
+        for at in range(rng.choice([1, 5, 400])):
+            action, version = rng.choices(["promote", "rollback", "clear", "noise"], [4, [0, 2, 8][b % 3], [0, 1][b % 2], 1])[0], f"v{rng.randrange(6)}"
+            log.append((at, f"b{b}", action, version if action == "promote" else None))
+            archived = old if live is None else [live, *[v for v in old if v != live]]
+            if action == "promote":
+                live, old = version, [v for v in archived if v != version]
+            elif action == "rollback" and old:
+                live, old = old[0], [v for v in archived if v != old[0]]
+            elif action == "clear":
+                live, old = None, archived
+        want |= {(f"b{b}", v, "archived") for v in old} | ({(f"b{b}", live, "production")} if live else set())
+    rng.shuffle(log)
+    events = spark.createDataFrame(log, "at long, branch string, action string, version string")
+    assert {tuple(r) for r in L.stages(events).collect()} == want
+    small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {tuple(r) for r in L.stages(events).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
+    assert "collect_list" not in L.stages(events)._jdf.queryExecution().toString()
+
+
+def test_whole_stage_log(spark):
+    """No event of the table is left out, beyond the first few thousand keys either."""
+    from trafficwarden.plans import metric_queries as Q
+
+    d = "/root/testdata/sf0.01"
+    k = F.col("o_orderkey")
+    promoted = spark.read.parquet(f"{d}/orders.parquet").filter((k % 7 != 0) & (k % 31 != 0)).count()
+    assert Q.QUERIES["g9_stages"](spark, d).agg(F.sum("n")).first()[0] == promoted
+
+
 def test_seal_and_removal(spark):
     versions = spark.createDataFrame([("1.0", ["normal"], "h0", True), ("1.1", ["normal"], "h1", False)], "version string, label_space array<string>, content_hash string, protected boolean")
     new = spark.createDataFrame([("1.1", ["normal"], "h2"), ("1.1", ["normal", "stacked"], "h3"), ("1.1", ["normal"], "h1"), ("9.9", ["normal"], "h4"), (None, ["normal"], "h5")], "parent string, label_space array<string>, content_hash string")

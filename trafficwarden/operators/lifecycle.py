@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from hashlib import sha256
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -193,26 +195,69 @@ def shadow_gate(evaluation: DataFrame, champion_fpr: float, golden_f1: float, fp
 # Stage log.
 
 
+LOG = ["branch", "at", "action", "version"]
+_LOG_TYPES = "branch string, at long, action string, version string"
+
+
+def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows those of each branch from its last two unequal promotions in a row, which settle the state whatever came before."""
+    held, last, previous = [], None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        begin = 0
+        for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("branch", "action", "version")))):
+            if last is None or row[0] != last[0]:
+                yield from [*held, batch.slice(begin, i - begin)]
+                held, begin = [], i
+            elif row[1] == last[1] == "promote" and row[2] != last[2]:
+                held, begin = ([], i - 1) if i else ([previous.slice(previous.num_rows - 1)], 0)
+            last = row
+        held, previous = [*held, batch.slice(begin)], batch
+        if len(held) > 64:  # more rows than needed do no harm
+            yield from held
+            held = []
+    yield from held
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """branch, version in production, of sorted rows. Only the two latest versions of a branch can go live without a promotion."""
+    branch, first, second, live, any_row = None, None, None, False, False
+    for batch in batches:
+        out = []
+        for name, action, version in zip(*(batch.column(c).to_pylist() for c in ("branch", "action", "version"))):
+            if not any_row or name != branch:
+                out += [(branch, first)] if live else []
+                branch, first, second, live, any_row = name, None, None, False, True
+            if action == "promote":
+                first, second, live = version, second if version == first else first, True
+            elif action == "clear":
+                live = False
+            elif live and second is not None:
+                first, second = second, first
+            else:
+                live = first is not None
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in (0, 1)], ["branch", "live"])
+    if live:
+        yield pa.RecordBatch.from_arrays([pa.array([branch], pa.string()), pa.array([first], pa.string())], ["branch", "live"])
+
+
 def stages(events: DataFrame) -> DataFrame:
     """branch, version, stage now. events: at (long), branch, action (promote, rollback, clear), version.
 
     A promotion archives what was in production, a roll-back puts the latest archived version back, a
-    clearing archives. The log of a branch is short and folded in order; branches are spread.
+    clearing archives. No version leaves the log, so all promoted ones are listed; what is live is
+    folded in order. The log is dealt out by branch and time, and each part passes on only the rows
+    that can still matter; these are read one after the other, with three values kept for a branch.
+    Promotions of no version are no events.
     """
-    e = F.array_sort(F.collect_list(F.struct("at", "action", "version")))
-    kind = "struct<live:string,old:array<string>>"
-    start = F.struct(F.lit(None).cast("string").alias("live"), F.array().cast("array<string>").alias("old"))
-
-    def step(s: Column, x: Column) -> Column:
-        archived = F.when(s["live"].isNull(), s["old"]).otherwise(F.concat(F.array(s["live"]), F.array_remove(s["old"], s["live"])))
-        promote = F.struct(x["version"].alias("live"), F.array_remove(archived, x["version"]).alias("old"))
-        back = F.when(F.size(s["old"]) > 0, F.struct(F.get(s["old"], F.lit(0)).alias("live"), F.array_remove(archived, F.get(s["old"], F.lit(0))).alias("old"))).otherwise(s)
-        clear = F.struct(F.lit(None).cast("string").alias("live"), archived.alias("old"))
-        return F.when(x["action"] == "promote", promote.cast(kind)).when(x["action"] == "rollback", back.cast(kind)).when(x["action"] == "clear", clear.cast(kind)).otherwise(s.cast(kind))
-
-    s = events.groupBy("branch").agg(F.aggregate(e, start.cast(kind), step).alias("s"))
-    rows = F.concat(F.when(F.col("s.live").isNotNull(), F.array(F.struct(F.col("s.live").alias("version"), F.lit("production").alias("stage")))).otherwise(F.array().cast("array<struct<version:string,stage:string>>")), F.transform("s.old", lambda v: F.struct(v.alias("version"), F.lit("archived").alias("stage"))))
-    return s.select("branch", F.explode(rows).alias("r")).select("branch", "r.version", "r.stage")
+    known = events.filter(F.col("action").isin("rollback", "clear") | ((F.col("action") == "promote") & F.col("version").isNotNull()))
+    log = known.select(F.col("branch").cast("string").alias("branch"), F.col("at").cast("long").alias("at"), "action", F.col("version").cast("string").alias("version"))
+    tails = log.repartitionByRange(*LOG).sortWithinPartitions(*LOG).mapInArrow(_tails, _LOG_TYPES)
+    live = tails.repartition("branch").sortWithinPartitions(*LOG).mapInArrow(_fold, "branch string, live string")
+    versions = log.filter("action = 'promote'").select("branch", "version").distinct()
+    found = versions.join(live.withColumnRenamed("branch", "_branch"), F.col("branch").eqNullSafe(F.col("_branch")), "left")
+    return found.select("branch", "version", F.when(F.col("version") == F.col("live"), "production").otherwise("archived").alias("stage"))
 
 
 def resolve_active(events: DataFrame, baselines: DataFrame) -> DataFrame:

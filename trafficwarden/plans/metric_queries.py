@@ -179,11 +179,15 @@ gg AS (SELECT *, none OR other AS skip FROM gp LEFT JOIN gl USING (model) LEFT J
 
 
 def _events(s, d):
-    o = s.read.parquet(f"{d}/orders.parquet").filter("o_orderkey < 4000")
+    o = s.read.parquet(f"{d}/orders.parquet")
     k = F.col("o_orderkey")
     return o.select(k.alias("at"), F.concat(F.lit("b"), (F.col("o_custkey") % 9).cast("string")).alias("branch"), F.when(k % 7 == 0, "rollback").when(k % 31 == 0, "clear").otherwise("promote").alias("action"), F.concat(F.lit("v"), k.cast("string")).alias("version"))
 
 
+def _active(events):
+    return L.resolve_active(events.filter("action = 'promote'"), events.select("branch").distinct().withColumn("version", F.lit("base")))
+
+
 def _versions(s, d):
     n = s.read.parquet(f"{d}/nation.parquet")
     return n.select(F.concat((F.col("n_regionkey") + 1).cast("string"), F.lit("."), F.col("n_nationkey").cast("string")).alias("version"), F.array(F.lit("normal"), F.lit("union_based")).alias("label_space"), F.md5("n_name").alias("content_hash"), (F.col("n_nationkey") < 3).alias("protected"))
@@ -254,7 +258,8 @@ QUERIES = {
     "g6_content_hash": lambda s, d: L.content_hash(scored(s, d), "id", "label", 16),
     "g8_seal": _seal,
     "g9_stages": lambda s, d: L.stages(_events(s, d)).groupBy("branch", "stage").agg(F.count("*").alias("n")),
-    "g9_resolve_active": lambda s, d: L.resolve_active(_events(s, d).filter("action = 'promote'"), _events(s, d).select("branch").distinct().withColumn("version", F.lit("base"))),
+    "g9_resolve_active": lambda s, d: _active(_events(s, d).filter("at < 4000")),  # as its SQL states; the whole log is the next query
+    "g9_resolve_active_whole": lambda s, d: _active(_events(s, d)),
     "g10_training_set": lambda s, d: L.next_training_set(scored(s, d).filter("id % 2 = 0").select("id", F.concat(F.lit("t"), (F.col("id") % 97).cast("string")).alias("query_canonical"), "label"), scored(s, d).filter("id % 2 = 1 and label > 0").select("id", F.concat(F.lit("t"), (F.col("id") % 89).cast("string")).alias("query_canonical"), "label", F.col("ts").alias("confirmed_at"))),
     "u2_golden": lambda s, d: L.with_new_class(scored(s, d).filter("id % 4 = 0"), scored(s, d).filter("id % 6 = 0")).select("id"),
     "u4_new_classes": lambda s, d: _versions(s, d).select("version", F.array_join(L.next_version(F.col("version"), F.array(F.lit("normal")), F.col("label_space"))["new_classes"], ",").alias("new_classes")),
@@ -319,6 +324,7 @@ SQL = {
     "g6_content_hash": _w("SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, chr(30) ORDER BY b)) AS content_hash FROM (SELECT b, count(*) AS n, sha256(string_agg(h, chr(30) ORDER BY h)) AS h FROM (SELECT h, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 16 AS b FROM (SELECT sha256(id || chr(31) || label) AS h FROM scored)) GROUP BY b)"),
     "g8_seal": f"WITH {_V}, c AS (SELECT s_suppkey, (s_nationkey % 6 + 1) || '.' || s_nationkey AS parent, md5(CAST(s_suppkey AS VARCHAR)) AS content_hash, s_suppkey % 3 = 0 AS fresh FROM supplier), j AS (SELECT c.*, version IS NOT NULL AS known FROM c LEFT JOIN ver ON version = parent) SELECT parent, content_hash, CASE WHEN fresh OR NOT known THEN 'major' ELSE 'minor' END AS bump, CASE WHEN known THEN CASE WHEN fresh THEN (CAST(split_part(parent, '.', 1) AS INT) + 1) || '.0' ELSE split_part(parent, '.', 1) || '.' || (CAST(split_part(parent, '.', 2) AS INT) + 1) END END AS version, CASE WHEN known THEN CASE WHEN fresh THEN 'stacked' ELSE '' END ELSE CASE WHEN fresh THEN 'normal,stacked' ELSE 'normal' END END AS new_classes, CASE WHEN NOT known THEN 'unknown parent' END AS error FROM j",
     "g9_resolve_active": "WITH e AS (SELECT o_orderkey AS k, 'b' || (o_custkey % 9) AS branch, o_orderkey % 7 <> 0 AND o_orderkey % 31 <> 0 AS p FROM orders WHERE o_orderkey < 4000) SELECT branch, coalesce('v' || max(k) FILTER (p), 'base') AS version FROM e GROUP BY branch",
+    "g9_resolve_active_whole": "WITH e AS (SELECT o_orderkey AS k, 'b' || (o_custkey % 9) AS branch, o_orderkey % 7 <> 0 AND o_orderkey % 31 <> 0 AS p FROM orders) SELECT branch, coalesce('v' || max(k) FILTER (p), 'base') AS version FROM e GROUP BY branch",
     "g10_training_set": _w(", u AS (SELECT id, 't' || (id % 97) AS query_canonical, label, NULL::TIMESTAMP AS c, 0 AS r FROM scored WHERE id % 2 = 0 UNION ALL SELECT id, 't' || (id % 89), label, ts, 1 FROM scored WHERE id % 2 = 1 AND label > 0) SELECT id, query_canonical, label FROM (SELECT *, row_number() OVER (PARTITION BY query_canonical ORDER BY r DESC, c DESC NULLS LAST, id DESC) AS k FROM u) WHERE k = 1"),
     "u2_golden": _w("SELECT id FROM scored WHERE id % 4 = 0 OR id % 6 = 0"),
     "u4_new_classes": f"WITH {_V} SELECT version, 'union_based' AS new_classes FROM ver",
