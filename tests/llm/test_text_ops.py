@@ -276,6 +276,21 @@ def test_neighbours(spark):
     assert ann.nearest(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_clusters_and_outliers(spark):
+    """Every query gets its 20 rows, though most of the neighbours lie in a single list and some lists hold a vector or two."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 16))
+    x = np.concatenate([np.repeat(centres, 50, axis=0) + rng.normal(size=(3000, 16)) * 0.01, rng.normal(size=(60, 16)) * 1.5])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(df, F.lit(True)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sorted(got) == list(range(len(x))) and {len(v) for v in got.values()} == {20}
+    best = np.argsort(-(x @ x.T - np.diag(np.full(len(x), np.inf))), axis=1)[:, :20]
+    recall = np.array([len(got[i] & set(best[i])) / 20 for i in range(len(x))])
+    assert recall.mean() > 0.9 and recall[3000:].mean() > 0.8
+
+
 # Preferences.
 
 

@@ -4,7 +4,8 @@ Equal vectors are found first and searched once; of each at most ``top + 1`` sma
 among the nearest, so no more are kept. An extra coordinate gives all vectors one length, which turns
 the largest inner product into the smallest distance. K-means on a bounded sample gives the lists;
 every vector is in the list of its nearest centre, and a query probes its nearest lists. How many is
-measured on the sample: few where vectors cluster, up to all where they don't.
+measured on the sample, for all of it and for the rows of each list: few where vectors cluster, up to
+all where they don't. Further lists are added until they are known to hold several times the ids asked for.
 
 Lists are dealt out in blocks of bounded size, and so are the queries of a list, so a task holds one
 block of each. There the vectors, rotated at random, are scanned in blocks of columns: from the partial
@@ -30,8 +31,10 @@ from trafficwarden.llm.common import materialise
 TOP = 20
 #: Bounds: sample that the centres are fitted on, and lists.
 SAMPLE, LISTS = 16_384, 1024
-#: Queries probe so many lists that this part of the true neighbours within the sample lies in them; rows that tell so.
-TARGET, TRIED = 0.96, 512
+#: Queries probe so many lists that this part of the true neighbours within the sample lies in them; rows that tell so, in all and of each list.
+TARGET, TRIED, TRIED_EACH = 0.96, 512, 2
+#: The probed lists hold at least so many times the ids asked for, or are all lists.
+AMPLE = 4
 #: Columns scanned at once, and the slack of the test.
 COLUMNS, EPSILON = 16, 2.1
 #: Rows of a block of vectors, of queries, and vectors between two updates of the bounds.
@@ -58,15 +61,37 @@ class Lists:
             for k in range(x.shape[1]):
                 centres[:, k] = np.where(n > 0, np.bincount(near, x[:, k], len(centres)) / np.maximum(n, 1), centres[:, k])
         self.centres = centres
-        tried = sample[:TRIED].astype(np.float64)
-        score = tried @ sample.T.astype(np.float64)
-        score[np.arange(len(tried)), np.arange(len(tried))] = -np.inf
-        best = np.argsort(-score, axis=1)[:, : min(TOP, len(sample) - 1)]
-        order = np.argsort(self.probes(tried, len(centres)), axis=1)  # place of each list for each row
-        place = np.take_along_axis(order, self.of(sample)[best], axis=1) if best.size else np.zeros(1)
-        self.enough = int(np.quantile(place, TARGET)) + 1
+        self.enough = self._measured(sample, rng.permutation(len(sample)))
         self.rotation = np.linalg.qr(rng.standard_normal((x.shape[1], x.shape[1])))[0].astype(np.float32)
 
+    def _measured(self, sample: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        """For each list that is a row's nearest, how many lists that row probes: for all rows by the first ``TRIED``, more where the rows of the list need it."""
+        whole, home, lists = sample.astype(np.float64), self.of(sample), len(self.centres)
+        first = np.concatenate([self.probes(part, 1)[:, 0] for part in np.array_split(sample, -(-len(sample) // 2048))])
+        order = drawn[np.argsort(first[drawn], kind="stable")]  # some rows of each list, so that small ones are heard
+        each = order[np.arange(len(order)) - np.searchsorted(first[order], first[order]) < TRIED_EACH]
+        many = min(TOP, len(sample) - 1)
+        if not many:
+            return np.ones(lists, np.int64)
+
+        def places(rows: np.ndarray) -> np.ndarray:
+            score = whole[rows] @ whole.T
+            score[np.arange(len(rows)), rows] = -np.inf
+            best = np.argpartition(-score, many - 1, axis=1)[:, :many]
+            return np.take_along_axis(np.argsort(self.probes(sample[rows], lists), axis=1), home[best], axis=1)  # place of each neighbour's list
+
+        enough = np.full(lists, int(np.quantile(np.concatenate([places(r) for r in np.array_split(drawn[:TRIED], 4) if len(r)]), TARGET)) + 1)
+        for rows in np.array_split(each, -(-len(each) // 128)):
+            np.maximum.at(enough, first[rows], np.quantile(places(rows), TARGET, axis=1).astype(np.int64) + 1)
+        return enough
+
+    def probed(self, q: np.ndarray, held: np.ndarray, ids: int) -> tuple[np.ndarray, np.ndarray]:
+        """(lists end to end, number for each row): as measured, and on until the lists hold so many ids (``held``: ids of each list)."""
+        order = self.probes(q, len(self.centres))
+        short = (np.cumsum(held[order], axis=1) < ids).sum(1) + 1
+        n = np.minimum(np.maximum(short, self.enough[order[:, 0]]), order.shape[1])
+        return order[np.arange(order.shape[1]) < n[:, None]].astype(np.int32), n
+
     def level(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """One more coordinate: what the squared length lacks to the longest; nought for queries."""
         x = x.astype(np.float64)
@@ -165,24 +190,26 @@ def nearest(
     part = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
     some = one.filter(part < int(min(1.0, 1.2 * sample / n) * (1 << 30))).select("v", part.alias("h")).orderBy("h").limit(sample).collect()
     fitted = Lists(np.array([r.v for r in some] or [one.first().v]), longest, lists)
-    probes = fitted.enough
     shared = spark.sparkContext.broadcast(fitted)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, -1)
             raw = pa.array([r.tobytes() for r in x], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), raw, pa.array(shared.value.of(x).astype(np.int32))], ["key", "v", "list"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), raw, batch.column(2), pa.array(shared.value.of(x).astype(np.int32))], ["key", "v", "copies", "list"])
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, -1)
-            own = shared.value.probes(x, probes).astype(np.int32)
+            found = [shared.value.probed(x[i : i + 2048], sizes, AMPLE * top + 1) for i in range(0, len(x), 2048)] or [(np.empty(0, np.int32), np.empty(0, np.int64))]
             raw = pa.array([r.tobytes() for r in x], pa.binary())
-            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * own.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), raw, pa.ListArray.from_arrays(ends, pa.array(own.ravel()))], ["query", "q", "lists"])
+            ends = np.concatenate(([0], np.cumsum(np.concatenate([n for _, n in found])))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), raw, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([own for own, _ in found])))], ["query", "q", "lists"])
 
-    held = materialise(one.select("key", "v").mapInArrow(listed, "key long, v binary, list int"), "lists")
+    held = materialise(one.select("key", "v", F.size("ids").alias("copies")).mapInArrow(listed, "key long, v binary, copies int, list int"), "lists")
+    sizes = np.zeros(len(fitted.centres), np.int64)
+    for r in held.groupBy("list").agg(F.sum("copies").alias("n")).collect():  # at most LISTS rows
+        sizes[r["list"]] = r.n
     sought = one.select("key", "v").join(asked.select("v").distinct(), "v", "left_semi").select("key", "v")
     sought = materialise(sought.mapInArrow(probing, "query long, q binary, lists array<int>").select("query", "q", F.explode("lists").alias("list")), "probes")
 
