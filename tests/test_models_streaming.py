@@ -100,3 +100,20 @@ def test_holds_time_out(spark, tmp_path):
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
     J.run_to_end(J.hold_timeouts(s), f"{tmp_path}/out", f"{tmp_path}/s")
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(1, "approved"), (2, "deny")}
+
+
+def test_stream_files_arrive_in_time_order(spark, tmp_path, monkeypatch):
+    """Where the earliest range is slow to write, later ones still come after it, and no row is dropped as late."""
+    from trafficwarden.plans import stream_queries as Q
+
+    span = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 600)
+    heavy = F.when(F.col("id") < 500, F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(3_000)), lambda i: F.sha2(F.concat_ws(",", i, "id"), 256)))).otherwise(F.lit("x"))
+    rows = spark.range(2000).select("id", span.alias("ts"), (F.col("id") % 3).alias("client"), heavy.alias("query_raw"), F.lit(False).alias("is_attack"), F.lit("normal").alias("predicted"), F.lit(0.9).alias("confidence"), F.lit(0.1).alias("score"), F.lit("normal").alias("label_name"))
+    monkeypatch.setattr(Q, "_rows", lambda s, d: rows)
+    made = Q._folder(spark)
+    monkeypatch.setattr(Q, "_folder", lambda s: made)
+    assert Q.streamed(J.once)(spark, "").count() == 2000
+    spans = spark.read.parquet(f"{made}/in").select("ts", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file")).groupBy("file", "at").agg(F.min("ts").alias("low"), F.max("ts").alias("high")).orderBy("low").collect()
+    assert all(a.at < b.at and a.high < b.low for a, b in zip(spans, spans[1:]))
+    light = rows.withColumn("query_raw", F.lit("x"))
+    assert len(spark.read.parquet(Q.in_order(light, f"{made}/more", per_file=300)).inputFiles()) == 7

@@ -18,12 +18,31 @@ def _rows(s, d):
     return traffic(s, d).select("id", "ts", "client", "query_raw", "is_attack").join(scored(s, d).select("id", "predicted", "confidence", "score", "label_name"), "id")
 
 
+#: Rows of a file of the stream, about; and the fewest files.
+FILE_ROWS, FILES = 250_000, 4
+
+
+def in_order(rows, base, per_file=FILE_ROWS):
+    """The folder of rows in files of rising ts, written one after the other: a stream takes files by the time they were written.
+
+    The rows are dealt out once, in parallel; then each range is copied in its turn, so a slow or repeated task can't let a later range come first.
+    """
+    spark = rows.sparkSession
+    rows.write.parquet(f"{base}/rows")
+    kept = spark.read.schema(rows.schema).parquet(f"{base}/rows")
+    files = max(FILES, -(-kept.count() // per_file))
+    kept.repartitionByRange(files, "ts").withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(f"{base}/ranges")
+    dealt = spark.read.parquet(f"{base}/ranges").select("_range").distinct().collect()  # a row for each file
+    for r in sorted(r["_range"] for r in dealt):
+        spark.read.schema(rows.schema).parquet(f"{base}/ranges/_range={r}").coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(f"{base}/in")
+    return f"{base}/in"
+
+
 def streamed(job, sort=True):
     """A query that writes the traffic to files in time order, streams them through the job, and reads what came out."""
     def run(s, d):
         base = _folder(s)
-        _rows(s, d).repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/in")
-        J.run_to_end(job(J.events(s, f"{base}/in", files=2)), f"{base}/out", f"{base}/state")
+        J.run_to_end(job(J.events(s, in_order(_rows(s, d), base), files=2)), f"{base}/out", f"{base}/state")
         return s.read.parquet(f"{base}/out")
 
     return run
