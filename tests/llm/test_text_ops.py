@@ -302,3 +302,24 @@ def test_preferences(spark):
     assert got == {(1, "prompt", "<|user|>\nq<|end|>\n", 0, 0), (1, "chosen", "<|assistant|>\ngood<|end|>\n", 14, 26), (1, "rejected", "<|assistant|>\nbad<|end|>\n", 14, 25), (2, "prompt", "<|user|>\nsame<|end|>\n", 0, 0), (3, "prompt", "<|user|>\n<|end|>\n", 0, 0), (3, "chosen", "<|user|>\n<|end|>\n", 0, 0)}
     assert chat.format_preferences(one.limit(0), two).count() == 0
     assert json.dumps(sorted(chat.swapped_answers(one).columns)) == '["conv_id", "role", "text", "turn"]'
+
+
+def test_every_answered_conversation_gets_a_pair(spark):
+    """With gaps in the ids, conversations without an answer, and for the last one."""
+    turns = spark.createDataFrame([(c, t, r, f"{r}{c}") for c in (3, 40, 41, 90, 700) for t, r in enumerate(["user", "assistant"]) if (c, r) != (41, "assistant")], "conv_id long, turn int, role string, text string")
+    got = {r.conv_id: r.text for r in chat.swapped_answers_all(turns).filter("role = 'assistant'").collect()}
+    assert got == {3: "assistant40", 40: "assistant90", 90: "assistant700", 700: "assistant3"}
+    assert chat.swapped_answers_all(turns.limit(0)).count() == 0
+
+
+def test_preferences_of_all_match_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet'")
+    got, want = chat.op7_preferences_all(spark, d).toPandas(), duck.execute(chat.OP7_ALL_SQL).df()
+    order = ["conv_id", "part", "turn", "role", "copy", "text_md5"]
+    assert got[want.columns].sort_values(order).values.tolist() == want.sort_values(order).values.tolist()
+    answered = duck.execute("SELECT count(DISTINCT conv_id) FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL").fetchone()[0]
+    assert got["conv_id"].nunique() == answered

@@ -9,10 +9,15 @@ partner, which is aggregated with map-side combination. Native functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trafficwarden.llm.common import materialise
+from trafficwarden.operators.order import with_position
+
 #: The role whose turns are learned, and what stands before and after a turn's text.
 LEARNED, BEFORE, BETWEEN, AFTER = "assistant", "<|", "|>\n", "<|end|>\n"
 
@@ -50,26 +55,53 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, pair: str = "conv
     )
 
 
+def _with_ends(turns: DataFrame, ends: DataFrame) -> DataFrame:
+    before = turns.join(ends, "conv_id").filter("turn < end").select("conv_id", "turn", "role", "text")
+    return before.unionByName(ends.select("conv_id", F.col("end").alias("turn"), F.lit(LEARNED).alias("role"), F.col("other").alias("text")))
+
+
+def _last_answers(turns: DataFrame) -> DataFrame:
+    return turns.filter((F.col("role") == LEARNED) & F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+
+
 def swapped_answers(turns: DataFrame) -> DataFrame:
     """Rejected conversations: each conversation up to its last answer, with the last answer of the conversation of the next id in its place.
 
-    Conversations without an answer, or without a next one that has one, get none.
+    Conversations without an answer, or whose id plus one has none, get none.
     """
-    answer = F.struct("turn", "text")
-    last = turns.filter((F.col("role") == LEARNED) & F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.max(answer).alias("last"))
+    last = _last_answers(turns)
     given = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
-    ends = last.join(given, "conv_id").select("conv_id", F.col("last.turn").alias("end"), "other")
-    before = turns.join(ends, "conv_id").filter("turn < end").select("conv_id", "turn", "role", "text")
-    return before.unionByName(ends.select("conv_id", F.col("end").alias("turn"), F.lit(LEARNED).alias("role"), F.col("other").alias("text")))
+    return _with_ends(turns, last.join(given, "conv_id").select("conv_id", F.col("last.turn").alias("end"), "other"))
 
 
-def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation against itself with another last answer."""
+def swapped_answers_all(turns: DataFrame) -> DataFrame:
+    """As ``swapped_answers``, but with the last answer of the next conversation in id order that has one; the first follows the last.
+
+    Every conversation with an answer gets one; where a single one has an answer it gets its own.
+    """
+    last = materialise(_last_answers(turns.filter("turn is not null")), "answers")
+    placed = materialise(with_position(last, ["conv_id"]), "placed")
+    n = placed.count()
+    given = placed.select(F.pmod(F.col("position") - 1, F.lit(max(n, 1))).alias("position"), F.col("last.text").alias("other"))
+    return _with_ends(turns, placed.join(given, "position").select("conv_id", F.col("last.turn").alias("end"), "other"))
+
+
+def _op7(spark: SparkSession, sf_dir: str, swapped: Callable[[DataFrame], DataFrame]) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    out = format_preferences(turns, swapped_answers(turns))
+    out = format_preferences(turns, swapped(turns))
     return out.select("conv_id", "part", "turn", "role", "copy", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), "learned_from", "learned_to")
 
 
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation whose id plus one has an answer, against itself with that last answer."""
+    return _op7(spark, sf_dir, swapped_answers)
+
+
+def op7_preferences_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with an answer against itself with the last answer of the next one that has any."""
+    return _op7(spark, sf_dir, swapped_answers_all)
+
+
 OP7_SQL = r"""
 WITH last AS (SELECT conv_id, max({'t': turn, 'x': text}) AS l FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL GROUP BY conv_id),
 ends AS (SELECT a.conv_id, a.l.t AS e, b.l.x AS other FROM last a JOIN last b ON b.conv_id = a.conv_id + 1),
@@ -86,3 +118,11 @@ s AS (SELECT conv_id, 'prompt' AS part, turn, role, copy, text FROM p WHERE shar
 w AS (SELECT *, '<|' || role || '|>' || chr(10) AS head, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS whole, part <> 'prompt' AND role = 'assistant' AS learned FROM s)
 SELECT conv_id, part, turn, role, copy, CAST(length(whole) AS BIGINT) AS n_chars, md5(whole) AS text_md5, CAST(CASE WHEN learned THEN length(head) ELSE 0 END AS BIGINT) AS learned_from, CAST(CASE WHEN learned THEN length(whole) ELSE 0 END AS BIGINT) AS learned_to FROM w
 """
+
+
+OP7_ALL_SQL = OP7_SQL.replace(
+    "JOIN last b ON b.conv_id = a.conv_id + 1)", "JOIN placed p ON p.conv_id = a.conv_id JOIN placed b ON b.i = (p.i + 1) % p.n)"
+).replace(
+    "role = 'assistant' AND conv_id IS NOT NULL GROUP BY conv_id),",
+    "role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),\nplaced AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS i, count(*) OVER () AS n FROM last),",
+)
