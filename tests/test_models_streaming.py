@@ -117,3 +117,15 @@ def test_stream_files_arrive_in_time_order(spark, tmp_path, monkeypatch):
     assert all(a.at < b.at and a.high < b.low for a, b in zip(spans, spans[1:]))
     light = rows.withColumn("query_raw", F.lit("x"))
     assert len(spark.read.parquet(Q.in_order(light, f"{made}/more", per_file=300)).inputFiles()) == 7
+
+
+def test_registered_comparisons_are_whole(spark, monkeypatch):
+    """The queries leave out no candidate or detector, and fit with the operator's own vocabulary and iterations."""
+    from trafficwarden.plans import model_queries as Q
+
+    d, asked = "/root/testdata/sf0.001", []
+    assert {r.candidate for r in Q.QUERIES["ml4_compare_classifiers"](spark, d).collect()} == set(ML.candidates())
+    assert {r.detector for r in Q.QUERIES["ml11_compare_detectors"](spark, d).collect()} == set(Q.DETECTORS)
+    fit = ML.fit_classifier
+    monkeypatch.setattr(ML, "fit_classifier", lambda df, **options: asked.append(options) or fit(df, **options))
+    assert Q.QUERIES["ml2_ml3_classify"](spark, d).count() > 0 and asked == [{}]

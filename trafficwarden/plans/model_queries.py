@@ -25,7 +25,7 @@ def _corpus(s, d):
 
 def _classified(s, d):
     rows = _corpus(s, d)
-    model = M.fit_classifier(rows.filter("split = 'train'"), vocabulary=5000, iterations=30)
+    model = M.fit_classifier(rows.filter("split = 'train'"))
     return M.classify(model, rows.filter("split = 'test'"))
 
 
@@ -74,7 +74,7 @@ def _scaled_lineitem(s, d):
 QUERIES = {
     "ml1_gram_frequencies": lambda s, d: M.gram_frequencies(tagged(s, d)),
     "ml2_ml3_classify": lambda s, d: _classified(s, d).select("id", "label_name", "predicted", "confidence", "attack_prob", "is_sqli"),
-    "ml4_compare_classifiers": lambda s, d: M.compare_classifiers(_corpus(s, d).filter("split = 'train'"), _corpus(s, d).filter("split = 'test'"), names=["logistic_regression", "naive_bayes"]),
+    "ml4_compare_classifiers": lambda s, d: M.compare_classifiers(_corpus(s, d).filter("split = 'train'"), _corpus(s, d).filter("split = 'test'")),
     "ml5_scaling": _scaled_lineitem,
     "ml6_lof_parts": _lof_parts,
     "ml6_lof": _detector("local_outlier_factor"),
@@ -82,7 +82,7 @@ QUERIES = {
     "ml8_one_class_svm": _detector("one_class_svm"),
     "ml9_flags": lambda s, d: M.flags(_detector("isolation_forest")(s, d), 0.55),
     "ml10_grid_search": lambda s, d: M.grid_search("isolation_forest", *_vectors(s, d), _positive(), {"trees": [10, 30], "sample": [64, 256]}),
-    "ml11_compare_detectors": lambda s, d: M.compare_detectors(*_vectors(s, d), _positive(), DETECTORS[1:]),
+    "ml11_compare_detectors": lambda s, d: M.compare_detectors(*_vectors(s, d), _positive(), DETECTORS),
     "l4_best": lambda s, d: M.best(M.grid_search("isolation_forest", *_vectors(s, d), _positive(), {"trees": [10, 30]}), "options", "auc"),
     "ml12_zero_day": lambda s, d: M.zero_day_runs(_corpus(s, d), "label", [1, 3], _detector("isolation_forest")(s, d), threshold=0.55),
     "ml13_univariate_ks": lambda s, d: M.univariate_ks(X.with_features(tagged(s, d), names=FEATURES), FEATURES, _positive()),
