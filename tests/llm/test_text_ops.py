@@ -274,6 +274,22 @@ def test_neighbours(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in ann.nearest(few, F.col("vec_id") % 20 == 0).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
     assert ann.nearest(few.limit(0), F.lit(True)).count() == 0
+    again = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.9, 0.0]), (2, [0.5, 0.0]), (3, [2.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.nearest(again, F.lit(True)).filter("query_id = 0").collect())
+    want = [(0, 1, 0, 1.0), (0, 2, 0, 0.9), (0, 3, 2, 0.5)] * 2 + [(0, 1, 0, 0.9), (0, 2, 0, 0.9), (0, 3, 2, 0.45)]
+    assert got == sorted(want)  # rows of equal ids are rows of their own; other lengths are apart
+
+
+def test_recall_against_sql(spark):
+    import duckdb
+
+    con, data = duckdb.connect(), "/root/testdata/sf0.01"
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{data}/embeddings.parquet'")
+    want = {(q, v): s for q, _, v, s in con.execute(ann.EXACT_SQL).fetchall()}
+    got = ann.op2_nearest(spark, data).collect()
+    assert len(got) == len(want) and len({(r.query_id, r["rank"]) for r in got}) == len(got)
+    assert sum((r.query_id, r.vec_id) in want for r in got) >= 0.9 * len(want)
+    assert all(abs(want[r.query_id, r.vec_id] - r.score) < 1e-12 for r in got if (r.query_id, r.vec_id) in want)
 
 
 def test_neighbours_of_clusters_and_outliers(spark):
