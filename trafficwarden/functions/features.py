@@ -1,13 +1,15 @@
-"""Twelve structural features of a query text, as native column expressions. A null text gives nulls."""
+"""Twelve structural features of a query text: native column expressions, but for the two entropies,
+which are found in Arrow batches. A null text gives nulls."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from trafficwarden.functions.text import characters
+from pyspark.sql import types as T
 
 # Special signs and keywords that are counted.
 SPECIAL = "'\";#-=<>()*|%"
@@ -28,30 +30,61 @@ def sql_keyword_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?iU)\b(" + "|".join(KEYWORDS) + r")\b"))
 
 
-def _bits(items: Column, text: Column) -> Column:
-    """Shannon entropy in bits of the items: -sum(p log p) over runs of the sorted items."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0.0).alias("sum"))
-    term = lambda n: F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(0.0)
-
-    def step(s: Column, x: Column) -> Column:
-        same = s["last"] == x
-        return F.struct(x.alias("last"), F.when(same, s["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"), F.when(same, s["sum"]).otherwise(s["sum"] + term(s["run"])).alias("sum"))
-
-    n = F.size(items).cast("double")
-    total = F.aggregate(F.sort_array(items), start, step, lambda s: s["sum"] + term(s["run"]))
-    return F.when(text.isNotNull(), F.when(n > 0, F.greatest(F.log2(n) - total / n, F.lit(0.0))).otherwise(0.0))
+#: Characters whose entropy is found at once.
+_CHARACTERS = 1 << 20
+
+
+def _entropies(texts: pd.Series, width: int) -> pd.Series:
+    """Shannon entropy in bits of the runs of ``width`` characters of each text; null for null, 0 without runs."""
+    points = [("" if t is None else t).encode("utf-32-le", "replace") for t in texts]
+    lengths = np.array([len(p) >> 2 for p in points], np.int64)
+    out = np.zeros(len(points))
+    ends = np.cumsum(lengths)
+    begin = 0
+    while begin < len(points):  # rows of about _CHARACTERS together; each row is whole
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + _CHARACTERS, "right")))
+        codes = np.frombuffer(b"".join(points[begin:stop]), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(stop - begin), lengths[begin:stop])
+        if width == 2:
+            codes, inside = (codes[:-1] << 21) | codes[1:], row[1:] == row[:-1]
+            codes, row = codes[inside], row[1:][inside]
+        if len(codes):
+            order = np.lexsort((codes, row)) if stop - begin >= 1 << 20 else None
+            if order is None:  # row and codes in one number: 20 and 42 bits
+                both = np.sort((row << 42) | codes)
+                row = both >> 42
+            else:
+                row, both = row[order], codes[order]
+            first = np.flatnonzero(np.append(True, (both[1:] != both[:-1]) | (row[1:] != row[:-1])))
+            n = np.diff(np.append(first, len(both))).astype(float)
+            total = np.bincount(row, minlength=stop - begin)
+            inner = np.bincount(row[first], n * np.log2(n), stop - begin)
+            some = total > 0
+            out[begin:stop][some] = np.maximum(np.log2(total[some]) - inner[some] / total[some], 0.0)
+        begin = stop
+    return pd.Series(out).where(~texts.isna().to_numpy())
+
+
+# Counts of repeated items need a map for each row, which the built-in functions build an element at a
+# time; an Arrow batch sorts all characters of its rows at once.
+@F.pandas_udf(T.DoubleType())
+def _character_entropy(texts: pd.Series) -> pd.Series:
+    return _entropies(texts, 1)
+
+
+@F.pandas_udf(T.DoubleType())
+def _bigram_entropy(texts: pd.Series) -> pd.Series:
+    return _entropies(texts, 2)
 
 
 def entropy(text: Column) -> Column:
     """Bits per character; 0 for an empty text."""
-    return _bits(characters(text), text)
+    return _character_entropy(text)
 
 
 def bigram_entropy(text: Column) -> Column:
     """Bits per pair of neighbouring characters; 0 below two characters."""
-    chars = characters(text)
-    pairs = F.when(F.size(chars) > 1, F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
-    return _bits(pairs, text)
+    return _bigram_entropy(text)
 
 
 def _odd(text: Column, sign: str) -> Column:

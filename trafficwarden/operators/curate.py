@@ -178,11 +178,11 @@ def reservoir(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
 
 
 def with_replacement(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
-    """So many draws, each row as often as it is drawn: draw d takes the row of rank crc32(seed:d) mod n."""
+    """So many draws, each row as often as it is drawn: draw d takes the row of rank hash(seed:d) mod n."""
     r = _ranked(df, [], key, seed)
     draws = df.sparkSession.range(1, rows + 1).select(F.col("id").alias("draw"))
     n = df.agg(F.count("*").alias("_n"))  # one row
-    draws = draws.join(F.broadcast(n)).filter("_n > 0").select("draw", (F.crc32(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"))) % F.col("_n") + 1).alias("_r"))
+    draws = draws.join(F.broadcast(n)).filter("_n > 0").select("draw", (F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string")), 256), 1, 8), 16, 10).cast("long") % F.col("_n") + 1).alias("_r"))
     return r.drop("_n").join(draws, "_r").drop("_r")
 
 
@@ -247,6 +247,12 @@ def stacked_payloads(spark, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.filter(F.col("n") < limit)
 
 
+def stacked_on(df: DataFrame, text: str) -> DataFrame:
+    """df with n (from 0) and payload: each text with every statement and terminator behind it."""
+    endings = [f"; {s}{t}" for s in STATEMENTS for t in TERMINATORS]
+    return df.select("*", F.posexplode(F.array(*[F.lit(e) for e in endings])).alias("n", "_end")).withColumn("payload", F.concat(text, "_end")).drop("_end")
+
+
 def fragment_sessions(payloads: DataFrame, text: str, key: str, parts: int = 4, seed: int = 0) -> DataFrame:
     """A session of label 3 for each payload: its fragments in order, with gaps made from a hash."""
     from trafficwarden.functions.text import fragments

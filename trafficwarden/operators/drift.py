@@ -63,10 +63,12 @@ def uniform(ref: Column) -> Column:
     return F.transform(ref, lambda _: F.lit(1.0) / F.size(ref))
 
 
-def psi(df: DataFrame, reference: DataFrame, windows: list[str], by: str = "feature", x: str = "x", metric: str = "psi") -> DataFrame:
+def psi(df: DataFrame, reference: DataFrame, windows: list[str], by: str = "feature", x: str = "x", metric: str = "psi", digits: int | None = 6) -> DataFrame:
     """windows, feature, n, psi of each window against the reference. Windows without values have no row."""
-    of = psi_of if metric == "psi" else kl_of
-    return fractions(df, reference, windows, by, x).join(F.broadcast(reference.select(by, "ref")), by).select(*windows, by, "n", F.round(of(F.col("cur"), F.col("ref")), 6).alias(metric))
+    value = (psi_of if metric == "psi" else kl_of)(F.col("cur"), F.col("ref"))
+    value = value if digits is None else F.round(value, digits)
+    placed = fractions(df, reference, windows, by, x).join(F.broadcast(reference.select(by, "ref")), by)
+    return placed.select(*windows, by, "n", value.alias(metric))
 
 
 def shares(df: DataFrame, windows: list[str], label: str) -> DataFrame:
@@ -105,21 +107,25 @@ def replay(stream: DataFrame, features: list[str], size: int, baseline: int, bin
     flagged = F.col("predicted") != "normal"
     rows = stream.withColumn("window", count_window("position", size))
     is_ref = F.col("position") < baseline * size
-    ref, hit = rows.filter(is_ref), rows.filter(flagged)
-    keep = ["window"]
-
-    def mean_psi(part: DataFrame, reference: DataFrame, name: str, names: list[str]) -> DataFrame:
-        return psi(long_features(part, names, keep), fit_reference(long_features(reference, names, keep), bins), keep).groupBy("window").agg(F.mean("psi").alias(name))
-
+    ref, keep = rows.filter(is_ref), ["window"]
+    names = list(dict.fromkeys([*features, "confidence"]))
+
+    # one table of series: all rows, flagged rows, and flagged rows against the bins of all rows
+    def series(df: DataFrame, mixed: Column) -> DataFrame:
+        each = lambda kind, f, on: F.struct(F.lit(f"{kind}/{f}").alias("feature"), F.when(on, F.col(f).cast("double")).alias("x"))
+        of = [each("all", f, F.lit(True)) for f in names] + [each("hit", f, flagged) for f in names] + [each("mix", "confidence", mixed)]
+        return df.select("window", F.explode(F.array(*of)).alias("p")).select("window", "p.feature", "p.x")
+
+    found = psi(series(rows, flagged), fit_reference(series(ref, F.lit(True)), bins), keep, digits=None)
+    mean = lambda kind, of: F.mean(F.when(F.col("feature").isin([f"{kind}/{f}" for f in of]), F.col("psi")))
+    means = found.groupBy("window").agg(
+        mean("all", features).alias("global"), mean("hit", features).alias("attack_subpop"), mean("all", ["confidence"]).alias("confidence"),
+        mean("hit", ["confidence"]).alias("own"), mean("mix", ["confidence"]).alias("other"))
     refs = ref.agg(F.count_if(flagged).alias("ref_flagged"))  # one row
     base = rows.groupBy("window").agg(F.min("phase").alias("phase"), F.count("*").alias("n"), F.count_if(flagged).alias("flagged"), F.round(F.mean(flagged.cast("double")), 6).alias("block"), F.round(F.mean((F.col("confidence") < 0.6).cast("double")), 6).alias("low_confidence"), F.round(F.mean("confidence"), 6).alias("mean_confidence"), F.max("position").alias("last"))
     out = base.join(F.broadcast(refs))
-    out = out.join(mean_psi(rows, ref, "global", features), "window", "left")
-    out = out.join(mean_psi(hit, ref.filter(flagged), "attack_subpop", features), "window", "left")
+    out = out.join(means, "window", "left")
     out = out.join(psi_categorical(shares(rows, keep, "predicted"), shares(ref, [], "predicted"), keep, "predicted").withColumnRenamed("psi", "prediction"), "window", "left")
-    out = out.join(mean_psi(rows, ref, "confidence", ["confidence"]), "window", "left")
-    out = out.join(mean_psi(hit, ref.filter(flagged), "own", ["confidence"]), "window", "left")
-    out = out.join(mean_psi(hit, ref, "other", ["confidence"]), "window", "left")
     enough, fitted = F.col("flagged") >= least, F.col("ref_flagged") >= bins
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     out = out.withColumns({

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -34,26 +34,31 @@ def with_grams(df: DataFrame, text: str = "query_canonical", low: int = 2, high:
 
 def gram_frequencies(df: DataFrame, text: str = "query_canonical") -> DataFrame:
     """gram, df (rows that hold it), tf (all places), idf (ln((n + 1) / (df + 1)) + 1)."""
-    rows = with_grams(df, text)
-    n = rows.agg(F.count("*").alias("n"))  # one row
-    docs = rows.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    places = rows.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("tf"))
-    return docs.join(places, "gram").join(F.broadcast(n)).select("gram", "df", "tf", F.round(F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
-
-
-def fit_tfidf(df: DataFrame, text: str = "query_canonical", vocabulary: int = VOCABULARY) -> PipelineModel:
-    """Counts, smooth IDF plus one, length one: out column tfidf. df needs the column grams."""
-    counts = CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=vocabulary).fit(df)
-    idf = IDF(inputCol="counts", outputCol="_idf").fit(counts.transform(df))
-    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="counts", outputCol="scaled")
+    n = df.agg(F.count("*").alias("n"))  # one row
+    return _gram_counts(with_grams(df, text)).join(F.broadcast(n)).select("gram", "df", "tf", F.round(F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
+
+
+def _gram_counts(rows: DataFrame) -> DataFrame:
+    """gram, df, tf in one pass over rows with the array grams."""
+    mark = lambda one, many: lambda g: F.struct(g.alias("gram"), F.lit(one).alias("d"), F.lit(many).alias("t"))
+    both = F.concat(F.transform(F.array_distinct("grams"), mark(1, 0)), F.transform("grams", mark(0, 1)))
+    return rows.select(F.explode(both).alias("g")).groupBy("g.gram").agg(F.sum("g.d").alias("df"), F.sum("g.t").alias("tf"))
+
+
+def fit_tfidf(df: DataFrame, n: int, text: str = "query_canonical", vocabulary: int = VOCABULARY) -> PipelineModel:
+    """Counts of the most frequent grams (ties by gram), smooth IDF plus one, length one: out column tfidf. df needs the column grams and has n rows."""
+    kept = _gram_counts(df).orderBy(F.desc("tf"), "gram").limit(vocabulary).collect()  # vocabulary rows at most
+    counts = CountVectorizerModel.from_vocabulary([r.gram for r in kept] or [""], inputCol="grams", outputCol="counts")
+    idf = np.log((n + 1) / (np.array([r.df for r in kept] or [0]) + 1)) + 1.0
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="scaled")
     return PipelineModel([counts, scale, Normalizer(inputCol="scaled", outputCol="tfidf", p=2.0)])
 
 
 def fit_classifier(df: DataFrame, text: str = "query_canonical", label: str = "label", vocabulary: int = VOCABULARY, iterations: int = 100, estimator=None) -> PipelineModel:
     """TF-IDF and a classifier; rows of df are text and a class id. The weight of the regularisation is 1 / n."""
     rows = with_grams(df, text).withColumn("_y", F.col(label).cast("double"))
-    tfidf = fit_tfidf(rows, text, vocabulary)
-    n = rows.count()
+    n = df.count()
+    tfidf = fit_tfidf(rows, n, text, vocabulary)
     estimator = estimator or LogisticRegression(family="multinomial", regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=iterations)
     estimator = estimator.copy().setParams(featuresCol="tfidf", labelCol="_y") if hasattr(estimator, "setParams") else estimator
     return PipelineModel([*tfidf.stages, estimator.fit(tfidf.transform(rows))])

@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():  # unset only outside a cluster
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where none is set and all run on this machine."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(found)
+    return found
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as written to the shared folder: its lineage ends there."""
+    folder = shared_folder(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -25,7 +38,7 @@ def running_sum(df: DataFrame, keys: list[str], value: Column, out: str, bucket:
     for each bucket or partition meets in one task; their number doesn't depend on the rows in them.
     """
     rows = df.withColumn("_value", value)
-    rows = rows.withColumn("_part", bucket) if bucket is not None else _kept(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    rows = rows.withColumn("_part", bucket) if bucket is not None else kept(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     totals = rows.groupBy("_part").agg(F.sum("_value").alias("_total"))
     before = totals.select("_part", (F.sum("_total").over(W.orderBy("_part")) - F.col("_total")).alias("_before"))
     inner = F.sum("_value").over(W.partitionBy("_part").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0))

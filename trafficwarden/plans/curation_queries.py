@@ -35,6 +35,15 @@ def counts(df, *by):
     return df.groupBy(*by).agg(F.count("*").alias("n"))
 
 
+ENDINGS = [f"; {x}{t}" for x in C.STATEMENTS for t in C.TERMINATORS]
+STACKED = traffic_sql() + ", stacked AS (SELECT prefix, unnest(range(" + str(len(ENDINGS)) + ")) AS n, prefix || unnest([" + ", ".join("'" + x.replace("'", "''") + "'" for x in ENDINGS) + "]) AS payload FROM (SELECT DISTINCT query_raw AS prefix FROM traffic WHERE is_attack))"
+
+
+def _prefixes(s, d):
+    """The different attack texts of the traffic, each to be followed by a second statement."""
+    return traffic(s, d).filter("is_attack").select(F.col("query_raw").alias("prefix")).distinct()
+
+
 def _a10(s, d):
     rows = split(s, d)
     train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
@@ -69,7 +78,7 @@ QUERIES = {
     "j2_duplicates": lambda s, d: C.duplicates(corpus(s, d), "query_raw", "label_name"),
     "j3_overlap": _j3,
     "j4_truth": lambda s, d: C.with_truth(scored(s, d).select("id", "predicted"), scored(s, d)).groupBy("predicted", "truth").agg(F.count("*").alias("n")),
-    "j7_stacked_payloads": lambda s, d: C.stacked_payloads(s).join(s.read.parquet(f"{d}/region.parquet").select("r_regionkey"), F.col("n") % 5 == F.col("r_regionkey")).select("n", "payload"),
+    "j7_stacked_payloads": lambda s, d: C.stacked_on(_prefixes(s, d), "prefix").select("prefix", "n", "payload"),
     "j9_label_ids": lambda s, d: scored(s, d).join(F.broadcast(s.createDataFrame([("normal", 0), ("union_based", 1), ("error_based", 2), ("boolean_blind", 3), ("time_blind", 4), ("stacked", 5)], "predicted string, label_id int")), "predicted").select("id", "label_id"),
     "f5_flagged": lambda s, d: C.flagged(scored(s, d)).select("id", "review_source"),
     "w1_keep_first": lambda s, d: C.keep_first(corpus(s, d), ["query_raw"], ["position"]).select("id", "query_raw"),
@@ -87,10 +96,10 @@ QUERIES = {
     "m8_balance_cap": lambda s, d: C.balance(corpus(s, d), "label_name", "id", 20).select("id", "label_name"),
     "m9_rehearsal": lambda s, d: C.rehearsal_pool(corpus(s, d).filter("label < 5"), corpus(s, d).filter("label = 5"), 0.25, "id").select("id"),
     "m10_reservoir": lambda s, d: C.reservoir(corpus(s, d).filter("label = 0"), "id", 100, 9).select("id"),
-    "m11_with_replacement": lambda s, d: counts(C.with_replacement(s.read.parquet(f"{d}/supplier.parquet"), "s_suppkey", 50, 2), "s_nationkey").agg(F.sum("n").alias("n")),
+    "m11_with_replacement": lambda s, d: counts(C.with_replacement(s.read.parquet(f"{d}/supplier.parquet"), "s_suppkey", 50, 2), "s_suppkey"),
     "m12_replay_stream": _m12,
     "m13_pours": _m13,
-    "m14_new_class_pool": lambda s, d: counts(C.random_split(C.stacked_payloads(s).join(s.read.parquet(f"{d}/region.parquet").select("r_regionkey"), F.col("n") % 5 == F.col("r_regionkey")), "n", 0.2, 1, ("golden", "stream"), "partition"), "partition"),
+    "m14_new_class_pool": lambda s, d: C.random_split(C.stacked_on(_prefixes(s, d), "prefix"), "payload", 0.2, 1, ("golden", "stream"), "partition").select("payload", "partition"),
     "m15_entity_split": lambda s, d: C.split_by_entity(traffic(s, d), "client", 0.3).select("id", "split"),
     "m17_equal_groups": lambda s, d: C.equal_groups(scored(s, d), "is_attack", "id").groupBy("is_attack").agg(F.count("*").alias("n"), F.sum("id").alias("ids")),
     "m18_validation_split": lambda s, d: C.random_split(scored(s, d).filter("not is_attack"), "id", 0.2, 4, ("valid", "fit")).select("id", "split"),
@@ -127,7 +136,7 @@ SQL = {
     "j2_duplicates": _w("SELECT query_raw, count(*) AS n, count(DISTINCT label_name) AS labels FROM corpus GROUP BY 1 HAVING count(*) > 1"),
     "j3_overlap": _s("SELECT count(*) AS n FROM (SELECT query_raw FROM split WHERE split = 'train' INTERSECT SELECT query_raw FROM split WHERE split = 'test')"),
     "j4_truth": _w("SELECT predicted, label_name AS truth, count(*) AS n FROM corpus GROUP BY ALL"),
-    "j7_stacked_payloads": "WITH p AS (SELECT unnest([" + ", ".join("'" + x.replace("'", "''") + "'" for x in C.PREFIXES) + "]) AS p, unnest(range(11)) AS i), s AS (SELECT unnest([" + ", ".join("'" + x.replace("'", "''") + "'" for x in C.STATEMENTS) + "]) AS s, unnest(range(11)) AS j), t AS (SELECT unnest(['--', '#', '']) AS t, unnest(range(3)) AS k) SELECT (i * 11 + j) * 3 + k AS n, p || '; ' || s || t AS payload FROM p, s, t",
+    "j7_stacked_payloads": _w("SELECT prefix, n, payload FROM stacked", STACKED),
     "j9_label_ids": _w("SELECT id, CAST(list_position(['normal', 'union_based', 'error_based', 'boolean_blind', 'time_blind', 'stacked'], predicted) - 1 AS INTEGER) AS label_id FROM scored"),
     "f5_flagged": _w("SELECT id, CASE WHEN predicted <> 'normal' THEN 'block' ELSE 'low_confidence' END AS review_source FROM scored WHERE predicted <> 'normal' OR confidence < 0.6"),
     "w1_keep_first": _w("SELECT arg_min(id, position) AS id, query_raw FROM corpus GROUP BY query_raw"),
@@ -145,7 +154,7 @@ SQL = {
     "m8_balance_cap": _w(f"SELECT id, label_name FROM {ranked_sql('corpus', 'label_name', 'id')} WHERE r <= (SELECT least(20, min(c)) FROM (SELECT count(*) AS c FROM corpus GROUP BY label_name))"),
     "m9_rehearsal": _w(f"SELECT id FROM {ranked_sql('(SELECT * FROM corpus WHERE label < 5)', '', 'id')} WHERE r <= round_even(0.25 * n, 0) UNION ALL SELECT id FROM corpus WHERE label = 5"),
     "m10_reservoir": _w(f"SELECT id FROM {ranked_sql('(SELECT * FROM corpus WHERE label = 0)', '', 'id', 9)} WHERE r <= 100"),
-    "m11_with_replacement": "SELECT CASE WHEN count(*) > 0 THEN 50 END AS n FROM supplier",
+    "m11_with_replacement": f"WITH d AS (SELECT CAST('0x' || substr(sha256('2:' || i), 1, 8) AS BIGINT) AS h FROM range(1, 51) t(i)) SELECT s_suppkey, count(*) AS n FROM {ranked_sql('supplier', '', 's_suppkey', 2)} JOIN d ON r = h % n + 1 GROUP BY 1",
     "m12_replay_stream": _w(f""", q0 AS (SELECT CAST(floor(count(*) / (1 - 0.1::DOUBLE)) AS BIGINT) AS t FROM corpus WHERE label = 0), q1 AS (SELECT CAST(round(t * 0.6::DOUBLE) AS BIGINT) AS a, t - CAST(round(t * 0.6::DOUBLE) AS BIGINT) AS b FROM q0),
 q AS (SELECT round(a * 0.1::DOUBLE) AS ka, round(b * 0.1::DOUBLE) - round(b * 0.1::DOUBLE * 0.3::DOUBLE) AS kb, round(b * 0.1::DOUBLE * 0.3::DOUBLE) AS nb, a - round(a * 0.1::DOUBLE) AS ba FROM q1),
 m AS (SELECT id, label_name, CASE WHEN r <= ba THEN 'A' ELSE 'B' END AS phase FROM {ranked_sql('(SELECT * FROM corpus WHERE label = 0)', '', 'id')}, q
@@ -156,7 +165,7 @@ SELECT id, label_name, phase, row_number() OVER (ORDER BY phase, {key_sql('id',
 m AS (SELECT id, '0_quiet' AS chunk FROM corpus WHERE label = 0 AND client % 2 = 0 UNION ALL SELECT id, '1_first' FROM corpus WHERE label IN (1, 2) UNION ALL SELECT id, '2_second' FROM corpus WHERE label IN (3, 4)
 UNION ALL SELECT id, CASE WHEN r <= floor(n * n1 / CAST(n1 + n2 AS DOUBLE)) THEN '1_first' ELSE '2_second' END FROM {ranked_sql('(SELECT * FROM corpus WHERE label = 0 AND client % 2 = 1)', '', 'id')}, k)
 SELECT id, chunk, row_number() OVER (ORDER BY chunk, {key_sql('id', '0:order')}, id) - 1 AS position FROM m"""),
-    "m14_new_class_pool": "SELECT * FROM (VALUES ('golden', 73), ('stream', 290)) t(partition, n)",
+    "m14_new_class_pool": _w(f"SELECT payload, CASE WHEN r <= round_even(0.2 * n, 0) THEN 'golden' ELSE 'stream' END AS partition FROM {ranked_sql('(SELECT payload FROM stacked)', '', 'payload', 1)}", STACKED),
     "m15_entity_split": _w("SELECT id, CASE WHEN CAST('0x' || substr(sha256('0:' || client), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.3 THEN 'test' ELSE 'train' END AS split FROM traffic"),
     "m17_equal_groups": _w(f"SELECT is_attack, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM {ranked_sql('scored', 'is_attack', 'id')} WHERE r <= (SELECT min(c) FROM (SELECT count(*) AS c FROM scored GROUP BY is_attack)) GROUP BY 1"),
     "m18_validation_split": _w(f"SELECT id, CASE WHEN r <= round_even(0.2 * n, 0) THEN 'valid' ELSE 'fit' END AS split FROM {ranked_sql('(SELECT * FROM scored WHERE NOT is_attack)', '', 'id', 4)}"),

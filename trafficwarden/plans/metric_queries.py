@@ -56,7 +56,7 @@ def _psi_sql(name, source, where_ref, feats, by="w"):
 {name}_rf AS (SELECT b.feature, b.b, coalesce(c, 0) / CAST(sum(coalesce(c, 0)) OVER (PARTITION BY b.feature) AS DOUBLE) AS ref FROM {name}_b b LEFT JOIN {name}_rc rc ON b.feature = rc.feature AND b.b = rc.b),
 {name}_wc AS (SELECT l.w, l.feature, len(list_filter(e, lambda y: y <= x)) AS b, count(*) AS c FROM {name}_l l JOIN {name}_e USING (feature) WHERE {cond_src} GROUP BY ALL),
 {name}_wf AS (SELECT k.w, f.feature, f.b, f.ref, coalesce(c, 0) / CAST(sum(coalesce(c, 0)) OVER (PARTITION BY k.w, f.feature) AS DOUBLE) AS cur FROM (SELECT DISTINCT w, feature FROM {name}_wc) k JOIN {name}_rf f USING (feature) LEFT JOIN {name}_wc c ON c.w = k.w AND c.feature = f.feature AND c.b = f.b),
-{name}_p AS (SELECT w, feature, round(sum((greatest(cur, 1e-6::DOUBLE) - greatest(ref, 1e-6::DOUBLE)) * ln(greatest(cur, 1e-6::DOUBLE) / greatest(ref, 1e-6::DOUBLE))), 6) AS psi FROM {name}_wf GROUP BY ALL),
+{name}_p AS (SELECT w, feature, sum((greatest(cur, 1e-6::DOUBLE) - greatest(ref, 1e-6::DOUBLE)) * ln(greatest(cur, 1e-6::DOUBLE) / greatest(ref, 1e-6::DOUBLE))) AS psi FROM {name}_wf GROUP BY ALL),
 {name} AS (SELECT w, avg(psi) AS v FROM {name}_p GROUP BY w)"""
 
 
@@ -258,7 +258,7 @@ QUERIES = {
     "g6_content_hash": lambda s, d: L.content_hash(scored(s, d), "id", "label", 16),
     "g8_seal": _seal,
     "g9_stages": lambda s, d: L.stages(_events(s, d)).groupBy("branch", "stage").agg(F.count("*").alias("n")),
-    "g9_resolve_active": lambda s, d: _active(_events(s, d).filter("at < 4000")),  # as its SQL states; the whole log is the next query
+    "g9_resolve_active": lambda s, d: _active(_events(s, d)),
     "g9_resolve_active_whole": lambda s, d: _active(_events(s, d)),
     "g10_training_set": lambda s, d: L.next_training_set(scored(s, d).filter("id % 2 = 0").select("id", F.concat(F.lit("t"), (F.col("id") % 97).cast("string")).alias("query_canonical"), "label"), scored(s, d).filter("id % 2 = 1 and label > 0").select("id", F.concat(F.lit("t"), (F.col("id") % 89).cast("string")).alias("query_canonical"), "label", F.col("ts").alias("confirmed_at"))),
     "u2_golden": lambda s, d: L.with_new_class(scored(s, d).filter("id % 4 = 0"), scored(s, d).filter("id % 6 = 0")).select("id"),
@@ -323,7 +323,14 @@ SQL = {
     "g5_shadow_gate": _w("SELECT CAST(sum(n) AS BIGINT) AS n_rows, sum(n) FILTER (truth = 'normal' AND predicted <> 'normal') / CAST(sum(n) FILTER (truth = 'normal') AS DOUBLE) <= 0.145 AND (SELECT avg(f1) FROM f WHERE support > 0) >= 0.88 AS passed FROM cells", REPORT.replace("FROM scored GROUP BY ALL", "FROM scored WHERE position < 500 GROUP BY ALL", 1)),
     "g6_content_hash": _w("SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, chr(30) ORDER BY b)) AS content_hash FROM (SELECT b, count(*) AS n, sha256(string_agg(h, chr(30) ORDER BY h)) AS h FROM (SELECT h, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 16 AS b FROM (SELECT sha256(id || chr(31) || label) AS h FROM scored)) GROUP BY b)"),
     "g8_seal": f"WITH {_V}, c AS (SELECT s_suppkey, (s_nationkey % 6 + 1) || '.' || s_nationkey AS parent, md5(CAST(s_suppkey AS VARCHAR)) AS content_hash, s_suppkey % 3 = 0 AS fresh FROM supplier), j AS (SELECT c.*, version IS NOT NULL AS known FROM c LEFT JOIN ver ON version = parent) SELECT parent, content_hash, CASE WHEN fresh OR NOT known THEN 'major' ELSE 'minor' END AS bump, CASE WHEN known THEN CASE WHEN fresh THEN (CAST(split_part(parent, '.', 1) AS INT) + 1) || '.0' ELSE split_part(parent, '.', 1) || '.' || (CAST(split_part(parent, '.', 2) AS INT) + 1) END END AS version, CASE WHEN known THEN CASE WHEN fresh THEN 'stacked' ELSE '' END ELSE CASE WHEN fresh THEN 'normal,stacked' ELSE 'normal' END END AS new_classes, CASE WHEN NOT known THEN 'unknown parent' END AS error FROM j",
-    "g9_resolve_active": "WITH e AS (SELECT o_orderkey AS k, 'b' || (o_custkey % 9) AS branch, o_orderkey % 7 <> 0 AND o_orderkey % 31 <> 0 AS p FROM orders WHERE o_orderkey < 4000) SELECT branch, coalesce('v' || max(k) FILTER (p), 'base') AS version FROM e GROUP BY branch",
+    "g9_stages": """WITH e AS (SELECT o_orderkey AS k, 'b' || (o_custkey % 9) AS branch, CASE WHEN o_orderkey % 7 = 0 THEN 'rollback' WHEN o_orderkey % 31 = 0 THEN 'clear' ELSE 'promote' END AS a, 'v' || o_orderkey AS v FROM orders),
+l AS (SELECT branch, list_prepend({'f': NULL::VARCHAR, 's': NULL::VARCHAR, 'live': false, 'a': '', 'v': ''}, list({'f': NULL::VARCHAR, 's': NULL::VARCHAR, 'live': false, 'a': a, 'v': v} ORDER BY k)) AS l FROM e GROUP BY branch),
+r AS (SELECT branch, list_reduce(l, lambda p, x: {
+  'f': CASE WHEN x.a = 'promote' THEN x.v WHEN x.a = 'rollback' AND p.live AND p.s IS NOT NULL THEN p.s ELSE p.f END,
+  's': CASE WHEN x.a = 'promote' THEN CASE WHEN x.v = p.f THEN p.s ELSE p.f END WHEN x.a = 'rollback' AND p.live AND p.s IS NOT NULL THEN p.f ELSE p.s END,
+  'live': CASE WHEN x.a = 'promote' THEN true WHEN x.a = 'clear' THEN false ELSE p.f IS NOT NULL END, 'a': '', 'v': ''}) AS z FROM l)
+SELECT branch, CASE WHEN z.live AND z.f = v THEN 'production' ELSE 'archived' END AS stage, count(*) AS n FROM (SELECT DISTINCT branch, v FROM e WHERE a = 'promote') JOIN r USING (branch) GROUP BY ALL""",
+    "g9_resolve_active": "WITH e AS (SELECT o_orderkey AS k, 'b' || (o_custkey % 9) AS branch, o_orderkey % 7 <> 0 AND o_orderkey % 31 <> 0 AS p FROM orders) SELECT branch, coalesce('v' || max(k) FILTER (p), 'base') AS version FROM e GROUP BY branch",
     "g9_resolve_active_whole": "WITH e AS (SELECT o_orderkey AS k, 'b' || (o_custkey % 9) AS branch, o_orderkey % 7 <> 0 AND o_orderkey % 31 <> 0 AS p FROM orders) SELECT branch, coalesce('v' || max(k) FILTER (p), 'base') AS version FROM e GROUP BY branch",
     "g10_training_set": _w(", u AS (SELECT id, 't' || (id % 97) AS query_canonical, label, NULL::TIMESTAMP AS c, 0 AS r FROM scored WHERE id % 2 = 0 UNION ALL SELECT id, 't' || (id % 89), label, ts, 1 FROM scored WHERE id % 2 = 1 AND label > 0) SELECT id, query_canonical, label FROM (SELECT *, row_number() OVER (PARTITION BY query_canonical ORDER BY r DESC, c DESC NULLS LAST, id DESC) AS k FROM u) WHERE k = 1"),
     "u2_golden": _w("SELECT id FROM scored WHERE id % 4 = 0 OR id % 6 = 0"),

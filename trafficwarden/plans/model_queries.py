@@ -8,6 +8,7 @@ from trafficwarden.operators import metrics as E
 from trafficwarden.operators import models as M
 from trafficwarden.operators import sessions as S
 from trafficwarden.operators import decide as D
+from trafficwarden.operators.order import kept
 from trafficwarden.plans.text_queries import _c, tagged
 
 FEATURES = ["length", "special_char_ratio", "entropy", "quote_imbalance"]
@@ -20,7 +21,8 @@ def _positive():
 
 
 def _corpus(s, d):
-    return C.stratified_split(tagged(s, d), "label_name", "id", 0.25)
+    """Traffic with labels and a split, written once: fits and scores read it several times."""
+    return kept(C.stratified_split(tagged(s, d), "label_name", "id", 0.25))
 
 
 def _classified(s, d):
@@ -84,7 +86,7 @@ QUERIES = {
     "ml10_grid_search": lambda s, d: M.grid_search("isolation_forest", *_vectors(s, d), _positive(), {"trees": [10, 30], "sample": [64, 256]}),
     "ml11_compare_detectors": lambda s, d: M.compare_detectors(*_vectors(s, d), _positive(), DETECTORS),
     "l4_best": lambda s, d: M.best(M.grid_search("isolation_forest", *_vectors(s, d), _positive(), {"trees": [10, 30]}), "options", "auc"),
-    "ml12_zero_day": lambda s, d: M.zero_day_runs(_corpus(s, d), "label", [1, 3], _detector("isolation_forest")(s, d), threshold=0.55),
+    "ml12_zero_day": lambda s, d: M.zero_day_runs(_corpus(s, d), "label", [1, 2, 3, 4, 5], _detector("isolation_forest")(s, d), threshold=0.55),
     "ml13_univariate_ks": lambda s, d: M.univariate_ks(X.with_features(tagged(s, d), names=FEATURES), FEATURES, _positive()),
     "ml14_verdicts": _verdicts,
     "a36_permutation": lambda s, d: E.permutation_importance(X.with_features(tagged(s, d), names=FEATURES).withColumn("length", F.col("length").cast("double")), ["special_char_ratio", "quote_imbalance"], "id", lambda df: df.withColumn("score", F.col("special_char_ratio") + F.col("quote_imbalance") / 4), _positive()),

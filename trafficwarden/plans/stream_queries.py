@@ -1,17 +1,16 @@
 """Streaming jobs run over the derived traffic as a bounded stream, in batch where the result is the same."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from trafficwarden.operators.order import shared_folder
 from trafficwarden.plans.traffic import SCORED_SQL, scored, traffic
 from trafficwarden.streaming import jobs as J
 
 
 def _folder(s):
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or 'file://' + tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(s)}/{uuid.uuid4().hex}"
 
 
 def _rows(s, d):

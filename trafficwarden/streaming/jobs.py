@@ -96,7 +96,11 @@ def with_late_count(stream: DataFrame, clock: Column, name: str = "late") -> Dat
 
 
 def sustained_breaches(signals: DataFrame, threshold: float = 0.2, sustained: int = 2) -> DataFrame:
-    """signal, window at which so many breaches in a row are reached (once). signals: window, signal, psi in window order within a batch."""
+    """signal, window at which so many breaches in a row are reached (once).
+
+    signals: window, signal, psi. Windows must come in order from batch to batch (closed event-time
+    windows do); one that comes after a later one is left out.
+    """
     def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         run, fired, last = state.get if state.exists else (0, False, -1)
         out = []
@@ -127,20 +131,35 @@ def retrain_triggers(confirmed: DataFrame, needed: int = 500) -> DataFrame:
 
 
 def hold_timeouts(stream: DataFrame, seconds: int = 300, late: str = "1 minute") -> DataFrame:
-    """id, outcome: holds and decisions of the same id; deny where none came in time. stream: id, ts, kind (hold or a decision)."""
+    """id, outcome, once for an id: its first decision, or deny where none came in time after its first hold.
+
+    stream: id, ts, kind (hold or a decision). An outcome is remembered as long again, so that what
+    comes after it gives no second one.
+    """
     def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        due, settled = state.get if state.exists else (None, False)
+
+        def remember(at: int, done: bool) -> None:
+            state.update((int(at), done))
+            state.setTimeoutTimestamp(max(int(at), state.getCurrentWatermarkMs() + 1))
+
         if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"id": [key[0]], "outcome": ["deny"]})
+            if settled:
+                state.remove()
+            else:
+                remember(due + seconds * 1000, True)
+                yield pd.DataFrame({"id": [key[0]], "outcome": ["deny"]})
             return
-        rows = pd.concat(list(parts)).sort_values("ts")
+        rows = pd.concat(list(parts)).sort_values("ms")
         decided = rows[rows["kind"] != "hold"]
-        if len(decided):
-            state.remove() if state.exists else None
+        if settled:
+            remember(due, True)
+        elif len(decided):
+            remember(decided["ms"].iloc[0] + seconds * 1000, True)
             yield pd.DataFrame({"id": [key[0]], "outcome": [decided["kind"].iloc[0]]})
         else:
-            due = int(rows["ts"].iloc[0].timestamp() * 1000) + seconds * 1000
-            state.update((due,))
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            remember(due if due is not None else rows["ms"].iloc[0] + seconds * 1000, False)
 
-    return stream.withWatermark("ts", late).groupBy("id").applyInPandasWithState(step, "id long, outcome string", "due long", "append", "EventTimeTimeout")
+    # milliseconds come from Spark: times in Python have no zone
+    rows = stream.withWatermark("ts", late).select("id", "ts", "kind", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("id").applyInPandasWithState(step, "id long, outcome string", "due long, settled boolean", "append", "EventTimeTimeout")
