@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,3 +340,42 @@ def test_preferences_of_all_match_sql(spark):
     assert got[want.columns].sort_values(order).values.tolist() == want.sort_values(order).values.tolist()
     answered = duck.execute("SELECT count(DISTINCT conv_id) FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL").fetchone()[0]
     assert got["conv_id"].nunique() == answered
+
+
+def test_large_benchmark_still_jumps():
+    """At the size of a whole block most shifts stay near their maximum."""
+    rng = np.random.default_rng(4)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 10))) for _ in range(30_000)]
+    items = [(str(i), " ".join(words[j] for j in rng.integers(0, len(words), 200))) for i in range(2900)]
+    assert sum(len(t) for _, t in items) > 3.5 * (1 << 20)
+    strings = decontaminate.test_strings(items)
+    tables = decontaminate.searchers(strings)[0]
+    assert tables.jump.mean() > 0.5 * (tables.least - tables.block + 1)
+    text = f"x {items[7][1]} y"
+    assert decontaminate._scan(strings, pa.array([text]), [tables])[0] == {"n_words": 202, "hits": [{"first": 1, "last": 200}], "items": ["7"]}
+
+
+def test_items_without_an_id(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b"), ("x", "a b"), (None, "b c")], "item_id string, text string")
+    for size in (1 << 20, 3):
+        found = decontaminate.find_benchmark(df, items, block_bytes=size).first().found
+        assert [tuple(h) for h in found.hits] == [(0, 2)] and found["items"] == ["x"]
+    with pytest.raises(ValueError):
+        decontaminate.find_benchmark(df.withColumn("Found", F.lit(1)), items)
+
+
+def test_huge_pages_are_bounded():
+    """A page of 100,000 blocks among small ones, and 20,000 nested elements that nothing closes."""
+    import resource
+
+    small = [html_text.blocks(f"<p>a{i}</p>") for i in range(200)]
+    model = html_text.train(html_text.made_pages(20, []), epochs=1)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    many = html_text.blocks("<p>word</p>" * 100_000)
+    assert len(many) == 100_000
+    scores = html_text.main_scores(model, [*small, many], {})
+    assert len(scores[-1]) == 100_000 and all(len(s) == 1 for s in scores[:-1])
+    deep = html_text.blocks("".join(f"<div class='c{i % 300}'>t" for i in range(20_000)) + "</x>" * 20_000)
+    assert len(deep) == 20_000 and len(html_text.main_scores(model, [deep], {})[0]) == 20_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # KB

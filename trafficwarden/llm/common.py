@@ -24,17 +24,34 @@ FOLD[SEPARATORS] = 32
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where spark.checkpoint.dir is unset."""
+    """The shared folder of the session; a temporary one only where spark.checkpoint.dir is unset and all runs on this machine."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found and sc.getCheckpointDir():
         found = sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(found)
     return found
 
 
+def absent(df: DataFrame, *names: str) -> None:
+    """ValueError if df has one of the columns that are to be added (names match without regard to case)."""
+    clash = {n.lower() for n in names} & {c.lower() for c in df.columns}
+    if clash:
+        raise ValueError(f"the table has columns of the names to be added: {sorted(clash)}")
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """name, or with underscores behind it, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and keeps expensive columns."""
     path = f"{scratch_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"

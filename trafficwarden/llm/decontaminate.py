@@ -6,12 +6,15 @@ table over blocks of bytes tells how far the search may jump, a shift of nought
 of strings with that suffix block, and a direct comparison confirms. The jumps of many stretches of
 text are made at once, in numpy arrays, inside ``mapInArrow``; there is no shuffle.
 
-Benchmarks are searched in blocks of at most ``block_bytes`` of item text, one pass after the other
-over the same rows, so what is sent to the tasks is bounded however large the benchmark is.
+Benchmarks are searched in blocks of about ``block_bytes`` of item text. The first pass gives a row for
+every document; each further one runs when the last is done, over the same written rows, and gives
+the documents that it hits alone, which are joined at the end. So what the driver sends, and the tables
+that a worker builds once and keeps, are those of one block however large the benchmark is.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficwarden.llm.common import slices, spaced_words, text_bytes
+from trafficwarden.llm.common import absent, materialise, slices, spaced_words, text_bytes
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
 #: Words of a text start at this many stretches of bytes that are searched side by side.
 LANE = 2048
+#: A shift table has at most two to this power slots of a byte.
+MAX_BITS = 25
 
 FOUND = "struct<n_words:bigint,hits:array<struct<first:bigint,last:bigint>>,items:array<string>>"
 _FOUND = pa.struct(
@@ -37,7 +42,7 @@ _FOUND = pa.struct(
 
 
 def test_strings(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict[bytes, tuple[int, list[str]]]:
-    """String (with its spaces) -> its number of words and the items that hold it."""
+    """String (with its spaces) -> its number of words and the items that hold it; an item of no id isn't listed."""
     out: dict[bytes, tuple[int, list[str]]] = {}
     for item, text in items:
         raw = (text or "").encode()
@@ -46,25 +51,30 @@ def test_strings(items: list[tuple[str, str | None]], window: int = WINDOW) -> d
         for i in range(max(1, len(words) - window + 1) if words else 0):
             part = words[i : i + window]
             _, of = out.setdefault(b" " + b" ".join(part) + b" ", (len(part), []))
-            if item not in of:
+            if item is not None and (not of or of[-1] != item):
                 of.append(item)
     return out
 
 
 class WuManber:
-    """Tables for strings of one class of lengths: at least ``least`` bytes, blocks of ``block`` bytes."""
+    """Tables for strings of one class of lengths: at least ``least`` bytes, blocks of ``block`` bytes.
 
-    def __init__(self, strings: list[bytes], bits: int = 18):
-        self.least = min(map(len, strings))
+    The shift table has about eight slots for each different block, so that few others share a slot.
+    """
+
+    def __init__(self, strings: list[bytes]):
+        self.least = min(min(map(len, strings)), 128)
         self.block = min(8, 3 if self.least < 24 else 8, self.least)
-        self.bits = bits
         heads = np.frombuffer(b"".join(s[: self.least] for s in strings), np.uint8).reshape(len(strings), self.least)
-        self.jump = np.full(1 << bits, self.least - self.block + 1, np.int32)
-        keys = np.empty(0, np.uint64)
+        self.bits = MAX_BITS
+        seen, keys = np.zeros(1 << MAX_BITS, bool), np.empty(0, np.uint64)
         for end in range(self.block, self.least + 1):
             keys = self._key(heads[:, end - self.block : end])
-            slot = self._slot(keys)
-            self.jump[slot] = np.minimum(self.jump[slot], self.least - end)
+            seen[self._slot(keys)] = True
+        self.bits = min(MAX_BITS, max(16, (8 * int(seen.sum())).bit_length()))
+        self.jump = np.full(1 << self.bits, self.least - self.block + 1, np.uint8)
+        for end in range(self.block, self.least + 1):  # ever smaller jumps: the last one written holds
+            self.jump[self._slot(self._key(heads[:, end - self.block : end]))] = self.least - end
         order = np.argsort(keys, kind="stable")
         self.suffix = keys[order]
         self.strings = [strings[i] for i in order]
@@ -91,7 +101,7 @@ class WuManber:
         back = self.least - self.block
         found = []
         while len(at):
-            jump = self.jump[self._slot(self._at(data, at + back))]
+            jump = self.jump[self._slot(self._at(data, at + back))].astype(np.int64)
             hit = jump == 0
             if hit.any():
                 found.append(at[hit])
@@ -156,38 +166,76 @@ def find_benchmark(
     """All columns of docs and a struct ``found``: n_words, hits (disjoint runs of hit words, from 0), items (sorted).
 
     A null or empty text has no words and no hits; an item without words is never found; items with
-    equal texts are all found; an empty benchmark finds nothing. Repeated rows are judged each.
-    ``found`` must not be a column of docs. No shuffle; the benchmark is read in blocks by the driver.
+    equal texts are all found; the words of an item of a null id are hit, but it isn't listed; an empty
+    benchmark finds nothing. Repeated rows are judged each. ``found`` must not be a column of docs
+    (ValueError). No shuffle where the benchmark is one block; a block holds whole items.
     """
+    absent(docs, found)
     spark: SparkSession = docs.sparkSession
     texts = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     columns = list(docs.columns)
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row") if columns else F.lit(None).alias("row"), F.col(f"`{text}`").alias("text"), F.lit(None).cast(FOUND).alias("found"))
-    for b in range(blocks):
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(None)
+
+    def sent(b: int):
         part = texts if blocks == 1 else texts.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast([(r.item, r.text) for r in part.collect()])
-        out = out.mapInArrow(_pass(shared, window), out.schema)
+        return spark.sparkContext.broadcast([(r.item, r.text) for r in part.collect()])
+
+    if blocks == 1:
+        raw = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
+        out = raw.mapInArrow(_pass(sent(0), window, "row"), f"row {raw.schema['row'].dataType.simpleString()}, found {FOUND}")
+    else:
+        raw = materialise(docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("uid")), "searched")
+        more = []
+        for b in range(blocks):
+            shared = sent(b)
+            # the first pass has a row for each document, the others for those that they hit
+            each = raw.select("uid", "text").mapInArrow(_pass(shared, window, "uid", b > 0), f"uid long, found {FOUND}")
+            more.append(materialise(each, "found"))
+            shared.destroy()
+        hits = more[0]
+        for other in more[1:]:
+            hits = hits.unionAll(other)
+        parts = hits.groupBy("uid").agg(F.collect_list("found").alias("parts"))  # at most one of each block
+        merged_ = raw.select("uid", "row").join(parts, "uid").select("row", "parts")
+        out = merged_.mapInArrow(_together, f"row {raw.schema['row'].dataType.simpleString()}, found {FOUND}")
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], F.col("found").alias(found))
 
 
-def _pass(shared, window: int):
+#: The tables of the last block that this worker searched.
+_TABLES: dict[str, tuple] = {}
+
+
+def _pass(shared, window: int, key: str, hits_only: bool = False):
+    """The search of one block: (key, text) to (key, found)."""
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = test_strings(shared.value, window)
-        searches = searchers(strings)
+        if name not in _TABLES:
+            _TABLES.clear()
+            strings = test_strings(shared.value, window)
+            _TABLES[name] = strings, searchers(strings)
         for batch in batches:
-            for part in slices(batch, 1):
-                new = _scan(strings, part.column(1), searches)
-                for i, old in enumerate(part.column(2).to_pylist()):
-                    if old and (old["hits"] or old["items"]):
-                        new[i]["hits"] = merged([(x["first"], x["last"]) for x in old["hits"] + new[i]["hits"]])
-                        new[i]["items"] = sorted({*old["items"], *new[i]["items"]})
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(new, _FOUND)], ["row", "text", "found"])
+            for part in slices(batch, "text"):
+                found = _scan(_TABLES[name][0], part.column("text"), _TABLES[name][1])
+                if hits_only:
+                    on = [i for i, f in enumerate(found) if f["hits"]]
+                    part, found = part.take(pa.array(on, pa.int64())), [found[i] for i in on]
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(found, _FOUND)], [key, "found"])
 
     return run
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for parts in batch.column("parts").to_pylist():
+            hits = merged([(h["first"], h["last"]) for p in parts for h in p["hits"]])
+            found.append({"n_words": max(p["n_words"] for p in parts), "hits": hits, "items": sorted({i for p in parts for i in p["items"]})})
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, _FOUND)], ["row", "found"])
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of benchmark passages in every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -205,7 +253,7 @@ lens AS (SELECT DISTINCT n FROM p),
 dw AS (SELECT row_id, n, unnest(range(len(w) - n + 1)) AS i, w FROM d, lens WHERE len(w) >= n),
 h AS (SELECT dw.row_id, i, p.n, p.item_id FROM dw JOIN p ON p.n = dw.n AND array_to_string(dw.w[i + 1 : i + dw.n], ' ') = p.s),
 hw AS (SELECT row_id, count(DISTINCT k) AS n_hit FROM (SELECT row_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY row_id),
-hi AS (SELECT row_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT row_id, item_id FROM h) GROUP BY row_id)
+hi AS (SELECT row_id, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT row_id, item_id FROM h) GROUP BY row_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (row_id) LEFT JOIN hi USING (row_id)
 """

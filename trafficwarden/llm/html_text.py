@@ -13,7 +13,9 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficwarden.llm import lstm
-from trafficwarden.llm.common import hash_sample, slices
+from trafficwarden.llm.common import absent, hash_sample, slices
 from trafficwarden.llm.neardup import run_hashes
 
 #: Bound of the sample of the table's pages: rows, and characters of each.
 SAMPLE_ROWS, SAMPLE_LONGEST = 200, 60_000
 HIDDEN, EPOCHS, MADE = 16, 6, 400
+#: Steps times pages that are labelled at once (a longer page is alone), and slots that are summed at once.
+CELLS, SUMMED = 1 << 16, 1 << 20
 PATH_SLOTS, PATH_SIZE, WORD_SLOTS, WORD_SIZE, NUMBERS = 2048, 16, 1024, 6, 6
 
 # Element classes of HTML.
@@ -43,19 +47,48 @@ MARK = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"
 HIDDEN_MARK = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
+def _slot(token: str, size: int) -> int:
+    return zlib.crc32(token.encode("utf-8", "replace")) % size
+
+
+@lru_cache(maxsize=1 << 16)
+def _slots_of(marks: str) -> tuple[frozenset[int], frozenset[int]]:
+    """Slots of the words of an element, as one above a block and as the nearest one."""
+    words = [w for w in re.split(r"[^a-z0-9]+", marks) if w]
+    return frozenset(_slot(f"in:{w}", PATH_SLOTS) for w in words), frozenset(_slot(f"leaf:{w}", PATH_SLOTS) for w in words)
+
+
+class Node:
+    """An open element: its name, and slots of all elements from the root to it. Slots that add nothing are shared, so depth costs no memory."""
+
+    __slots__ = ("inside", "leaf", "main", "name")
+
+    def __init__(self, name: str = "", marks: str = "", parent: Node | None = None):
+        self.name = name
+        new, self.leaf = _slots_of(marks)
+        above = parent.inside if parent else frozenset()
+        self.inside = above if new <= above else above | new
+        # 0 outside the article, 1 in it, 2 in what isn't part of it
+        self.main = parent.main if parent else 0
+        if self.main == 0:
+            self.main = int(name in ("article", "main"))
+        elif self.main == 1 and (name in ("form", "button", "select", "label") or ASIDE.search(marks)):
+            self.main = 2
+
+
 class Block:
-    """Text of a block, its path, and how many of its characters are links."""
+    """Text of a block, the element it is in, and how many of its characters are links."""
 
-    __slots__ = ("linked", "path", "text")
+    __slots__ = ("linked", "node", "text")
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int):
-        self.text, self.path, self.linked = text, path, linked
+    def __init__(self, text: str, node: Node, linked: int):
+        self.text, self.node, self.linked = text, node, linked
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order; references decoded, white space single."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack, opened = [Node()], Counter()
     parts: list[str] = []
     links, linked, at, end = 0, 0, 0, len(page)
 
@@ -64,10 +97,13 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(t for _, t in stack), linked))
+                out.append(Block(text, stack[-1], linked))
             parts.clear()
         linked = 0
 
+    def leave() -> None:
+        opened[stack.pop().name] -= 1
+
     def say(text: str) -> None:
         nonlocal linked
         if text:
@@ -103,10 +139,10 @@ def blocks(page: str) -> list[Block]:
             if name in INLINE:
                 continue
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if opened[name]:
+                while stack[-1].name != name:
+                    leave()
+                leave()
             continue
         if name in RAW and not m[3].endswith("/"):
             close = re.compile(f"</{re.escape(name)}\\b[^>]*>?", re.I).search(page, at)
@@ -119,34 +155,29 @@ def blocks(page: str) -> list[Block]:
         if name in INLINE or name in ("br", "wbr", "img", "input"):
             continue
         flush()
-        if stack and stack[-1][0] == "p":
-            stack.pop()
-        while stack and stack[-1][0] in CLOSES.get(name, ()):
-            stack.pop()
+        if stack[-1].name == "p":
+            leave()
+        while stack[-1].name in CLOSES.get(name, ()):
+            leave()
         if name not in VOID and not m[3].endswith("/"):
             marks = " ".join(a or b or c for a, b, c in MARK.findall(m[3])) if m[3] else ""
             marks = f"{name} {marks.lower()}" + (" hidden" if m[3] and HIDDEN_MARK.search(m[3]) else "")
-            stack.append((name, marks))
+            stack.append(Node(name, marks, stack[-1]))
+            opened[name] += 1
     flush()
     return out
 
 
-def _slot(token: str, size: int) -> int:
-    return zlib.crc32(token.encode("utf-8", "replace")) % size
-
-
-def _path_slots(path: tuple[str, ...], cache: dict) -> np.ndarray:
-    found = cache.get(path)
+def _path_slots(node: Node, cache: dict) -> np.ndarray:
+    """Slots of the elements around a block: of all, and of the nearest as such."""
+    key = node.inside, node.leaf
+    found = cache.get(key)
     if found is None:
-        tokens = []
-        for i, marks in enumerate(path):
-            words = re.split(r"[^a-z0-9]+", marks)
-            tokens += [f"in:{w}" for w in words if w]
-            if i == len(path) - 1:
-                tokens += [f"leaf:{w}" for w in words if w]
-        found = cache[path] = np.array(sorted({_slot(t, PATH_SLOTS) for t in tokens}) or [0])
-        if len(cache) > 20_000:
-            cache.clear()
+        found = np.array(sorted(node.inside | node.leaf) or [0], np.int16)
+        if len(found) <= 256:
+            if len(cache) > 20_000:
+                cache.clear()
+            cache[key] = found
     return found
 
 
@@ -156,9 +187,8 @@ class Features:
     def __init__(self, pages: list[list[Block]], cache: dict):
         flat = [b for p in pages for b in p]
         self.sizes = np.array([len(p) for p in pages])
-        paths = [_path_slots(b.path, cache) for b in flat]
-        self.path_count = np.array([len(p) for p in paths])
-        self.path = np.concatenate(paths) if flat else np.empty(0, np.int64)
+        self.paths = [_path_slots(b.node, cache) for b in flat]
+        self.path_count = np.array([len(p) for p in self.paths], np.int64)
         hashes, self.word_count, *_ = run_hashes(pa.array([b.text for b in flat], pa.string()), 1) if flat else (np.empty(0, np.uint64), np.empty(0, np.int64))
         self.word = (hashes % np.uint64(WORD_SLOTS)).astype(np.int64)
         place = np.concatenate([np.arange(n) / max(n - 1, 1) for n in self.sizes]) if flat else np.empty(0)
@@ -179,9 +209,18 @@ class Features:
         d = d / np.sqrt(np.maximum(counts, 1))[:, None]
         return np.stack([np.bincount(slots, c[owner], size) for c in d.T], axis=1).astype(np.float32)
 
+    @property
+    def path(self) -> np.ndarray:
+        return np.concatenate(self.paths).astype(np.int64) if self.paths else np.empty(0, np.int64)
+
     def inputs(self, p: lstm.Params) -> np.ndarray:
-        """Vectors of the blocks: path, words, numbers."""
-        return np.concatenate([self.sums(p["path"], self.path, self.path_count), self.sums(p["word"], self.word, self.word_count), self.numbers], axis=1)
+        """Vectors of the blocks: path, words, numbers. Paths are summed for some blocks at a time."""
+        ends, path, begin = np.cumsum(self.path_count), [np.empty((0, PATH_SIZE), np.float32)], 0
+        while begin < len(self.paths):
+            stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SUMMED, "right")))
+            path.append(self.sums(p["path"], np.concatenate(self.paths[begin:stop]), self.path_count[begin:stop]))
+            begin = stop
+        return np.concatenate([np.concatenate(path), self.sums(p["word"], self.word, self.word_count), self.numbers], axis=1)
 
 
 def _padded(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -208,8 +247,13 @@ def main_scores(p: lstm.Params, pages: list[list[Block]], cache: dict) -> list[n
     """Probability of being main text for the blocks of each page; pages of like length run side by side."""
     out: list[np.ndarray] = [np.empty(0)] * len(pages)
     order = sorted((i for i, b in enumerate(pages) if b), key=lambda i: len(pages[i]))
-    for j in range(0, len(order), 256):
-        some = order[j : j + 256]
+    j = 0
+    while j < len(order):
+        # side by side they take as many steps as the longest: bounded by steps times pages
+        most = min(256, len(order) - j)
+        many = next((n for n in range(1, most) if (n + 1) * len(pages[order[j + n]]) > CELLS), most)
+        some = order[j : j + many]
+        j += many
         f = Features([pages[i] for i in some], cache)
         states, _, _, step, page, _ = _states(p, f)
         score = lstm.sigmoid(states[step, page] @ p["out_w"] + p["out_b"])
@@ -354,11 +398,7 @@ def made_pages(count: int, words: list[str], seed: int = 3) -> list[tuple[list[B
 
 def plain_labels(found: list[Block]) -> list[int] | None:
     """Labels of a page with one plain article or main element; null if it has none."""
-    def main(path: tuple[str, ...]) -> int:
-        at = next((i for i, m in enumerate(path) if m.split(" ", 1)[0] in ("article", "main")), None)
-        return 0 if at is None else int(not any(ASIDE.search(m) or m.split(" ", 1)[0] in ("form", "button", "select", "label") for m in path[at + 1 :]))
-
-    labels = [main(b.path) for b in found]
+    labels = [int(b.node.main == 1) for b in found]
     return labels if any(labels) else None
 
 
@@ -376,8 +416,9 @@ def extract(pages: DataFrame, model: lstm.Params, source: str = "html", found: s
 
     A null or empty page, or one without main text, gives the empty string. Text outside any tag is a
     block too. Each row is read whole and by itself, so repeated rows give equal texts. ``found`` must
-    not be a column of pages.
+    not be a column of pages (ValueError).
     """
+    absent(pages, found)
     columns = list(pages.columns)
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
