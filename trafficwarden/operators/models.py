@@ -7,11 +7,14 @@ sets of detectors are read in blocks of bounded size; trees grow one per group.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -35,19 +38,46 @@ def with_grams(df: DataFrame, text: str = "query_canonical", low: int = 2, high:
 def gram_frequencies(df: DataFrame, text: str = "query_canonical") -> DataFrame:
     """gram, df (rows that hold it), tf (all places), idf (ln((n + 1) / (df + 1)) + 1)."""
     n = df.agg(F.count("*").alias("n"))  # one row
-    return _gram_counts(with_grams(df, text)).join(F.broadcast(n)).select("gram", "df", "tf", F.round(F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
+    return _gram_counts(df, text).join(F.broadcast(n)).select("gram", "df", "tf", F.round(F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
 
 
-def _gram_counts(rows: DataFrame) -> DataFrame:
-    """gram, df, tf in one pass over rows with the array grams."""
-    mark = lambda one, many: lambda g: F.struct(g.alias("gram"), F.lit(one).alias("d"), F.lit(many).alias("t"))
-    both = F.concat(F.transform(F.array_distinct("grams"), mark(1, 0)), F.transform("grams", mark(0, 1)))
-    return rows.select(F.explode(both).alias("g")).groupBy("g.gram").agg(F.sum("g.d").alias("df"), F.sum("g.t").alias("tf"))
+#: Fixed value: white space, as the native n-grams see it.
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Different grams that a task counts before it passes them on.
+_COUNTED = 500_000
+
+
+def _gram_counts(df: DataFrame, text: str, low: int = 2, high: int = 4) -> DataFrame:
+    """gram, df, tf in one pass over the texts: counted in Arrow batches, added up by gram."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, places = Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(list(places), pa.string()), pa.array([rows[g] for g in places], pa.int64()), pa.array(places.values(), pa.int64())], ["gram", "df", "tf"])
+            rows.clear()
+            places.clear()
+            return found
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                grams = []
+                for w in _SPACE.split(t or ""):
+                    if w:
+                        w = f" {w} "
+                        grams += [w[i : i + n] for n in range(low, max(low, min(high, len(w))) + 1) for i in range(max(len(w) - n + 1, 1))]
+                places.update(grams)
+                rows.update(set(grams))
+                if len(places) > _COUNTED:
+                    yield out()
+        yield out()
+
+    counted = df.select(F.col(text).cast("string")).mapInArrow(run, "gram string, df long, tf long")
+    return counted.groupBy("gram").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 def fit_tfidf(df: DataFrame, n: int, text: str = "query_canonical", vocabulary: int = VOCABULARY) -> PipelineModel:
-    """Counts of the most frequent grams (ties by gram), smooth IDF plus one, length one: out column tfidf. df needs the column grams and has n rows."""
-    kept = _gram_counts(df).orderBy(F.desc("tf"), "gram").limit(vocabulary).collect()  # vocabulary rows at most
+    """Counts of the most frequent grams (ties by gram), smooth IDF plus one, length one: out column tfidf of rows with the column grams. df has n rows."""
+    kept = _gram_counts(df, text).orderBy(F.desc("tf"), "gram").limit(vocabulary).collect()  # vocabulary rows at most
     counts = CountVectorizerModel.from_vocabulary([r.gram for r in kept] or [""], inputCol="grams", outputCol="counts")
     idf = np.log((n + 1) / (np.array([r.df for r in kept] or [0]) + 1)) + 1.0
     scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="scaled")
@@ -58,8 +88,8 @@ def fit_classifier(df: DataFrame, text: str = "query_canonical", label: str = "l
     """TF-IDF and a classifier; rows of df are text and a class id. The weight of the regularisation is 1 / n."""
     rows = with_grams(df, text).withColumn("_y", F.col(label).cast("double"))
     n = df.count()
-    tfidf = fit_tfidf(rows, n, text, vocabulary)
-    estimator = estimator or LogisticRegression(family="multinomial", regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=iterations)
+    tfidf = fit_tfidf(df, n, text, vocabulary)
+    estimator = estimator or LogisticRegression(family="multinomial", regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-4)
     estimator = estimator.copy().setParams(featuresCol="tfidf", labelCol="_y") if hasattr(estimator, "setParams") else estimator
     return PipelineModel([*tfidf.stages, estimator.fit(tfidf.transform(rows))])
 
