@@ -32,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficwarden.llm.common import materialise, slices, spaced_words, text_bytes
+from trafficwarden.llm.common import absent, materialise, slices, spaced_words, text_bytes
 
 WORDS, THRESHOLD = 5, 0.8
 #: A pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 26 = 3e-5.
 BANDS, ROWS = 26, 5
 SLOTS = BANDS * ROWS
 #: Texts and word runs of a chunk of a group (about), and columns of the matrices at once.
-CHUNK, CHUNK_RUNS, COLUMNS = 1024, 2_000_000, 2048
+CHUNK, CHUNK_RUNS, COLUMNS = 512, 1_000_000, 2048
+#: A key with more than this part of the rows, and so many at least, is joined by a broadcast.
+HOT = 1000
 #: Size of the set of rows whose texts are compared.
 FILTER_BITS = 1 << 24
 #: Points of a process that are drawn at once after the first.
@@ -212,6 +214,18 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float, tag: str) -> Da
     return materialise(both.mapInArrow(_verified(threshold), "a long, b long"), tag)
 
 
+def joined(rows: DataFrame, small: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with small, which has a row for each key and in ``size`` how many rows have it (dropped), of ``total`` rows.
+
+    Keys with more than a ``HOT``-th of all rows (at least ``HOT`` rows) are ``HOT`` at most: they are
+    broadcast, so that their rows stay where they are. The others are joined by a shuffle.
+    """
+    hot = F.col(size) > max(HOT, total // HOT)
+    few = F.broadcast(small.filter(hot).drop(size))
+    rest = rows.join(few.select(key), key, "left_anti").join(small.filter(~hot).drop(size), key)
+    return rest.unionByName(rows.join(few, key))
+
+
 def components(links: DataFrame) -> DataFrame:
     """uid, comp: the smallest node of the component, for every node of links (a, b).
 
@@ -228,11 +242,11 @@ def components(links: DataFrame) -> DataFrame:
     seen = check(edges)
     while seen[0]:
         near = both_ways(edges)
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = near.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("size")).select("a", F.least("a", "m").alias("m"), "size")
+        large = joined(near.filter("b > a"), least, "a", "size", seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = materialise(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size"))
+        small = joined(large, least, "a", "size", seen[0]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
         edges = materialise(small, "small")
         now = check(edges)
         if now == seen:
@@ -286,31 +300,32 @@ def _block(threshold: float):
     return run
 
 
-def _across(shared: DataFrame, comp: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
-    """Links between members of one group of buckets that lie in different components. shared: bucket, uid, n."""
+def _across(shared: DataFrame, comp: DataFrame, texts: DataFrame, threshold: float, total: int) -> DataFrame | None:
+    """Links between members of one group of buckets that lie in different components. shared: bucket, uid, n of ``total`` texts at most."""
     members = shared.join(comp, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-    held = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("uid").alias("head")).filter("low <> high").select("bucket", "head")
-    mixed_ = materialise(members.join(held, "bucket").select("uid", "n", "comp", "head").distinct(), "mixed")
+    held = members.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("uid").alias("head"), F.count("*").alias("size")).filter("low <> high").select("bucket", "head", "size")
+    mixed_ = materialise(joined(members, held, "bucket", "size", BANDS * total).select("uid", "n", "comp", "head").distinct(), "mixed")
     if mixed_.isEmpty():
         return None
     groups = components(mixed_.select(F.col("uid").alias("a"), F.col("head").alias("b"))).withColumnRenamed("comp", "group")
     single = mixed_.select("uid", "n", "comp").distinct().join(groups, "uid")
-    sizes = single.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_RUNS)).cast("int").alias("chunks"))
-    dealt = materialise(single.join(sizes, "group").withColumn("chunk", F.pmod(F.xxhash64("uid"), "chunks").cast("int")), "dealt")
+    sizes = single.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_RUNS)).cast("int").alias("chunks"), F.count("*").alias("size"))
+    dealt = materialise(joined(single, sizes, "group", "size", total).withColumn("chunk", F.pmod(F.xxhash64("uid"), "chunks").cast("int")), "dealt")
     wanted = _involved(dealt.select(F.col("uid").alias("a"), F.col("uid").alias("b")), texts, "mixed-texts")
     rows = dealt.join(wanted, "uid").select("group", "uid", "comp", "text", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     rows = rows.select("group", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), (F.col("chunk") > F.col("other")).alias("upper"), "uid", "comp", "text")
     return materialise(rows.groupBy("group", "low", "high").applyInArrow(_block(threshold), "a long, b long"), "across")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, class_id: str = "class_id", keep: str = "keep") -> DataFrame:
     """All columns of docs, class_id (the smallest doc_id of the class) and keep (true for one row of each class).
 
     Rows with equal words are one class; texts without words (null is empty) are one class where the
     texts are equal. Repeated rows and equal ids are one class by their texts, and one row is kept:
     that of the smallest doc_id, ties to the first row. An empty table gives no rows. class_id and
-    keep must not be columns of docs. Tables are written to the shared folder.
+    keep must not be columns of docs (ValueError). Tables are written to the shared folder.
     """
+    absent(docs, class_id, keep)
     columns = list(docs.columns)
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     kind = source.schema["row"].dataType.simpleString()
@@ -318,26 +333,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = materialise(rows.select("row", *([] if text in columns else ["text"]), "digest", "n", "bands", F.monotonically_increasing_id().alias("uid")), "signed")
     whole = F.col(f"row.`{text}`") if text in columns else F.col("text")
     first = F.struct(F.col(f"row.`{doc_id}`").alias("id"), "uid")
-    reps = rows.groupBy("digest").agg(F.min("uid").alias("uid"), F.min(first).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = rows.groupBy("digest").agg(F.min("uid").alias("uid"), F.min(first).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     reps = materialise(reps, "reps")
 
     members = reps.select("uid", "n", F.explode("bands").alias("bucket"))
-    pivots = members.groupBy("bucket").agg(F.min(F.struct("uid", "n")).alias("pivot"), F.count("*").alias("size")).filter("size > 1").select("bucket", "pivot")
-    shared = materialise(members.join(pivots, "bucket"), "shared")
+    pivots = members.groupBy("bucket").agg(F.min(F.struct("uid", "n")).alias("pivot"), F.count("*").alias("size")).filter("size > 1")
+    total, texts_ = reps.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.count("*")).first()
+    shared = materialise(joined(members, pivots, "bucket", "size", BANDS * texts_), "shared")
     near = F.least("n", "pivot.n") >= threshold * F.greatest("n", "pivot.n")
     pairs = materialise(shared.filter((F.col("uid") != F.col("pivot.uid")) & near).select(F.col("uid").alias("a"), F.col("pivot.uid").alias("b")).distinct(), "pairs")
     texts = rows.select("uid", whole.alias("text"))
     links = _links(pairs, texts, threshold, "links")
     comp = materialise(components(links), "components")
-    more = _across(shared.select("bucket", "uid", "n"), comp, texts, threshold)
+    more = _across(shared.select("bucket", "uid", "n"), comp, texts, threshold, texts_)
     if more is not None and not more.isEmpty():
         stars = comp.filter("uid <> comp").select(F.col("uid").alias("a"), F.col("comp").alias("b"))
         comp = materialise(components(stars.unionAll(more)), "components")
 
-    owned = reps.select("uid", "digest", "first").join(comp, "uid", "left").select("digest", "first", F.coalesce("comp", "uid").alias("comp"))
-    heads = owned.groupBy("comp").agg(F.min("first").alias("head"))
-    classes = owned.join(heads, "comp").select("digest", "head")
-    return rows.join(classes, "digest").select(*[F.col(f"row.`{c}`").alias(c) for c in columns], F.col("head.id").alias("class_id"), (F.col("uid") == F.col("head.uid")).alias("keep"))
+    owned = reps.select("uid", "digest", "first", "copies").join(comp, "uid", "left").select("digest", "first", "copies", F.coalesce("comp", "uid").alias("comp"))
+    heads = owned.groupBy("comp").agg(F.min("first").alias("head"), F.count("*").alias("size"))
+    classes = joined(owned, heads, "comp", "size", texts_).select("digest", "head", "copies")
+    found = joined(rows.select("row", "digest", "uid"), materialise(classes, "classes"), "digest", "copies", total)
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], F.col("head.id").alias(class_id), (F.col("uid") == F.col("head.uid")).alias(keep))
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
