@@ -221,6 +221,16 @@ def pours(head: DataFrame, one: DataFrame, two: DataFrame, benign: DataFrame, ke
     return with_position(rows, ["chunk", "_h", key], bucket=F.col("_k")).drop("_h", "_k")
 
 
+def mixed_validation(df: DataFrame, positive: Column, key: str, fraction: float, cap: int, seed: int = 0) -> DataFrame:
+    """Rows with split: fit (benign alone, no labels needed) and valid, which has a fraction of the benign rows and as many positives, each at most cap."""
+    benign = random_split(df.filter(~positive), key, fraction, seed, ("valid", "fit"))
+    chosen = take(benign.filter("split = 'valid'"), [], key, F.lit(cap), seed)
+    n = chosen.agg(F.count("*").alias("_most"))  # one row
+    ranked = _ranked(df.filter(positive), [], key, seed).join(F.broadcast(n)).filter(F.col("_r") <= F.col("_most"))
+    positives = ranked.select(*df.columns).withColumn("split", F.lit("valid"))
+    return benign.filter("split = 'fit'").unionByName(chosen.select(*benign.columns)).unionByName(positives)
+
+
 def split_by_entity(df: DataFrame, entity: str, fraction: float, seed: int = 0, out: str = "split") -> DataFrame:
     """df with a split by the hash of an entity, so no entity is on both sides."""
     share = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(entity).cast("string")), 256), 1, 8), 16, 10).cast("double") / float(1 << 32)

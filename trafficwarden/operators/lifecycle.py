@@ -270,6 +270,17 @@ def newest_first(df: DataFrame, at: str, limit: int) -> DataFrame:
     return df.orderBy(F.desc(at), *[c for c in df.columns if c != at]).limit(limit)
 
 
+def merged_log(logs: dict[str, DataFrame], at: str, keys: list[str]) -> DataFrame:
+    """Several logs as one, with log (its name) and a dense position in order of time, log and keys; columns that a log lacks are null."""
+    from functools import reduce
+
+    from trafficwarden.operators.order import with_position
+
+    named = [df.withColumn("log", F.lit(name)) for name, df in logs.items()]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+    return with_position(rows, [at, "log", *keys], bucket=F.date_trunc("hour", at))
+
+
 def first_reaching(df: DataFrame, position: str, flag: Column, count: int, bucket: Column | None = None) -> DataFrame:
     """One row: the first position at which so many flagged rows have come (null if never)."""
     from trafficwarden.operators.order import running_sum

@@ -1,8 +1,8 @@
 """Classifiers and anomaly detectors as distributed jobs.
 
 Classifier: TF-IDF of character n-grams within words, and multinomial logistic regression. Detectors:
-local outlier factor, isolation forest, and a one-class SVM over random Fourier features. Training
-sets of detectors are read in blocks of bounded size; trees grow one per group.
+local outlier factor, isolation forest, and a one-class SVM over random Fourier features. Neighbours
+are searched in pairs of blocks of bounded size; trees grow one per group.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trafficwarden.functions.text import LABELS, word_ngrams
@@ -149,45 +150,46 @@ def scaled(df: DataFrame, scaling: dict[str, tuple[bool, float, float]], out: st
 
 # Local outlier factor.
 
-#: Training rows that are sent to the tasks at once.
-BLOCK = 20_000
+#: Rows of a block of training rows, and of a block of queries.
+BLOCK = 4096
 
 
 def nearest_rows(queries: DataFrame, train: DataFrame, k: int, key: str = "id", x: str = "x", block: int = BLOCK) -> DataFrame:
     """key, n (rank from 1), neighbour, distance: the k nearest training rows other than the row itself, ties by key.
 
-    The training rows go to the tasks in blocks of about ``block`` rows, one narrow pass over the
-    queries for each, so memory is bounded whatever the size of the training set.
+    Exact: both sides are dealt into blocks of about ``block`` rows, each pair of blocks is one group
+    that keeps the k nearest of its training rows, and a window merges them. No row passes the driver;
+    the work is the product of the two sides, spread evenly.
     """
-    spark = queries.sparkSession
-    blocks = max(1, -(-train.count() // block))
-    out = queries.select(F.col(key).cast("long").alias("id"), F.col(x).alias("x"), F.array().cast("array<long>").alias("ids"), F.array().cast("array<double>").alias("ds"))
-
-    def against(shared):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, t = shared.value
-            for part in parts:
-                q, new_ids, new_ds = np.stack(part["x"].to_numpy()) if len(part) else np.empty((0, 1)), [], []
-                for i in range(0, len(part), 256):
-                    d = np.sqrt(np.maximum(((q[i : i + 256, None, :] - t[None]) ** 2).sum(2), 0)) if len(t) else np.empty((len(q[i : i + 256]), 0))
-                    for row, own, a, b in zip(d, part["id"].iloc[i : i + 256], part["ids"].iloc[i : i + 256], part["ds"].iloc[i : i + 256]):
-                        keep = ids != own
-                        all_ids, all_ds = np.concatenate([np.asarray(a, np.int64), ids[keep]]), np.concatenate([np.asarray(b, float), row[keep]])
-                        if len(all_ds) > 4 * k:
-                            near = np.flatnonzero(all_ds <= np.partition(all_ds, k - 1)[k - 1])
-                            all_ids, all_ds = all_ids[near], all_ds[near]
-                        best = np.lexsort((all_ids, all_ds))[:k]
-                        new_ids.append(all_ids[best])
-                        new_ds.append(all_ds[best])
-                yield part.assign(ids=new_ids, ds=new_ds)
-
-        return run
-
-    for b in range(blocks):
-        rows = train.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).select(F.col(key).cast("long").alias("id"), F.col(x).alias("x")).collect()
-        ids, t = np.array([r.id for r in rows], np.int64), np.array([r.x for r in rows], float)
-        out = out.mapInPandas(against(spark.sparkContext.broadcast((ids, t))), "id long, x array<double>, ids array<long>, ds array<double>")
-    return out.select(F.col("id").alias(key), F.posexplode(F.arrays_zip("ids", "ds")).alias("n", "p")).select(key, (F.col("n") + 1).alias("n"), F.col("p.ids").alias("neighbour"), F.col("p.ds").alias("distance"))
+    parts = max(1, -(-train.count() // block))
+    turns = max(1, -(-queries.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    row = [F.col(key).cast("long").alias("id"), F.col(x).alias("x")]
+    left = queries.select(*row, every(parts).alias("part"), F.pmod(F.xxhash64(key), F.lit(turns)).cast("int").alias("turn"))
+    right = train.select(*row, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"), every(turns).alias("turn"))
+
+    def search(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(qs) and len(ts):
+            ids, t = ts["id"].to_numpy(), np.stack(ts["x"].to_numpy()).astype(float)
+            for i in range(0, len(qs), 64):
+                own, q = qs["id"].to_numpy()[i : i + 64], np.stack(qs["x"].to_numpy()[i : i + 64]).astype(float)
+                d = np.sqrt(((q[:, None, :] - t[None]) ** 2).sum(2))
+                d[own[:, None] == ids[None]] = np.inf
+                bound = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                a, b = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
+                order = np.lexsort((ids[b], d[a, b], a))
+                a, b = a[order], b[order]
+                near = np.arange(len(a)) - np.searchsorted(a, a) < k
+                a, b = a[near], b[near]
+                found.append((own[a], ids[b], d[a, b]))
+        cols = [np.concatenate(v) for v in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        return pd.DataFrame(dict(zip(("id", "neighbour", "distance"), cols)))
+
+    group = ["part", "turn"]
+    pairs = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(search, "id long, neighbour long, distance double")
+    ranked = pairs.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("distance", "neighbour"))).filter(F.col("n") <= k)
+    return ranked.select(F.col("id").alias(key), "n", "neighbour", "distance")
 
 
 def lof_tables(near: DataFrame, key: str = "id") -> DataFrame:

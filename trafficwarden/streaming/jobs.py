@@ -95,6 +95,15 @@ def with_late_count(stream: DataFrame, clock: Column, name: str = "late") -> Dat
     return stream.observe(name, F.count_if(F.col("ts") < clock).alias("late"), F.count("*").alias("rows"))
 
 
+def late_counts(stream: DataFrame, clock: Column, checkpoint: str) -> DataFrame:
+    """One row: late and all rows of a stream, as its own progress reports count them."""
+    query = with_late_count(stream, clock).writeStream.format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    seen = [p["observedMetrics"]["late"] for p in query.recentProgress if "late" in p["observedMetrics"]]  # a row for each batch
+    rows = [(int(m["late"]), int(m["rows"])) for m in seen]
+    return stream.sparkSession.createDataFrame([tuple(map(sum, zip(*rows)))] if rows else [], "late long, rows long")
+
+
 def sustained_breaches(signals: DataFrame, threshold: float = 0.2, sustained: int = 2) -> DataFrame:
     """signal, window at which so many breaches in a row are reached (once).
 
@@ -154,11 +163,15 @@ def hold_timeouts(stream: DataFrame, seconds: int = 300, late: str = "1 minute")
         decided = rows[rows["kind"] != "hold"]
         if settled:
             remember(due, True)
-        elif len(decided):
-            remember(decided["ms"].iloc[0] + seconds * 1000, True)
-            yield pd.DataFrame({"id": [key[0]], "outcome": [decided["kind"].iloc[0]]})
+            return
+        holds = rows[rows["kind"] == "hold"]["ms"]
+        due = due if due is not None else int(holds.iloc[0]) + seconds * 1000 if len(holds) else None
+        if len(decided):
+            at = int(decided["ms"].iloc[0])
+            remember(at + seconds * 1000, True)
+            yield pd.DataFrame({"id": [key[0]], "outcome": ["deny" if due is not None and at > due else decided["kind"].iloc[0]]})
         else:
-            remember(due if due is not None else rows["ms"].iloc[0] + seconds * 1000, False)
+            remember(due, False)
 
     # milliseconds come from Spark: times in Python have no zone
     rows = stream.withWatermark("ts", late).select("id", "ts", "kind", F.unix_millis("ts").alias("ms"))
