@@ -34,3 +34,14 @@ def test_odd_documents(spark):
         for _, stage in P.STAGES:
             out = stage(spark, out, DATA)
         out.collect()
+
+
+def test_columns_of_any_name(spark):
+    """Columns named like those that the operators add, whatever their case, come through unchanged."""
+    docs = spark.createDataFrame([(1, "The and of the thing and that", "en", "s", 29, "a", "b", "c", "d", 1)], "doc_id long, text string, lang string, source string, n_chars int, _language string, _Found string, _private string, class_id string, keep int")
+    out = docs
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, out, DATA)
+        assert out.columns == docs.columns and out.count() == 1
+    assert out.drop("lang").first() == docs.drop("lang").first()
+    assert P.packed(spark, out, DATA).count() == 1

@@ -335,7 +335,7 @@ def test_preferences_of_all_match_sql(spark):
     d = "/root/testdata/sf0.01"
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{d}/conversations.parquet'")
-    got, want = chat.op7_preferences_all(spark, d).toPandas(), duck.execute(chat.OP7_ALL_SQL).df()
+    got, want = chat.op7_preferences(spark, d).toPandas(), duck.execute(chat.OP7_SQL).df()
     order = ["conv_id", "part", "turn", "role", "copy", "text_md5"]
     assert got[want.columns].sort_values(order).values.tolist() == want.sort_values(order).values.tolist()
     answered = duck.execute("SELECT count(DISTINCT conv_id) FROM conversations WHERE role = 'assistant' AND turn IS NOT NULL").fetchone()[0]
@@ -379,3 +379,21 @@ def test_huge_pages_are_bounded():
     deep = html_text.blocks("".join(f"<div class='c{i % 300}'>t" for i in range(20_000)) + "</x>" * 20_000)
     assert len(deep) == 20_000 and len(html_text.main_scores(model, [deep], {})[0]) == 20_000
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # KB
+
+
+def test_queries_match_sql(spark):
+    """The registered queries of licences and decontamination give the rows of their SQL."""
+    import duckdb
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    for query, sql in ((licenses.op1_licenses, licenses.OP1_SQL), (decontaminate.op9_decontamination, decontaminate.OP9_SQL)):
+        want = con.execute(sql)
+        names = [c[0] for c in want.description]
+        assert sorted(map(str, map(tuple, query(spark, d).select(*names).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_spans_longer_than_a_window_are_rejoined():
+    parts = [(10, 128, "email", 0.9, False, True), (64, 192, "email", 0.8, True, True), (128, 200, "email", 0.9, True, False), (400, 512, "ip", 0.9, False, True)]
+    assert [(a, b, k) for a, b, k, _ in pii._rejoined(parts)] == [(10, 200, "email")]

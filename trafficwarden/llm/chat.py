@@ -9,8 +9,6 @@ partner, which is aggregated with map-side combination. Native functions only.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,25 +84,17 @@ def swapped_answers_all(turns: DataFrame) -> DataFrame:
     return _with_ends(turns, placed.join(given, "position").select("conv_id", F.col("last.turn").alias("end"), "other"))
 
 
-def _op7(spark: SparkSession, sf_dir: str, swapped: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    out = format_preferences(turns, swapped(turns))
-    return out.select("conv_id", "part", "turn", "role", "copy", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), "learned_from", "learned_to")
-
-
 def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation whose id plus one has an answer, against itself with that last answer."""
-    return _op7(spark, sf_dir, swapped_answers)
-
-
-def op7_preferences_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation with an answer against itself with the last answer of the next one that has any."""
-    return _op7(spark, sf_dir, swapped_answers_all)
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    out = format_preferences(turns, swapped_answers_all(turns))
+    return out.select("conv_id", "part", "turn", "role", "copy", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), "learned_from", "learned_to")
 
 
 OP7_SQL = r"""
-WITH last AS (SELECT conv_id, max({'t': turn, 'x': text}) AS l FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL GROUP BY conv_id),
-ends AS (SELECT a.conv_id, a.l.t AS e, b.l.x AS other FROM last a JOIN last b ON b.conv_id = a.conv_id + 1),
+WITH last AS (SELECT conv_id, max({'t': turn, 'x': text}) AS l FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),
+placed AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS i, count(*) OVER () AS n FROM last),
+ends AS (SELECT a.conv_id, a.l.t AS e, b.l.x AS other FROM last a JOIN placed p ON p.conv_id = a.conv_id JOIN placed b ON b.i = (p.i + 1) % p.n),
 c0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 r0 AS (SELECT conv_id, turn, role, text FROM c0 JOIN ends USING (conv_id) WHERE turn < e UNION ALL SELECT conv_id, e, 'assistant', coalesce(other, '') FROM ends),
 c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, role, text) AS copy FROM c0),
@@ -118,11 +108,3 @@ s AS (SELECT conv_id, 'prompt' AS part, turn, role, copy, text FROM p WHERE shar
 w AS (SELECT *, '<|' || role || '|>' || chr(10) AS head, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS whole, part <> 'prompt' AND role = 'assistant' AS learned FROM s)
 SELECT conv_id, part, turn, role, copy, CAST(length(whole) AS BIGINT) AS n_chars, md5(whole) AS text_md5, CAST(CASE WHEN learned THEN length(head) ELSE 0 END AS BIGINT) AS learned_from, CAST(CASE WHEN learned THEN length(whole) ELSE 0 END AS BIGINT) AS learned_to FROM w
 """
-
-
-OP7_ALL_SQL = OP7_SQL.replace(
-    "JOIN last b ON b.conv_id = a.conv_id + 1)", "JOIN placed p ON p.conv_id = a.conv_id JOIN placed b ON b.i = (p.i + 1) % p.n)"
-).replace(
-    "role = 'assistant' AND conv_id IS NOT NULL GROUP BY conv_id),",
-    "role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),\nplaced AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS i, count(*) OVER () AS n FROM last),",
-)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficwarden.llm.common import slices
+from trafficwarden.llm.common import absent, slices
 
 ORDER = 5
 ROWS_PER_LANG = 600
@@ -219,8 +219,9 @@ def identify(docs: DataFrame, model: KneserNey, text: str = "text", found: str =
 
     lang is ``und`` and rejected is true if the text is null, empty or has no letter, or if the model
     knows no language. Ties go to the first language by name. Each row is judged by its text alone.
-    ``found`` must not be a column of docs.
+    ``found`` must not be a column of docs (ValueError).
     """
+    absent(docs, found)
     columns = list(docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

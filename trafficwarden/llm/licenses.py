@@ -1,47 +1,82 @@
 """Licence scan by a positional index of rare licence words, in DataFrame functions only.
 
-The templates are short licence notices. From document frequencies over the whole table the rarest
-words (highest IDF) of each template's first mandatory key phrase are chosen as its index words. A
-file looks its words up in the index; a posting says at which place of which template the word
-stands, so a hit gives a start of the template in the file. Starts on which all index words of the
-template agree are candidates, and a candidate counts if every mandatory key phrase of the template
-stands there word by word. As index words are part of a key phrase, no place of one is missed.
-
-All work on a file is in arrays of its own row: one scan for the frequencies, one for the result, no
-shuffle of texts. What is fixed in size (templates, index) is part of the plan.
+The templates are licence texts, headers and short notices. The words of each template's mandatory key
+phrases that are rarest among all templates (highest IDF there) are its index words. A file looks its
+words up in the index; a posting says at which place of which template the word stands, so a hit gives a
+start of the template in the file. Postings are intersected by relative position: a start that as many
+postings give as the template has index words is a candidate, found as a run of equal starts in sorted
+order. A candidate counts if every mandatory key phrase stands there word by word. As index words are
+part of the key phrases, no place is missed, whichever words are chosen.
+
+All work on a file is in arrays of its own row: one scan, no shuffle. What is fixed in size (templates,
+index) is part of the plan.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Label, whether it is one of the base phrases, notice, mandatory key phrases (parts of the notice).
+from trafficwarden.llm.common import absent
+
+# Label, whether it is one of the base phrases, text of the licence or notice, mandatory key phrases (parts of the text, by words).
 TEMPLATES = [
     ("mit", True, "mit license", ["mit license"]),
     ("apache", True, "apache license", ["apache license"]),
     ("gpl", True, "general public license", ["general public license"]),
-    ("agpl", False, "gnu affero general public license", ["affero general public license"]),
-    ("apache-2.0", False, "licensed under the apache license version 2 0", ["apache license version 2 0"]),
-    ("boost-1.0", False, "distributed under the boost software license version 1 0", ["boost software license"]),
-    ("bsd", False, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "are permitted provided that the following conditions are met"]),
+    ("agpl", False, "GNU Affero General Public License as published by the Free Software Foundation", ["affero general public license"]),
+    ("apache-2.0", False, """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License
+        for the specific language governing permissions and limitations under the License.""", ["apache license version 2 0"]),
+    ("boost-1.0", False, "Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt", ["boost software license"]),
+    ("bsd", False, """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+        ["redistribution and use in source and binary forms", "are permitted provided that the following conditions are met"]),
+    ("bsd-3", False, "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        ["may be used to endorse or promote products derived from this software"]),
     ("cc-by-4.0", False, "this work is licensed under cc by 4 0", ["cc by 4 0"]),
     ("cc-by-nc-4.0", False, "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
     ("cc-by-sa-4.0", False, "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
-    ("creative-commons", False, "licensed under a creative commons attribution license", ["creative commons attribution"]),
-    ("epl", False, "made available under the eclipse public license", ["eclipse public license"]),
-    ("gpl-2.0", False, "licensed under the gnu general public license version 2", ["general public license version 2"]),
-    ("gpl-3.0", False, "this work is licensed under the gnu general public license version 3", ["general public license version 3"]),
-    ("isc", False, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify and or distribute this software", "with or without fee is hereby granted"]),
-    ("lgpl", False, "gnu lesser general public license", ["lesser general public license"]),
-    ("mit-grant", False, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge", "obtaining a copy of this software"]),
+    ("creative-commons", False, "This work is licensed under a Creative Commons Attribution License", ["creative commons attribution"]),
+    ("epl", False, "This program and the accompanying materials are made available under the terms of the Eclipse Public License", ["eclipse public license"]),
+    ("gpl-2.0", False, "licensed under the GNU General Public License version 2", ["general public license version 2"]),
+    ("gpl-3.0", False, "this work is licensed under the GNU General Public License version 3", ["general public license version 3"]),
+    ("gpl-header", False, """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+        Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+        ["you can redistribute it and or modify it under the terms of the gnu general public license"]),
+    ("isc", False, """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+        and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.""", ["permission to use copy modify and or distribute this software", "with or without fee is hereby granted"]),
+    ("lgpl", False, "GNU Lesser General Public License as published by the Free Software Foundation", ["lesser general public license"]),
+    ("mit-grant", False, """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in
+        the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+        Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
+        shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+        BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE
+        FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+        OTHER DEALINGS IN THE SOFTWARE.""", ["permission is hereby granted free of charge", "obtaining a copy of this software"]),
     ("mit-release", False, "released under the mit license", ["under the mit license"]),
-    ("mpl-2.0", False, "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("unlicense", False, "this is free and unencumbered software released into the public domain", ["free and unencumbered software released into the public domain"]),
+    ("mpl-2.0", False, """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain
+        one at http://mozilla.org/MPL/2.0/.""", ["mozilla public license"]),
+    ("unlicense", False, """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
+        software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+        ["free and unencumbered software released into the public domain"]),
+    ("zlib", False, """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of
+        this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely,
+        subject to the following restrictions""", ["permission is granted to anyone to use this software for any purpose", "alter it and redistribute it freely"]),
 ]
 
-#: Index words of each template.
+#: Index words of each template; words of plain prose are taken last.
 RAREST = 2
+PLAIN = {"0", "a", "and", "any", "are", "as", "by", "for", "free", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "use", "used", "with", "without", "you"}
 #: Fixed value: what separates words in lower-cased text, as a Java pattern.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -54,7 +89,7 @@ def parsed() -> list[dict]:
     """The templates with word lists, and places of the key phrases in them."""
     out = []
     for label, base, notice, keys in TEMPLATES:
-        words = notice.split()
+        words = re.findall("[0-9a-z]+", notice.lower())
         out.append({"label": label, "base": base, "words": words, "keys": [(_at(words, k.split()), k.split()) for k in keys]})
     return out
 
@@ -65,22 +100,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(plain, BETWEEN), "")
 
 
-def frequencies(docs: DataFrame, text: str) -> tuple[int, dict[str, int]]:
-    """Rows, and in how many each word of a key phrase stands. The vocabulary is fixed, so is what comes to the driver."""
-    vocabulary = sorted({w for t in parsed() for _, k in t["keys"] for w in k})
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    found = docs.select(F.explode(F.concat(F.array_intersect(words_of(F.col(text)), known), F.array(F.lit("")))).alias("word"))
-    counts = {r.word: r.n for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    return counts.pop("", 0), counts
-
-
-def index(counts: dict[str, int], rarest: int = RAREST) -> list[list[tuple[int, str]]]:
-    """For each template the places and words of its rarest words, the rarest first, within its first key phrase."""
-    out = []
-    for t in parsed():
-        off, key = t["keys"][0]
-        order = sorted(range(len(key)), key=lambda i: (counts.get(key[i], 0), i))
-        out.append([(off + i, key[i]) for i in order[:rarest]])
+def index(rarest: int = RAREST) -> list[list[tuple[int, str]]]:
+    """For each template the places and words of the key-phrase words that are rarest among the templates, rarest first."""
+    templates, out = parsed(), []
+    df = Counter(w for t in templates for w in set(t["words"]))
+    for t in templates:
+        keyed = [(off + i, w) for off, key in t["keys"] for i, w in enumerate(key)]
+        out.append(sorted(keyed, key=lambda x: (x[1] in PLAIN, df[x[1]], -len(x[1]), x[0]))[:rarest])
     return out
 
 
@@ -89,14 +115,15 @@ def scan(docs: DataFrame, text: str = "text", found: str = "licenses") -> DataFr
 
     start is where the template's first key phrase starts, in words from 0; share is the part of the
     template's words that stand in place. A null or empty text has no words and no places. Rows are
-    scanned whole, each by itself; repeated rows get the same. ``found`` must not be a column of docs.
+    scanned whole, each by itself; repeated rows get the same. ``found`` must not be a column of docs
+    (ValueError).
     """
-    _, counts = frequencies(docs, text)
-    templates, keyed = parsed(), index(counts)
+    absent(docs, found)
+    templates, keyed = parsed(), index()
     postings: dict[str, list[tuple[int, int]]] = {}
     for i, entries in enumerate(keyed):
-        place, word = entries[0]  # one of them starts the lookup, the others must agree
-        postings.setdefault(word, []).append((i, place))
+        for place, word in entries:
+            postings.setdefault(word, []).append((i, place))
 
     def strings(values: list[str]) -> Column:
         return F.array(*[F.lit(v) for v in values])
@@ -115,7 +142,12 @@ def scan(docs: DataFrame, text: str = "text", found: str = "licenses") -> DataFr
     rows = rows.select("row", "words", F.explode(F.array(F.when(some, hits).otherwise(F.array().cast("array<int>")))).alias("hits"))
     word_at = lambda i: F.get(F.col("words"), i)
     starts = F.flatten(F.transform("hits", lambda i: F.transform(F.element_at(lookup, word_at(i)), lambda p: F.struct(p["t"].alias("t"), (i - p["p"]).alias("at")))))
-    rows = rows.select("row", "words", F.explode(F.array(starts)).alias("starts"))
+    rows = rows.select("row", "words", F.explode(F.array(F.array_sort(starts))).alias("starts"))
+    # a start that all index words of its template give stands so often in a row
+    needed = numbers(*[len(entries) for entries in keyed])
+    last = lambda s, i: F.get("starts", i + F.get(needed, s["t"]) - 1)
+    agreed = F.array_distinct(F.filter("starts", lambda s, i: F.coalesce(last(s, i) == s, F.lit(False))))
+    rows = rows.select("row", "words", F.explode(F.array(agreed)).alias("starts"))
 
     def stands(at: Column, off: int, phrase: list[str]) -> Column:
         return (at + off >= 0) & (F.slice("words", F.greatest(at + off, F.lit(0)) + 1, len(phrase)) == strings(phrase))
@@ -123,10 +155,9 @@ def scan(docs: DataFrame, text: str = "text", found: str = "licenses") -> DataFr
     def verified(s: Column) -> Column:
         out = F.lit(False)
         for i, t in enumerate(templates):
-            agree = [word_at(s["at"] + p) == w for p, w in keyed[i][1:]]
             test = F.lit(True)
-            for c in [*agree, *[stands(s["at"], off, k) for off, k in t["keys"]]]:
-                test = test & F.coalesce(c, F.lit(False))
+            for off, k in t["keys"]:
+                test = test & F.coalesce(stands(s["at"], off, k), F.lit(False))
             out = F.when(s["t"] == i, test).otherwise(out)
         return out
 
@@ -138,7 +169,7 @@ def scan(docs: DataFrame, text: str = "text", found: str = "licenses") -> DataFr
         same = F.size(F.filter(F.transform(whole, lambda w, i: word_at(s["at"] + i) == w), lambda x: F.coalesce(x, F.lit(False))))
         return F.struct(F.get(labels, s["t"]).alias("label"), F.get(bases, s["t"]).alias("base"), (s["at"] + F.get(firsts, s["t"])).cast("long").alias("start"), (same / F.size(whole)).alias("share"))
 
-    places = F.transform(F.array_distinct(F.filter("starts", verified)), place)
+    places = F.transform(F.filter("starts", verified), place)
     return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], F.struct(F.size("words").cast("long").alias("n_words"), places.alias("places")).alias(found))
 
 

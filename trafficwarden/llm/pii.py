@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficwarden.llm import lstm
-from trafficwarden.llm.common import hash_sample, slices
+from trafficwarden.llm.common import absent, hash_sample, slices
 
 #: Fixed value: the kinds, in the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -258,6 +258,20 @@ def _plausible(text: str, kind: str) -> bool:
     return 7 <= digits <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", text)) and (text[0] in "+(" or not text.isdigit())
 
 
+def _rejoined(parts: list[tuple[int, int, str, float, bool, bool]]) -> Iterator[tuple[int, int, str, float]]:
+    """Spans (start, end, kind, mean) from overlapping readings of neighbouring windows that reach an edge; those whose ends no window sees go."""
+    for kind in sorted({p[2] for p in parts}):
+        run: list[tuple[int, int, str, float, bool, bool]] = []
+        for part in [*sorted(p for p in parts if p[2] == kind), None]:
+            if run and (part is None or part[0] > max(p[1] for p in run)):
+                begin, end = min(p[0] for p in run), max(p[1] for p in run)
+                if any(p[0] == begin and not p[4] for p in run) and any(p[1] == end and not p[5] for p in run):
+                    yield begin, end, kind, sum(p[3] * (p[1] - p[0]) for p in run) / sum(p[1] - p[0] for p in run)
+                run = []
+            if part is not None:
+                run.append(part)
+
+
 def model_spans(p: lstm.Params, texts: list[str], at_once: int = 1024) -> list[list[Span]]:
     """Spans that the model reads in each whole text, reconciled over its overlapping windows."""
     coded, where = {}, []
@@ -267,6 +281,7 @@ def model_spans(p: lstm.Params, texts: list[str], at_once: int = 1024) -> list[l
             coded[i] = symbols(t)
             where += [(i, k * STRIDE) for k in found]
     readings: dict[int, list[tuple[int, float, int, int, str]]] = {}
+    cut: dict[int, list[tuple[int, int, str, float, bool, bool]]] = {}
     for j in range(0, len(where), at_once):
         some = where[j : j + at_once]
         x = np.zeros((len(some), WIDTH), np.int64)
@@ -292,9 +307,14 @@ def model_spans(p: lstm.Params, texts: list[str], at_once: int = 1024) -> list[l
                     t += 1
                 left = WIDTH if start == 0 else first
                 right = WIDTH if start + size == len(texts[i]) else size - t
-                if min(left, right) > 0:
-                    mean = float(sure[range(first, t), r, best[r, first:t]].mean())
+                mean = float(sure[range(first, t), r, best[r, first:t]].mean())
+                if min(left, right) == 0:
+                    cut.setdefault(i, []).append((start + first, start + t, KINDS[kind], mean, left == 0, right == 0))
+                else:
                     readings.setdefault(i, []).append((min(left, right), mean, start + first, start + t, KINDS[kind]))
+    for i, parts in cut.items():  # a span that reaches beyond its window is read in parts
+        for a, b, kind, mean in _rejoined(parts):
+            readings.setdefault(i, []).append((1, mean, a, b, kind))
     out: list[list[Span]] = [[] for _ in texts]
     for i, found in readings.items():
         taken: list[Span] = []
@@ -336,8 +356,9 @@ def find_private(docs: DataFrame, model: lstm.Params, text: str = "text", found:
 
     Places are code points, ends exclusive. A null text has no spans and stays null; an empty one has
     none. Every row is read whole and by itself, so repeated rows get the same spans. ``found`` must
-    not be a column of docs. No shuffle.
+    not be a column of docs (ValueError). No shuffle.
     """
+    absent(docs, found)
     columns = list(docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))

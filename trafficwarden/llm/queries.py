@@ -10,7 +10,6 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_language": language.op6_language,
     "op7_preferences": chat.op7_preferences,
-    "op7_preferences_all": chat.op7_preferences_all,
     "op8_pii": pii.op8_pii,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_neardup": neardup.op10_neardup,
@@ -19,6 +18,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_licenses": licenses.OP1_SQL,
     "op7_preferences": chat.OP7_SQL,
-    "op7_preferences_all": chat.OP7_ALL_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
 }

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficwarden.llm.common import slices
+from trafficwarden.llm.common import absent, slices
 from trafficwarden.llm.packing import default_ranks, encoder
 
 #: Pre-tokens in a new leaf, and counts that a task remembers.
@@ -161,8 +161,9 @@ def counted(docs: DataFrame, edits: Column, text: str = "text", found: str = "to
     edits is an array of (start, end, text): characters of the text as the edits before have left it.
     Null edits are none. A null text is empty. tokens counts ordinary text (no special ids);
     recounted is the number of pre-tokens that the edits made the counter look at again. Each row is
-    counted whole and by itself. ``found`` must not be a column of docs.
+    counted whole and by itself. ``found`` must not be a column of docs (ValueError).
     """
+    absent(docs, found)
     columns = list(docs.columns)
     path = ranks_file or default_ranks()
     kinds = ["pieces", "tokens", "edits", "tokens_after", "recounted"]
