@@ -150,3 +150,21 @@ def test_workflow(spark, tmp_path):
     assert not one["repeated"] and two["repeated"] and one["run_id"] == two["run_id"] and one["f1_macro"] > 0.8
     out = Y.scenario(spark, str(tmp_path / "acts"), rows, ["length", "entropy"], 50, config).first()
     assert out.first == "direct_promote" and out.second == "direct_promote" and out.rows > 0
+
+
+def test_exact_quantiles(spark):
+    """Those of numpy, whatever share of the rows one group or one value holds; nulls left out."""
+    import numpy as np
+
+    from trafficwarden.operators.order import quantiles
+
+    rng, ps = np.random.default_rng(1), [0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0]
+    rows = [("hot", float(v)) for v in np.round(rng.normal(size=3000), 2)] + [("tied", 7.0)] * 2000 + [("tied", 8.0)] + [("one", -1.5), (None, 2.0), (None, 3.0), ("none", None), ("hot", None)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r.k: r.q for r in quantiles(df, ["k"], "x", ps).collect()}
+    assert set(got) == {"hot", "tied", "one", None}
+    for k, q in got.items():
+        assert np.allclose(q, np.quantile([x for g, x in rows if g == k and x is not None], ps), atol=1e-12)
+    whole = quantiles(df, [], "x", ps).collect()
+    assert len(whole) == 1 and np.allclose(whole[0].q, np.quantile([x for _, x in rows if x is not None], ps))
+    assert [r.q for r in quantiles(df.limit(0), [], "x", ps).collect()] == [None] and quantiles(df.limit(0), ["k"], "x", ps).count() == 0

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trafficwarden.functions.text import CALLBACKS, is_callback, is_template
+from trafficwarden.operators.order import quantiles
 
 
 def profile(df: DataFrame, columns: list[str], distinct: list[str]) -> DataFrame:
@@ -52,18 +53,26 @@ def partition_counts(df: DataFrame, label: str, part: str) -> DataFrame:
     return df.rollup(label, part).agg(F.count("*").alias("n"))
 
 
+def _with_quantiles(out: DataFrame, q: DataFrame, by: list[str]) -> DataFrame:
+    """out with the array q of each group, null groups included; null where a group has no value."""
+    if not by:
+        return out.join(F.broadcast(q))  # two one-row tables
+    return out.alias("o").join(q.alias("q"), [F.col(f"o.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by], "left").select("o.*", "q.q")
+
+
 def describe(df: DataFrame, group: str, features: list[str]) -> DataFrame:
     """group, feature, n, mean, std, min, p25, p50, p75, max."""
     long = df.select(group, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("p")).select(group, "p.*")
     r = lambda c: F.round(c, 6)
-    q = F.percentile("x", F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75)]))
-    out = long.groupBy(group, "feature").agg(F.count("x").alias("n"), r(F.mean("x")).alias("mean"), r(F.stddev_samp("x")).alias("std"), r(F.min("x")).alias("min"), q.alias("q"), r(F.max("x")).alias("max"))
+    out = long.groupBy(group, "feature").agg(F.count("x").alias("n"), r(F.mean("x")).alias("mean"), r(F.stddev_samp("x")).alias("std"), r(F.min("x")).alias("min"), r(F.max("x")).alias("max"))
+    out = _with_quantiles(out, quantiles(long, [group, "feature"], "x", [0.25, 0.5, 0.75]), [group, "feature"])
     return out.select(group, "feature", "n", "mean", "std", "min", *[r(F.col("q")[i]).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def score_stats(df: DataFrame, score: str, by: list[str] | None = None) -> DataFrame:
     """n, mean, p50, p90, p99, max of a score."""
-    out = df.groupBy(*(by or [])).agg(F.count(score).alias("n"), F.round(F.mean(score), 6).alias("mean"), F.percentile(score, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))).alias("q"), F.round(F.max(score), 6).alias("max"))
+    out = df.groupBy(*(by or [])).agg(F.count(score).alias("n"), F.round(F.mean(score), 6).alias("mean"), F.round(F.max(score), 6).alias("max"))
+    out = _with_quantiles(out, quantiles(df, by or [], score, [0.5, 0.9, 0.99]), by or [])
     return out.select(*(by or []), "n", "mean", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p50", "p90", "p99"))], "max")
 
 

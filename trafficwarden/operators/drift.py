@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trafficwarden.operators.order import quantiles
+
 FLOOR = 1e-6
 #: The signals of a window, by priority of their triggers.
 SIGNALS = ["global", "attack_subpop", "prediction", "confidence", "confidence_flagged"]
@@ -25,8 +27,7 @@ def bin_of(x: Column, edges: Column) -> Column:
 
 def fit_reference(df: DataFrame, bins: int = 10, by: str = "feature", x: str = "x") -> DataFrame:
     """feature, edges (inner edges of the distinct quantiles), ref (share of each bin). A constant feature has one bin; a feature without values has no row."""
-    q = F.percentile(x, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))
-    cuts = df.filter(F.col(x).isNotNull()).groupBy(by).agg(q.alias("q"))
+    cuts = quantiles(df, [by], x, [i / bins for i in range(bins + 1)])
     distinct = F.array_sort(F.array_distinct("q"))
     inner = F.when(F.size(distinct) > 2, F.slice(distinct, 2, F.size(distinct) - 2)).otherwise(F.array().cast("array<double>"))
     edges = cuts.select(by, inner.alias("edges"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trafficwarden.operators.order import running_sum
+from trafficwarden.operators.order import quantiles, running_sums, with_position
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -49,11 +49,7 @@ def gate_evaluation(cells: DataFrame, normal: str = "normal") -> DataFrame:
 def steps(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """score, tp, fp at or above it, and the totals p, n: the distinct scores from the highest down."""
     cells = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")).filter("score is not null")
-    # distinct scores are summed up in buckets of the score, so no task orders them all
-    cells = cells.withColumn("_down", -F.col("score"))
-    bucket = F.floor(F.col("_down") * 64)
-    cells = running_sum(cells, ["_down"], F.col("pos"), "tp", bucket)
-    cells = running_sum(cells, ["_down"], F.col("neg"), "fp", bucket)
+    cells = running_sums(cells.withColumn("_down", -F.col("score")), ["_down"], {"tp": F.col("pos"), "fp": F.col("neg")})
     totals = df.filter(F.col(score).isNotNull()).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))  # one row
     return cells.select("score", "pos", "neg", "tp", "fp").join(F.broadcast(totals))
 
@@ -79,10 +75,8 @@ def class_auc(df: DataFrame, labels: list[str], truth: str, prefix: str) -> Data
 
 def thinned(curve: DataFrame, by: str, points: int = 50) -> DataFrame:
     """Every k-th row of a curve, so that at most so many remain."""
-    from trafficwarden.operators.order import with_position
-
     n = curve.agg(F.greatest(F.ceil(F.count("*") / points), F.lit(1)).alias("_k"))  # one row
-    return with_position(curve, [by], "_at", F.floor(F.col(by) * 64)).join(F.broadcast(n)).filter(F.col("_at") % F.col("_k") == 0).drop("_at", "_k")
+    return with_position(curve, [by], "_at").join(F.broadcast(n)).filter(F.col("_at") % F.col("_k") == 0).drop("_at", "_k")
 
 
 def precision_recall(df: DataFrame, score: str, positive: Column) -> DataFrame:
@@ -105,7 +99,7 @@ def detector_report(df: DataFrame, flag: Column, positive: Column) -> DataFrame:
 
 def matched_fpr(df: DataFrame, score: str, positive: Column, quantile: float = 0.95) -> DataFrame:
     """One row: the quantile of the benign scores as threshold, FPR and detection rate strictly above it."""
-    t = df.filter(~positive).agg(F.percentile(score, F.lit(quantile)).alias("threshold"))  # one row
+    t = quantiles(df.filter(~positive), [], score, [quantile]).select(F.col("q")[0].alias("threshold"))  # one row
     hit = F.col(score) > F.col("threshold")
     rows = df.join(F.broadcast(t))
     return rows.groupBy("threshold").agg(F.round(_ratio(F.count_if(~positive & hit), F.count_if(~positive)), 6).alias("fpr"), F.round(_ratio(F.count_if(positive & hit), F.count_if(positive)), 6).alias("detection_rate")).withColumn("threshold", F.round("threshold", 6))
@@ -117,7 +111,7 @@ SWEPT = [0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.
 
 def threshold_sweep(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """threshold, fp, tp, tn, fn, fpr, detection_rate, precision at the swept thresholds (flag: score at least that)."""
-    q = df.agg(F.percentile(score, F.array(*[F.lit(x) for x in SWEPT])).alias("q"), F.min(score).alias("lo"), F.max(score).alias("hi"))
+    q = quantiles(df, [], score, SWEPT).join(F.broadcast(df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))))  # two one-row tables
     t = F.array_sort(F.array_distinct(F.transform(F.concat("q", F.array(F.lit(0.0), F.col("lo"), F.col("hi"))), lambda x: F.round(x, 6))))
     thresholds = q.select(t.alias("ts"))  # one row
     cells = df.groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
@@ -176,8 +170,6 @@ def latency(timings: DataFrame, seconds: str, rows: str) -> DataFrame:
 def permuted(df: DataFrame, column: str, key: str, seed: int = 0) -> DataFrame:
     """df with one column shuffled: rows take the value of the row of the same rank by another hash."""
     from trafficwarden.operators.curate import sample_key
-    from trafficwarden.operators.order import with_position
-
     at = lambda d, s, out: with_position(d.withColumn("_h", sample_key(key, s)), ["_h", key], out, F.substring("_h", 1, 2)).drop("_h")
     values = at(df.select(key, column), f"{seed}:values", "_at").select("_at", column)
     return at(df.drop(column), f"{seed}:rows", "_at").join(values, "_at").drop("_at")

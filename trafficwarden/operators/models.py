@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from trafficwarden.functions.text import LABELS, word_ngrams
 from trafficwarden.operators.metrics import auc, confusion, detector_report, summary
+from trafficwarden.operators.order import quantiles
 
 # Classifier.
 
@@ -215,7 +216,7 @@ def fit_lof(train: DataFrame, k: int = 5, contamination: float = 0.05, key: str
     """(tables of the training rows, offset): the offset is the quantile of their own scores that leaves the contamination above it."""
     near = nearest_rows(train, train, k, key, x)
     tables = lof_tables(near, key)
-    offset = lof_scores(near, tables, key).agg(F.percentile("lof", F.lit(1 - contamination))).first()[0]
+    offset = quantiles(lof_scores(near, tables, key), [], "lof", [1 - contamination]).first().q[0]
     return tables, float(offset)
 
 
@@ -409,7 +410,7 @@ def zero_day_runs(df: DataFrame, label: str, classes: list[int], scores: DataFra
 def impact(current: DataFrame, cleaned: DataFrame, positive: Column, score: str = "anomaly_score") -> DataFrame:
     """pool, fpr, detection_rate, p90 of the benign scores for two scored versions of the same rows."""
     def one(df: DataFrame, name: str) -> DataFrame:
-        p90 = df.filter(~positive).agg(F.round(F.percentile(score, F.lit(0.9)), 6).alias("p90"))
+        p90 = quantiles(df.filter(~positive), [], score, [0.9]).select(F.round(F.col("q")[0], 6).alias("p90"))
         return detector_report(df, F.col(score) > 0, positive).join(F.broadcast(p90)).select(F.lit(name).alias("pool"), "fpr", "detection_rate", "p90")
 
     return one(current, "current").unionByName(one(cleaned, "cleaned"))

@@ -29,22 +29,52 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def running_sum(df: DataFrame, keys: list[str], value: Column, out: str, bucket: Column | None = None) -> DataFrame:
-    """df with the sum of value up to and including each row, in the order of keys (which must tell rows apart).
+def running_sums(df: DataFrame, keys: list[str], values: dict[str, Column], bucket: Column | None = None) -> DataFrame:
+    """df with the sum of each value up to and including each row, in the order of keys (which must tell rows apart).
 
     bucket is a column that never falls as the keys rise (an hour, a leading digit): sums per bucket
     give each bucket its start, a window within the bucket the rest. Without one the rows are
     range-partitioned and kept by a checkpoint, so that both passes see the same partitions. A row
     for each bucket or partition meets in one task; their number doesn't depend on the rows in them.
     """
-    rows = df.withColumn("_value", value)
+    rows = df.withColumns({f"_value_{n}": v for n, v in values.items()})
     rows = rows.withColumn("_part", bucket) if bucket is not None else kept(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
-    totals = rows.groupBy("_part").agg(F.sum("_value").alias("_total"))
-    before = totals.select("_part", (F.sum("_total").over(W.orderBy("_part")) - F.col("_total")).alias("_before"))
-    inner = F.sum("_value").over(W.partitionBy("_part").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn(out, inner).join(before, "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_value", "_before")
+    totals = rows.groupBy("_part").agg(*[F.sum(f"_value_{n}").alias(f"_total_{n}") for n in values])
+    parts = W.orderBy("_part")
+    before = totals.select("_part", *[(F.sum(f"_total_{n}").over(parts) - F.col(f"_total_{n}")).alias(f"_before_{n}") for n in values])
+    inner = W.partitionBy("_part").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
+    out = rows.withColumns({n: F.sum(f"_value_{n}").over(inner) for n in values}).join(before, "_part")
+    return out.withColumns({n: F.col(n) + F.col(f"_before_{n}") for n in values}).drop("_part", *[f"{c}_{n}" for n in values for c in ("_value", "_before")])
+
+
+def running_sum(df: DataFrame, keys: list[str], value: Column, out: str, bucket: Column | None = None) -> DataFrame:
+    """running_sums of one value."""
+    return running_sums(df, keys, {out: value}, bucket)
 
 
 def with_position(df: DataFrame, keys: list[str], out: str = "position", bucket: Column | None = None) -> DataFrame:
     """df with a dense position from 0 in the order of keys (which must tell rows apart)."""
     return running_sum(df, keys, F.lit(1).cast("long"), out, bucket).withColumn(out, F.col(out) - 1)
+
+
+def quantiles(df: DataFrame, by: list[str], x: str, probabilities: list[float], out: str = "q") -> DataFrame:
+    """by, out: the exact quantiles of x in each group (nulls left out), between two rows interpolated; a row for each group with a value.
+
+    Distinct values are counted first and then placed in their order over all groups, so neither a
+    large group nor a frequent value meets in one task. Without ``by`` the result is one row, of
+    null where no row has a value.
+    """
+    cells = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    cells = running_sums(cells, [*by, "_x"], {"_to": F.col("_c")})
+    groups = cells.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min(F.col("_to") - F.col("_c")).alias("_from"))
+    same = [F.col(f"c.{g}").eqNullSafe(F.col(f"g.{g}")) for g in by]
+    placed = cells.alias("c").join(groups.alias("g"), same) if by else cells.alias("c").join(F.broadcast(groups).alias("g"))  # one row
+    ends = [F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("g._n") - 1)).alias("at")) for i, p in enumerate(probabilities)]
+    last = F.col("c._to") - F.col("g._from") - 1  # place of the last row of this value in its group
+    first = last - F.col("c._c") + 1
+    low, high = (lambda e: F.floor(e["at"]).between(first, last)), (lambda e: F.ceil(e["at"]).between(first, last))
+    hit = placed.select(*[F.col(f"c.{g}") for g in by], F.col("c._x").alias("_x"), F.explode(F.transform(F.filter(F.array(*ends), lambda e: low(e) | high(e)), lambda e: F.struct(e["i"].alias("i"), e["at"].alias("at"), low(e).alias("low"), high(e).alias("high")))).alias("e"))
+    pairs = hit.groupBy(*by, "e.i").agg(F.max("e.at").alias("at"), F.max(F.when(F.col("e.low"), F.col("_x"))).alias("a"), F.max(F.when(F.col("e.high"), F.col("_x"))).alias("b"))
+    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.floor("at") + 1 - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b"))
+    found = F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda e: e["v"])  # a row for each probability
+    return pairs.groupBy(*by).agg((found if by else F.when(F.count("*") > 0, found)).alias(out))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trafficwarden.functions.text import LABELS
 from trafficwarden.operators.metrics import youden
+from trafficwarden.operators.order import quantiles
 
 
 def with_steps(df: DataFrame, session: str = "session_id", ts: str = "ts", tie: str = "id") -> DataFrame:
@@ -54,7 +55,8 @@ def calibrate(steps: DataFrame, sessions: DataFrame, percentile: float = 0.9, sc
     steps has session_id, score; sessions has session_id, label (0 benign), attack_prob. per_query is
     the percentile of the benign steps' scores; the others part attacks from benign sessions best.
     """
-    limit = steps.join(sessions.select("session_id", "label"), "session_id").filter("label = 0").agg(F.percentile(score, F.lit(percentile)).alias("per_query"))  # one row
+    limit = steps.join(sessions.select("session_id", "label"), "session_id").filter("label = 0")
+    limit = quantiles(limit, [], score, [percentile]).select(F.col("q")[0].alias("per_query"))  # one row
     per = steps.join(F.broadcast(limit)).groupBy("session_id").agg(F.round(F.mean(score), 6).alias("mean_score"), F.round(F.mean((F.col(score) > F.col("per_query")).cast("double")), 6).alias("fraction_above"))
     rows = per.join(sessions, "session_id")
     attack = F.col("label") != 0
