@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -60,21 +61,34 @@ def with_position(df: DataFrame, keys: list[str], out: str = "position", bucket:
 def quantiles(df: DataFrame, by: list[str], x: str, probabilities: list[float], out: str = "q") -> DataFrame:
     """by, out: the exact quantiles of x in each group (nulls left out), between two rows interpolated; a row for each group with a value.
 
-    Distinct values are counted first and then placed in their order over all groups, so neither a
-    large group nor a frequent value meets in one task. Without ``by`` the result is one row, of
+    Distinct values are counted first and dealt out in ranges over all groups, so neither a large
+    group nor a frequent value meets in one task. From the totals of the ranges it is known which of
+    them hold a quantile; only their values are ordered. Without ``by`` the result is one row, of
     null where no row has a value.
     """
     cells = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
-    cells = running_sums(cells, [*by, "_x"], {"_to": F.col("_c")})
-    groups = cells.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min(F.col("_to") - F.col("_c")).alias("_from"))
-    same = [F.col(f"c.{g}").eqNullSafe(F.col(f"g.{g}")) for g in by]
-    placed = cells.alias("c").join(groups.alias("g"), same) if by else cells.alias("c").join(F.broadcast(groups).alias("g"))  # one row
-    ends = [F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("g._n") - 1)).alias("at")) for i, p in enumerate(probabilities)]
-    last = F.col("c._to") - F.col("g._from") - 1  # place of the last row of this value in its group
-    first = last - F.col("c._c") + 1
-    low, high = (lambda e: F.floor(e["at"]).between(first, last)), (lambda e: F.ceil(e["at"]).between(first, last))
-    hit = placed.select(*[F.col(f"c.{g}") for g in by], F.col("c._x").alias("_x"), F.explode(F.transform(F.filter(F.array(*ends), lambda e: low(e) | high(e)), lambda e: F.struct(e["i"].alias("i"), e["at"].alias("at"), low(e).alias("low"), high(e).alias("high")))).alias("e"))
-    pairs = hit.groupBy(*by, "e.i").agg(F.max("e.at").alias("at"), F.max(F.when(F.col("e.low"), F.col("_x"))).alias("a"), F.max(F.when(F.col("e.high"), F.col("_x"))).alias("b"))
-    value = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.floor("at") + 1 - F.col("at")) * F.col("a") + (F.col("at") - F.floor("at")) * F.col("b"))
-    found = F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("v")))), lambda e: e["v"])  # a row for each probability
-    return pairs.groupBy(*by).agg((found if by else F.when(F.count("*") > 0, found)).alias(out))
+    cells = kept(cells.repartitionByRange(*by, "_x").withColumn("_part", F.spark_partition_id()))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # a row for each range
+    ranges = cells.groupBy("_part", *by).agg(F.sum("_c").alias("_t"))
+    ranges = ranges.withColumns({"_n": F.sum("_t").over(group), "_from": F.sum("_t").over(group.orderBy("_part")) - F.col("_t")})
+    places = [F.lit(float(p)) * (F.col("_n") - 1) for p in probabilities]
+
+    def among(first: Column, last: Column) -> Column:
+        """Whether one of the places has a neighbour from first to last."""
+        return reduce(Column.__or__, [F.floor(at).between(first, last) | F.ceil(at).between(first, last) for at in places])
+
+    ranges = ranges.filter(among(F.col("_from"), F.col("_from") + F.col("_t") - 1))
+    same = [F.col(f"c.{g}").eqNullSafe(F.col(f"r.{g}")) for g in by]
+    near = cells.alias("c").join(ranges.alias("r"), [F.col("c._part") == F.col("r._part"), *same]).select("c.*", "r._n", "r._from")
+    last = F.col("_from") - 1 + F.sum("_c").over(W.partitionBy("_part", *by).orderBy("_x").rowsBetween(W.unboundedPreceding, 0))
+    near = near.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_c") + 1).filter(among(F.col("_first"), F.col("_last")))
+    held = lambda place: F.when(place.between(F.col("_first"), F.col("_last")), F.col("_x"))
+    # by now a group has at most two rows for each probability
+    ends = near.groupBy(*by).agg(*[F.max(held(end(at))).alias(f"_{i}{n}") for i, at in enumerate(places) for n, end in (("a", F.floor), ("b", F.ceil))], F.max("_n").alias("_n"))
+
+    def between(i: int, at: Column) -> Column:
+        a, b = F.col(f"_{i}a"), F.col(f"_{i}b")
+        return F.when(a == b, a).otherwise((F.floor(at) + 1 - at) * a + (at - F.floor(at)) * b)
+
+    found = F.array(*[between(i, at) for i, at in enumerate(places)])
+    return ends.select(*by, found.alias(out) if by else F.when(F.col("_n").isNotNull(), found).alias(out))
