@@ -4,6 +4,7 @@ import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,56 @@ def test_probabilities_sum_to_one():
     assert (2.0 ** prob.astype(float)).sum(1).max() <= 1.0001
 
 
+def plain_kneser_ney(texts, text, order, letters):
+    """Bits per symbol of text under interpolated Kneser-Ney of texts, from dictionaries; letters maps a letter to its symbol."""
+    def sequence(t):
+        out = [0]
+        for c in t.lower():
+            x = letters.get(c, 1) if c.isalpha() else 0
+            out += [x] if x or out[-1] else []
+        return out + [0] if out[-1] else out
+
+    def places(seq):
+        return [tuple(([0] * order + seq)[i + 1 : i + 1 + order]) for i in range(1, len(seq))]
+
+    seen = Counter(g for t in texts for g in places(sequence(t)))
+    counts = {order: seen}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])  # different symbols before it
+    rules = {}
+    for n, c in counts.items():
+        once, twice = (sum(v == k for v in c.values()) for k in (1, 2))
+        total, kinds = Counter(), Counter()
+        for g, v in c.items():
+            total[g[:-1]] += v
+            kinds[g[:-1]] += 1
+        rules[n] = once / (once + 2 * twice) if once and twice else 0.5, total, kinds
+
+    def p(g):
+        if not g:
+            return 1 / (len(letters) + 2)
+        n, (discount, total, kinds) = len(g), rules[len(g)]
+        if not total[g[:-1]]:
+            return p(g[1:])
+        return (max(counts[n][g] - discount, 0) + discount * kinds[g[:-1]] * p(g[1:])) / total[g[:-1]]
+
+    own = places(sequence(text))
+    return -sum(np.log2(p(g)) for g in own) / max(len(own), 1)
+
+
+def test_cross_entropy_is_that_of_a_plain_model():
+    rng = random.Random(4)
+    made = lambda signs, n: ["".join(rng.choice(signs) for _ in range(60)) for _ in range(n)]
+    samples = {"a": made("abcde  .é", 4), "b": made("cdefg  1-", 4)}  # fewer than five texts: all are fitted
+    m = language.KneserNey(samples)
+    letters = {chr(c): i + 2 for i, c in enumerate(m.common)}
+    texts = [*made("abcdefgh é.1", 6), "x", "aaaa", "", " ", "Abc  DE!"]
+    bits, _, _ = m.cross_entropy(texts)
+    for j, x in enumerate(m.langs):
+        for i, t in enumerate(texts):
+            assert abs(bits[i, j] - plain_kneser_ney(samples[x], t, m.order, letters)) < 1e-4
+
+
 # Personal data.
 
 
@@ -227,6 +278,25 @@ def test_gradients_of_the_tagger():
         assert abs((up - down) / (2 * e) - grads[name][i]) < 2e-2
 
 
+def test_log_sums_and_best_path_are_those_of_all_taggings():
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    for steps in (1, 2, 4):
+        e, p = rng.normal(size=(steps, 3, pii.TAGS)) * 2, {"move": rng.normal(size=(pii.TAGS, pii.TAGS))}
+        paths = np.array(list(product(range(pii.TAGS), repeat=steps)))
+        a, b, whole = pii._sums(p, e)
+        best = pii._viterbi(p, e)
+        for i in range(3):
+            score = e[np.arange(steps), i, paths].sum(1) + p["move"][paths[:, :-1], paths[:, 1:]].sum(1)
+            weight = np.exp(score - score.max())
+            assert abs(whole[i] - score.max() - np.log(weight.sum())) < 1e-6
+            assert (paths[score.argmax()] == best[i]).all()
+            for t in range(steps):
+                share = np.bincount(paths[:, t], weight, pii.TAGS) / weight.sum()
+                assert np.allclose(np.exp(a[t, i] + b[t, i] - whole[i]), share, atol=1e-6)
+
+
 # Pages.
 
 
