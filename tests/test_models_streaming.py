@@ -124,7 +124,9 @@ def test_registered_comparisons_are_whole(spark, monkeypatch):
     from trafficwarden.plans import model_queries as Q
 
     d, asked = "/root/testdata/sf0.001", []
-    assert {r.candidate for r in Q.QUERIES["ml4_compare_classifiers"](spark, d).collect()} == set(ML.candidates())
+    compared = Q.QUERIES["ml4_compare_classifiers"](spark, d).collect()
+    assert {r.candidate for r in compared} == set(ML.candidates()) and len({sum(r.confusion.values()) for r in compared}) == 1
+    assert all(r.f1_macro > 0.9 and len(r.f1_by_class) == 6 and r.p50_ms <= r.p95_ms and r.size_bytes > 10_000 for r in compared)
     assert {r.detector for r in Q.QUERIES["ml11_compare_detectors"](spark, d).collect()} == set(Q.DETECTORS)
     fit = ML.fit_classifier
     monkeypatch.setattr(ML, "fit_classifier", lambda df, **options: asked.append(options) or fit(df, **options))
