@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trafficwarden.operators import decide as D
 from trafficwarden.operators import lifecycle as L
+from trafficwarden.operators import metrics as M
 from trafficwarden.plans import workflow as Y
 from trafficwarden.sources import readers as S
 
@@ -96,8 +97,28 @@ def test_verdicts(spark, sqli, anomaly, session, action):
     assert D.decide(spark.createDataFrame([(sqli, anomaly, session)], "is_sqli boolean, is_anomaly boolean, session_attack boolean")).first().action == action
 
 
-def test_run_id_is_stable():
+def test_run_id_is_one_definition(spark):
     assert L.run_id({"a": 1, "b": 2}, "h", 0) == L.run_id({"b": 2, "a": 1}, "h", 0) != L.run_id({"a": 1, "b": 2}, "h", 1)
+    rows = [('{"b": 2, "a": 1}', "h", 0), ('{"a": "\u00e9"}', "h", 3), (None, "h", 1)]
+    got = [r.run_id for r in L.run_ids(spark.createDataFrame(rows, "config string, data_hash string, seed int")).collect()]
+    assert got == [L.run_id({"a": 1, "b": 2}, "h", 0), L.run_id({"a": "é"}, "h", 3), None]
+    one = spark.createDataFrame([({"x": "1"}, "h", 0)], "config map<string,string>, data_hash string, seed int")
+    assert L.run_ids(one).first().run_id == L.run_id({"x": "1"}, "h", 0)
+
+
+def test_sweep_by_hand(spark):
+    """Scores 1 to 100, the even ones attacks: percentiles lie between scores, and a threshold's own score isn't above it."""
+    df = spark.range(1, 101).select(F.col("id").cast("double").alias("score"), (F.col("id") % 2 == 0).alias("a"))
+    got = {r.threshold: (r.tp, r.fp, r.fn, r.tn) for r in M.threshold_sweep(df, "score", F.col("a")).collect()}
+    want = {round(1 + 0.99 * p, 6) for p in (5, 10, 20, 30, 40, 50, 60, 70, 80, 85, 90, 92, 94, 95, 96, 97, 98, 99)} | {0.0, 1.0, 100.0}
+    assert set(got) == want and got[0.0] == (50, 50, 0, 0) and got[1.0] == (50, 49, 0, 1) and got[100.0] == (0, 0, 50, 50) and got[50.5] == (25, 25, 25, 25)
+
+
+def test_active_version_follows_the_whole_log(spark):
+    log = [(1, "b", "promote", "v1"), (2, "b", "promote", "v2"), (3, "b", "rollback", None), (4, "c", "promote", "v9"), (5, "c", "clear", None)]
+    events = spark.createDataFrame(log, "at long, branch string, action string, version string")
+    base = spark.createDataFrame([("b", "base"), ("c", "base"), ("d", "base")], "branch string, version string")
+    assert {tuple(r) for r in L.resolve_active(events, base).collect()} == {("b", "v1"), ("c", "base"), ("d", "base")}
 
 
 def test_sources(spark, tmp_path):

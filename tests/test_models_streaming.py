@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trafficwarden.operators import metrics as M
 from trafficwarden.operators import models as ML
 from trafficwarden.operators.curate import stratified_split
-from trafficwarden.plans.stream_queries import _rows
+from trafficwarden.plans.stream_queries import _rows, in_order
 from trafficwarden.plans.text_queries import tagged
 from trafficwarden.streaming import jobs as J
 
@@ -48,7 +48,7 @@ def test_classifier_quality_and_round_trip(spark, tmp_path):
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("stream")
-    _rows(spark, DATA).repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(f"{path}/in")
+    in_order(_rows(spark, DATA), str(path))
     return path
 
 

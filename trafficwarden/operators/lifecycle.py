@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 from hashlib import sha256
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -99,13 +100,18 @@ def content_hash(df: DataFrame, key: str = "id", label: str = "label", buckets:
 
 def run_id(config: dict, data_hash: str, seed: int) -> str:
     """The same for the same configuration, data and seed: 12 hexadecimal digits."""
-    return sha256(json.dumps({"config": config, "data_hash": data_hash, "seed": seed}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]
+    return sha256(json.dumps({"config": config, "data": data_hash, "seed": seed}, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()[:12]
 
 
 def run_ids(runs: DataFrame) -> DataFrame:
-    """runs with run_id from config (a map), data_hash, seed, natively: the map's entries are sorted first."""
-    entries = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("config"))))
-    return runs.withColumn("run_id", F.substring(F.sha2(F.concat_ws("|", entries, "data_hash", F.col("seed").cast("string")), 256), 1, 12))
+    """runs with run_id, as ``run_id`` gives it, from config (JSON, or a map of strings), data_hash and seed; null where one of them is."""
+
+    @F.pandas_udf("string")
+    def ids(config: pd.Series, data_hash: pd.Series, seed: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None or h is None or pd.isna(s) else run_id(json.loads(c), h, int(s)) for c, h, s in zip(config, data_hash, seed)], dtype=object)
+
+    config = F.col("config") if runs.schema["config"].dataType.typeName() == "string" else F.to_json("config")
+    return runs.withColumn("run_id", ids(config, F.col("data_hash"), F.col("seed")))
 
 
 def _parts(version: Column) -> tuple[Column, Column]:

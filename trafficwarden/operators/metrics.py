@@ -105,20 +105,23 @@ def matched_fpr(df: DataFrame, score: str, positive: Column, quantile: float = 0
     return rows.groupBy("threshold").agg(F.round(_ratio(F.count_if(~positive & hit), F.count_if(~positive)), 6).alias("fpr"), F.round(_ratio(F.count_if(positive & hit), F.count_if(positive)), 6).alias("detection_rate")).withColumn("threshold", F.round("threshold", 6))
 
 
-#: Percentiles of the benign scores that a sweep tries, beside 0, the least and the largest score.
-SWEPT = [0.01, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.925, 0.95, 0.975, 0.99, 0.995]
+#: Percentiles of all scores that a sweep tries, beside 0, the least and the largest score.
+SWEPT = [5, 10, 20, 30, 40, 50, 60, 70, 80, 85, 90, 92, 94, 95, 96, 97, 98, 99]
 
 
 def threshold_sweep(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    """threshold, fp, tp, tn, fn, fpr, detection_rate, precision at the swept thresholds (flag: score at least that)."""
-    q = quantiles(df, [], score, SWEPT).join(F.broadcast(df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))))  # two one-row tables
-    t = F.array_sort(F.array_distinct(F.transform(F.concat("q", F.array(F.lit(0.0), F.col("lo"), F.col("hi"))), lambda x: F.round(x, 6))))
-    thresholds = q.select(t.alias("ts"))  # one row
+    """threshold, fp, tp, tn, fn, fpr, detection_rate, precision at the swept thresholds (flag: score above it).
+
+    Scores are compared with the thresholds as they are; only what is returned is rounded.
+    """
+    q = quantiles(df, [], score, [p / 100 for p in SWEPT]).join(F.broadcast(df.agg(F.min(score).alias("lo"), F.max(score).alias("hi"))))  # two one-row tables
+    thresholds = q.select(F.array_distinct(F.concat("q", F.array(F.lit(0.0), F.col("lo"), F.col("hi")))).alias("ts"))  # one row
     cells = df.groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
     hit = cells.join(F.broadcast(thresholds)).select("s", "pos", "neg", F.explode("ts").alias("threshold"))
-    over = F.col("s") >= F.col("threshold")
+    over = F.col("s") > F.col("threshold")
     sums = hit.groupBy("threshold").agg(*[F.sum(F.when(c, F.col(v)).otherwise(0)).alias(n) for n, c, v in (("fp", over, "neg"), ("tp", over, "pos"), ("tn", ~over, "neg"), ("fn", ~over, "pos"))])
-    return sums.select("*", F.round(_ratio(F.col("fp"), F.col("fp") + F.col("tn")), 6).alias("fpr"), F.round(_ratio(F.col("tp"), F.col("tp") + F.col("fn")), 6).alias("detection_rate"), F.round(_ratio(F.col("tp"), F.col("tp") + F.col("fp")), 6).alias("precision"))
+    rates = [("fpr", "fp", "tn"), ("detection_rate", "tp", "fn"), ("precision", "tp", "fp")]
+    return sums.select(F.round("threshold", 6).alias("threshold"), "fp", "tp", "tn", "fn", *[F.round(_ratio(F.col(a), F.col(a) + F.col(b)), 6).alias(n) for n, a, b in rates])
 
 
 def rate_by(df: DataFrame, group: str, flag: Column) -> DataFrame:

@@ -185,7 +185,7 @@ def _events(s, d):
 
 
 def _active(events):
-    return L.resolve_active(events.filter("action = 'promote'"), events.select("branch").distinct().withColumn("version", F.lit("base")))
+    return L.resolve_active(events, events.select("branch").distinct().withColumn("version", F.lit("base")))
 
 
 def _versions(s, d):
@@ -200,6 +200,15 @@ def _seal(s, d):
 
 _V = "ver AS (SELECT (n_regionkey + 1) || '.' || n_nationkey AS version FROM nation)"
 
+#: The stage log of each branch folded in order: z is (latest version f, the one before it s, live).
+FOLDED = """WITH e AS (SELECT o_orderkey AS k, 'b' || (o_custkey % 9) AS branch, CASE WHEN o_orderkey % 7 = 0 THEN 'rollback' WHEN o_orderkey % 31 = 0 THEN 'clear' ELSE 'promote' END AS a, 'v' || o_orderkey AS v FROM orders),
+l AS (SELECT branch, list_prepend({'f': NULL::VARCHAR, 's': NULL::VARCHAR, 'live': false, 'a': '', 'v': ''}, list({'f': NULL::VARCHAR, 's': NULL::VARCHAR, 'live': false, 'a': a, 'v': v} ORDER BY k)) AS l FROM e GROUP BY branch),
+r AS (SELECT branch, list_reduce(l, lambda p, x: {
+  'f': CASE WHEN x.a = 'promote' THEN x.v WHEN x.a = 'rollback' AND p.live AND p.s IS NOT NULL THEN p.s ELSE p.f END,
+  's': CASE WHEN x.a = 'promote' THEN CASE WHEN x.v = p.f THEN p.s ELSE p.f END WHEN x.a = 'rollback' AND p.live AND p.s IS NOT NULL THEN p.f ELSE p.s END,
+  'live': CASE WHEN x.a = 'promote' THEN true WHEN x.a = 'clear' THEN false ELSE p.f IS NOT NULL END, 'a': '', 'v': ''}) AS z FROM l)
+"""
+
 QUERIES = {
     "a20_confusion": lambda s, d: M.confusion(scored(s, d)),
     "a21_class_report": lambda s, d: M.class_report(M.confusion(scored(s, d))).select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support"),
@@ -259,7 +268,6 @@ QUERIES = {
     "g8_seal": _seal,
     "g9_stages": lambda s, d: L.stages(_events(s, d)).groupBy("branch", "stage").agg(F.count("*").alias("n")),
     "g9_resolve_active": lambda s, d: _active(_events(s, d)),
-    "g9_resolve_active_whole": lambda s, d: _active(_events(s, d)),
     "g10_training_set": lambda s, d: L.next_training_set(scored(s, d).filter("id % 2 = 0").select("id", F.concat(F.lit("t"), (F.col("id") % 97).cast("string")).alias("query_canonical"), "label"), scored(s, d).filter("id % 2 = 1 and label > 0").select("id", F.concat(F.lit("t"), (F.col("id") % 89).cast("string")).alias("query_canonical"), "label", F.col("ts").alias("confirmed_at"))),
     "u2_golden": lambda s, d: L.with_new_class(scored(s, d).filter("id % 4 = 0"), scored(s, d).filter("id % 6 = 0")).select("id"),
     "u4_new_classes": lambda s, d: _versions(s, d).select("version", F.array_join(L.next_version(F.col("version"), F.array(F.lit("normal")), F.col("label_space"))["new_classes"], ",").alias("new_classes")),
@@ -278,7 +286,7 @@ SQL = {
     "a25_average_precision": _w("SELECT round(sum(pos / CAST(p AS DOUBLE) * tp / (tp + fp)), 6) AS average_precision FROM cv", CURVE),
     "a26_detector": _w("SELECT count(*) FILTER (is_attack AND f) AS tp, count(*) FILTER (NOT is_attack AND f) AS fp, count(*) FILTER (NOT is_attack AND NOT f) AS tn, count(*) FILTER (is_attack AND NOT f) AS fn, round(avg(CAST(f AS DOUBLE)) FILTER (NOT is_attack), 6) AS fpr, round(avg(CAST(f AS DOUBLE)) FILTER (is_attack), 6) AS detection_rate FROM (SELECT *, score > 0.7 AS f FROM scored)"),
     "a27_matched_fpr": _w("SELECT round(t, 6) AS threshold, round(avg(CAST(score > t AS DOUBLE)) FILTER (NOT is_attack), 6) AS fpr, round(avg(CAST(score > t AS DOUBLE)) FILTER (is_attack), 6) AS detection_rate FROM scored, (SELECT quantile_cont(score, 0.95) AS t FROM scored WHERE NOT is_attack) GROUP BY t"),
-    "a28_threshold_sweep": _w(f"SELECT threshold, count(*) FILTER (NOT is_attack AND f) AS fp, count(*) FILTER (is_attack AND f) AS tp, count(*) FILTER (NOT is_attack AND NOT f) AS tn, count(*) FILTER (is_attack AND NOT f) AS fn, round(avg(CAST(f AS DOUBLE)) FILTER (NOT is_attack), 6) AS fpr, round(avg(CAST(f AS DOUBLE)) FILTER (is_attack), 6) AS detection_rate, coalesce(round(count(*) FILTER (is_attack AND f) / nullif(CAST(count(*) FILTER (f) AS DOUBLE), 0), 6), 0.0) AS precision FROM (SELECT is_attack, t AS threshold, score >= t AS f FROM scored, (SELECT DISTINCT unnest(list_transform(list_concat(quantile_cont(score, {M.SWEPT}), [0.0, min(score), max(score)]), lambda x: round(x, 6))) AS t FROM scored)) GROUP BY threshold"),
+    "a28_threshold_sweep": _w(f"SELECT round(threshold, 6) AS threshold, fp, tp, tn, fn, fpr, detection_rate, precision FROM (SELECT threshold, count(*) FILTER (NOT is_attack AND f) AS fp, count(*) FILTER (is_attack AND f) AS tp, count(*) FILTER (NOT is_attack AND NOT f) AS tn, count(*) FILTER (is_attack AND NOT f) AS fn, round(avg(CAST(f AS DOUBLE)) FILTER (NOT is_attack), 6) AS fpr, round(avg(CAST(f AS DOUBLE)) FILTER (is_attack), 6) AS detection_rate, coalesce(round(count(*) FILTER (is_attack AND f) / nullif(CAST(count(*) FILTER (f) AS DOUBLE), 0), 6), 0.0) AS precision FROM (SELECT is_attack, t AS threshold, score > t AS f FROM scored, (SELECT DISTINCT unnest(list_concat(quantile_cont(score, {[p / 100 for p in M.SWEPT]}), [0.0, min(score), max(score)])) AS t FROM scored)) GROUP BY threshold)"),
     "a29_rate_by_source": _w("SELECT source, count(*) AS n, round(avg(CAST(score > 0.7 AS DOUBLE)), 6) AS rate FROM scored GROUP BY 1"),
     "a30_ks": _w("SELECT round(max(abs(tp / CAST(p AS DOUBLE) - fp / CAST(n AS DOUBLE))), 6) AS ks FROM cv", CURVE),
     "a31_youden": _w("SELECT score AS threshold, round(g, 6) AS gain FROM (SELECT score, round(tp / CAST(p AS DOUBLE) - fp / CAST(n AS DOUBLE), 12) AS g FROM cv) ORDER BY g DESC, score LIMIT 1", CURVE),
@@ -323,15 +331,8 @@ SQL = {
     "g5_shadow_gate": _w("SELECT CAST(sum(n) AS BIGINT) AS n_rows, sum(n) FILTER (truth = 'normal' AND predicted <> 'normal') / CAST(sum(n) FILTER (truth = 'normal') AS DOUBLE) <= 0.145 AND (SELECT avg(f1) FROM f WHERE support > 0) >= 0.88 AS passed FROM cells", REPORT.replace("FROM scored GROUP BY ALL", "FROM scored WHERE position < 500 GROUP BY ALL", 1)),
     "g6_content_hash": _w("SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, chr(30) ORDER BY b)) AS content_hash FROM (SELECT b, count(*) AS n, sha256(string_agg(h, chr(30) ORDER BY h)) AS h FROM (SELECT h, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 16 AS b FROM (SELECT sha256(id || chr(31) || label) AS h FROM scored)) GROUP BY b)"),
     "g8_seal": f"WITH {_V}, c AS (SELECT s_suppkey, (s_nationkey % 6 + 1) || '.' || s_nationkey AS parent, md5(CAST(s_suppkey AS VARCHAR)) AS content_hash, s_suppkey % 3 = 0 AS fresh FROM supplier), j AS (SELECT c.*, version IS NOT NULL AS known FROM c LEFT JOIN ver ON version = parent) SELECT parent, content_hash, CASE WHEN fresh OR NOT known THEN 'major' ELSE 'minor' END AS bump, CASE WHEN known THEN CASE WHEN fresh THEN (CAST(split_part(parent, '.', 1) AS INT) + 1) || '.0' ELSE split_part(parent, '.', 1) || '.' || (CAST(split_part(parent, '.', 2) AS INT) + 1) END END AS version, CASE WHEN known THEN CASE WHEN fresh THEN 'stacked' ELSE '' END ELSE CASE WHEN fresh THEN 'normal,stacked' ELSE 'normal' END END AS new_classes, CASE WHEN NOT known THEN 'unknown parent' END AS error FROM j",
-    "g9_stages": """WITH e AS (SELECT o_orderkey AS k, 'b' || (o_custkey % 9) AS branch, CASE WHEN o_orderkey % 7 = 0 THEN 'rollback' WHEN o_orderkey % 31 = 0 THEN 'clear' ELSE 'promote' END AS a, 'v' || o_orderkey AS v FROM orders),
-l AS (SELECT branch, list_prepend({'f': NULL::VARCHAR, 's': NULL::VARCHAR, 'live': false, 'a': '', 'v': ''}, list({'f': NULL::VARCHAR, 's': NULL::VARCHAR, 'live': false, 'a': a, 'v': v} ORDER BY k)) AS l FROM e GROUP BY branch),
-r AS (SELECT branch, list_reduce(l, lambda p, x: {
-  'f': CASE WHEN x.a = 'promote' THEN x.v WHEN x.a = 'rollback' AND p.live AND p.s IS NOT NULL THEN p.s ELSE p.f END,
-  's': CASE WHEN x.a = 'promote' THEN CASE WHEN x.v = p.f THEN p.s ELSE p.f END WHEN x.a = 'rollback' AND p.live AND p.s IS NOT NULL THEN p.f ELSE p.s END,
-  'live': CASE WHEN x.a = 'promote' THEN true WHEN x.a = 'clear' THEN false ELSE p.f IS NOT NULL END, 'a': '', 'v': ''}) AS z FROM l)
-SELECT branch, CASE WHEN z.live AND z.f = v THEN 'production' ELSE 'archived' END AS stage, count(*) AS n FROM (SELECT DISTINCT branch, v FROM e WHERE a = 'promote') JOIN r USING (branch) GROUP BY ALL""",
-    "g9_resolve_active": "WITH e AS (SELECT o_orderkey AS k, 'b' || (o_custkey % 9) AS branch, o_orderkey % 7 <> 0 AND o_orderkey % 31 <> 0 AS p FROM orders) SELECT branch, coalesce('v' || max(k) FILTER (p), 'base') AS version FROM e GROUP BY branch",
-    "g9_resolve_active_whole": "WITH e AS (SELECT o_orderkey AS k, 'b' || (o_custkey % 9) AS branch, o_orderkey % 7 <> 0 AND o_orderkey % 31 <> 0 AS p FROM orders) SELECT branch, coalesce('v' || max(k) FILTER (p), 'base') AS version FROM e GROUP BY branch",
+    "g9_stages": FOLDED + """SELECT branch, CASE WHEN z.live AND z.f = v THEN 'production' ELSE 'archived' END AS stage, count(*) AS n FROM (SELECT DISTINCT branch, v FROM e WHERE a = 'promote') JOIN r USING (branch) GROUP BY ALL""",
+    "g9_resolve_active": FOLDED + "SELECT branch, CASE WHEN z.live THEN z.f ELSE 'base' END AS version FROM r",
     "g10_training_set": _w(", u AS (SELECT id, 't' || (id % 97) AS query_canonical, label, NULL::TIMESTAMP AS c, 0 AS r FROM scored WHERE id % 2 = 0 UNION ALL SELECT id, 't' || (id % 89), label, ts, 1 FROM scored WHERE id % 2 = 1 AND label > 0) SELECT id, query_canonical, label FROM (SELECT *, row_number() OVER (PARTITION BY query_canonical ORDER BY r DESC, c DESC NULLS LAST, id DESC) AS k FROM u) WHERE k = 1"),
     "u2_golden": _w("SELECT id FROM scored WHERE id % 4 = 0 OR id % 6 = 0"),
     "u4_new_classes": f"WITH {_V} SELECT version, 'union_based' AS new_classes FROM ver",

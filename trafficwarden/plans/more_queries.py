@@ -136,7 +136,7 @@ def _timings(s, d):
 
 def _runs(s, d):
     o = s.read.parquet(f"{d}/orders.parquet")
-    config = F.create_map(F.lit("size"), F.col("o_custkey").cast("string"), F.lit("arm"), F.col("o_orderpriority"))
+    config = F.to_json(F.struct(F.col("o_custkey").alias("size"), F.col("o_orderpriority").alias("arm")))
     return L.run_ids(o.select("o_orderkey", config.alias("config"), F.md5(F.col("o_orderkey").cast("string")).alias("data_hash"), (F.col("o_orderkey") % 5).alias("seed"))).select("o_orderkey", "run_id")
 
 
@@ -304,7 +304,7 @@ p AS (SELECT sid, any_value(split) AS split, string_agg(sha256(query_raw), ',' O
 SELECT (SELECT count(*) FROM p WHERE split = 'test') AS test_sessions, (SELECT count(*) FROM p WHERE split = 'test' AND q IN (SELECT q FROM p WHERE split = 'train')) AS same_sequence,
   (SELECT count(DISTINCT sid) FROM s a WHERE split = 'test' AND target IS NOT NULL AND EXISTS (SELECT 1 FROM s b WHERE b.split = 'train' AND b.target = a.target AND b.lab = a.lab)) AS shared_target""",
     "a35_latency": "SELECT round(quantile_cont(l_extendedprice * 1000 / l_quantity, 0.5), 6) AS p50_ms, round(quantile_cont(l_extendedprice * 1000 / l_quantity, 0.95), 6) AS p95_ms FROM lineitem",
-    "g7_run_ids": """SELECT o_orderkey, substr(sha256('{"arm":"' || o_orderpriority || '","size":"' || o_custkey || '"}|' || md5(CAST(o_orderkey AS VARCHAR)) || '|' || o_orderkey % 5), 1, 12) AS run_id FROM orders""",
+    "g7_run_ids": """SELECT o_orderkey, substr(sha256('{"config":{"arm":"' || o_orderpriority || '","size":' || o_custkey || '},"data":"' || md5(CAST(o_orderkey AS VARCHAR)) || '","seed":' || o_orderkey % 5 || '}'), 1, 12) AS run_id FROM orders""",
     "q8_reset": f"{_SC} SELECT 'row' AS kind, CAST(id AS VARCHAR) AS name FROM scored WHERE client % 5 <> 3 UNION ALL SELECT 'version', (s_nationkey + 1) || '.' || s_suppkey FROM supplier WHERE s_suppkey % 9 = 0",
     "l3_merged_log": f"WITH {traffic_sql()}, {SCORED_SQL}, u AS (SELECT ts AS tm, 'query' AS log, id, query_raw, NULL AS predicted FROM traffic UNION ALL SELECT ts + INTERVAL 5 MINUTE, 'decision', id, NULL, predicted FROM scored) SELECT row_number() OVER (ORDER BY tm, log, id) - 1 AS position, log, id, query_raw, predicted FROM u",
     "m18_mixed_validation": f"{_SC}, b AS (SELECT id, r, round_even(0.2 * n, 0) AS v FROM {ranked_sql('(SELECT * FROM scored WHERE NOT is_attack)', '', 'id', 4)}), p AS (SELECT id, r FROM {ranked_sql('(SELECT * FROM scored WHERE is_attack)', '', 'id', 4)}) SELECT id, CASE WHEN r > v THEN 'fit' ELSE 'valid' END AS split FROM b WHERE r > v OR r <= 300 UNION ALL SELECT id, 'valid' FROM p WHERE r <= (SELECT least(max(v), 300) FROM b)",
