@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trafficwarden.operators import metrics as M
 from trafficwarden.operators import models as ML
 from trafficwarden.operators.curate import stratified_split
+from trafficwarden.operators.neighbours import NeighbourSearch
 from trafficwarden.plans.stream_queries import _rows, in_order
 from trafficwarden.plans.text_queries import tagged
 from trafficwarden.streaming import jobs as J
@@ -28,10 +29,41 @@ def test_odd_rows_score_higher(clouds, name):
     assert M.auc(ML.detector_scores(name, *clouds), "anomaly_score", F.col("is_attack")).first().auc > 0.9
 
 
-def test_neighbours_do_not_depend_on_blocks(clouds):
-    a = {tuple(r) for r in ML.nearest_rows(clouds[1], clouds[0], 3).select("id", "n", "neighbour").collect()}
-    b = {tuple(r) for r in ML.nearest_rows(clouds[1].repartition(5), clouds[0], 3, block=40).select("id", "n", "neighbour").collect()}
-    assert a == b and len(a) == 450
+def plain_neighbours(queries, train, k):
+    out = []
+    for i, q in queries:
+        near = sorted((float(np.sqrt(((np.array(q) - np.array(t)) ** 2).sum())), j) for j, t in train if j != i)[:k]
+        out += [(i, n + 1, j, round(d, 9)) for n, (d, j) in enumerate(near)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("dims", "shape"), [(1, "even"), (3, "clusters"), (4, "copies"), (12, "clusters")])
+def test_neighbours_are_those_of_all_pairs(spark, dims, shape):
+    rng = np.random.default_rng(dims)
+    x = rng.normal(0, 1, (600, dims)) if shape == "even" else rng.normal(0, 0.01, (600, dims)) + rng.integers(0, 4, (600, 1)) * 5.0
+    if shape == "copies":
+        x = np.round(x)  # most rows are copies of a few
+        x[300:500] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, [100.0] * dims)]
+    asked = rows[::3] + [(10_000 + i, (v + rng.normal(0, 0.5, dims)).tolist()) for i, v in enumerate(x[:60])]
+    frame = lambda r: spark.createDataFrame(r, "id long, x array<double>")
+    search = NeighbourSearch(frame(rows), 5, rows=16)
+    got = sorted((r.id, r.n, r.neighbour, round(r.distance, 9)) for r in search.nearest(frame([*asked, (20_000, None)])).collect())
+    assert search.tree.leaves > 1 and got == plain_neighbours(asked, rows, 5)
+    few = NeighbourSearch(frame(rows[:3]), 5).nearest(frame(asked[:4])).collect()
+    assert sorted((r.id, r.n, r.neighbour, round(r.distance, 9)) for r in few) == plain_neighbours(asked[:4], rows[:3], 5)
+    assert NeighbourSearch(frame(rows).limit(0), 5).nearest(frame(asked)).count() == 0 and NeighbourSearch(frame(rows), 5).nearest(frame(asked).limit(0)).count() == 0
+
+
+def test_compared_pairs_grow_little(spark):
+    """Four times the rows on both sides: under 4 ** 1.2 times the pairs, where all pairs would be 16 times as many."""
+    pairs = []
+    for n in (4_000, 16_000):
+        rows = spark.range(n).select("id", F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << 20)) / float(1 << 20) for i in range(3)]).alias("x"))
+        search = NeighbourSearch(rows, 5, rows=64)
+        assert search.nearest(rows).count() == 5 * n
+        pairs.append(search.compared())
+    assert pairs[1] < pairs[0] * 4**1.2 and pairs[1] < 0.1 * 16_000**2
 
 
 def test_classifier_quality_and_round_trip(spark, tmp_path):

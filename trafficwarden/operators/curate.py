@@ -22,9 +22,10 @@ def sample_key(key: str | Column, seed: int | str = 0) -> Column:
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str], descending: bool = False) -> DataFrame:
-    """The first row of each key in the order given (the last if descending)."""
-    by = [F.desc(c) if descending else F.asc(c) for c in order]
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).filter("_n = 1").drop("_n")
+    """The first row of each key in the order given (the last if descending). Rows of a key are thinned before they meet."""
+    best = F.max_by if descending else F.min_by
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.groupBy(*keys).agg(best(row, F.struct(*order)).alias("_row")).select("_row.*")
 
 
 def duplicates(df: DataFrame, key: str, label: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Classifier: TF-IDF of character n-grams within words, and multinomial logistic regression. Detectors:
 local outlier factor, isolation forest, and a one-class SVM over random Fourier features. Neighbours
-are searched in pairs of blocks of bounded size; trees grow one per group.
+are searched in cells of space; trees grow one per group.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from trafficwarden.functions.text import LABELS, word_ngrams
 from trafficwarden.operators.metrics import auc, class_report, confusion, detector_report, latency, summary
-from trafficwarden.operators.order import quantiles, shared_folder
+from trafficwarden.operators.neighbours import CELL_ROWS, NeighbourSearch
+from trafficwarden.operators.order import kept, quantiles, shared_folder
 
 # Classifier.
 
@@ -177,46 +178,10 @@ def scaled(df: DataFrame, scaling: dict[str, tuple[bool, float, float]], out: st
 
 # Local outlier factor.
 
-#: Rows of a block of training rows, and of a block of queries.
-BLOCK = 4096
 
-
-def nearest_rows(queries: DataFrame, train: DataFrame, k: int, key: str = "id", x: str = "x", block: int = BLOCK) -> DataFrame:
-    """key, n (rank from 1), neighbour, distance: the k nearest training rows other than the row itself, ties by key.
-
-    Exact: both sides are dealt into blocks of about ``block`` rows, each pair of blocks is one group
-    that keeps the k nearest of its training rows, and a window merges them. No row passes the driver;
-    the work is the product of the two sides, spread evenly.
-    """
-    parts = max(1, -(-train.count() // block))
-    turns = max(1, -(-queries.count() // block))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    row = [F.col(key).cast("long").alias("id"), F.col(x).alias("x")]
-    left = queries.select(*row, every(parts).alias("part"), F.pmod(F.xxhash64(key), F.lit(turns)).cast("int").alias("turn"))
-    right = train.select(*row, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"), every(turns).alias("turn"))
-
-    def search(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(qs) and len(ts):
-            ids, t = ts["id"].to_numpy(), np.stack(ts["x"].to_numpy()).astype(float)
-            for i in range(0, len(qs), 64):
-                own, q = qs["id"].to_numpy()[i : i + 64], np.stack(qs["x"].to_numpy()[i : i + 64]).astype(float)
-                d = np.sqrt(((q[:, None, :] - t[None]) ** 2).sum(2))
-                d[own[:, None] == ids[None]] = np.inf
-                bound = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                a, b = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
-                order = np.lexsort((ids[b], d[a, b], a))
-                a, b = a[order], b[order]
-                near = np.arange(len(a)) - np.searchsorted(a, a) < k
-                a, b = a[near], b[near]
-                found.append((own[a], ids[b], d[a, b]))
-        cols = [np.concatenate(v) for v in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pd.DataFrame(dict(zip(("id", "neighbour", "distance"), cols)))
-
-    group = ["part", "turn"]
-    pairs = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(search, "id long, neighbour long, distance double")
-    ranked = pairs.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("distance", "neighbour"))).filter(F.col("n") <= k)
-    return ranked.select(F.col("id").alias(key), "n", "neighbour", "distance")
+def nearest_rows(queries: DataFrame, train: DataFrame, k: int, key: str = "id", x: str = "x", rows: int = CELL_ROWS) -> DataFrame:
+    """key, n (rank from 1), neighbour, distance: the k nearest training rows other than the row itself, ties by key. Exact; see ``NeighbourSearch``."""
+    return NeighbourSearch(train, k, key, x, rows).nearest(queries)
 
 
 def lof_tables(near: DataFrame, key: str = "id") -> DataFrame:
@@ -238,19 +203,20 @@ def lof_scores(near: DataFrame, tables: DataFrame, key: str = "id") -> DataFrame
     return own.join(around, key).select(key, (F.col("_around") / F.col("lrd")).alias("lof"))
 
 
-def fit_lof(train: DataFrame, k: int = 5, contamination: float = 0.05, key: str = "id", x: str = "x") -> tuple[DataFrame, float]:
+def fit_lof(train: DataFrame, k: int = 5, contamination: float = 0.05, key: str = "id", x: str = "x", search: NeighbourSearch | None = None) -> tuple[DataFrame, float]:
     """(tables of the training rows, offset): the offset is the quantile of their own scores that leaves the contamination above it."""
-    near = nearest_rows(train, train, k, key, x)
-    tables = lof_tables(near, key)
-    offset = quantiles(lof_scores(near, tables, key), [], "lof", [1 - contamination]).first().q[0]
-    return tables, float(offset)
+    near = kept((search or NeighbourSearch(train, k, key, x)).nearest(train))
+    tables = kept(lof_tables(near, key))
+    offset = quantiles(lof_scores(near, tables, key), [], "lof", [1 - contamination]).first().q
+    return tables, float(offset[0]) if offset else 0.0
 
 
-def lof(queries: DataFrame, train: DataFrame, fitted: tuple[DataFrame, float], k: int = 5, key: str = "id", x: str = "x", threshold: float = 0.0) -> DataFrame:
-    """queries with anomaly_score (LOF less the offset) and is_anomaly (score above the threshold, 0 or 1)."""
+def lof(queries: DataFrame, train: DataFrame, fitted: tuple[DataFrame, float], k: int = 5, key: str = "id", x: str = "x", threshold: float = 0.0, search: NeighbourSearch | None = None) -> DataFrame:
+    """queries with anomaly_score (LOF less the offset) and is_anomaly (score above the threshold, 0 or 1); null without neighbours."""
     tables, offset = fitted
-    score = lof_scores(nearest_rows(queries, train, k, key, x), tables, key).select(key, F.round(F.col("lof") - offset, 6).alias("anomaly_score"))
-    return flags(queries.join(score, key), threshold)
+    near = kept((search or NeighbourSearch(train, k, key, x)).nearest(queries))
+    score = lof_scores(near, tables, key).select(key, F.round(F.col("lof") - offset, 6).alias("anomaly_score"))
+    return flags(queries.join(score, key, "left"), threshold)
 
 
 def flags(df: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -373,7 +339,8 @@ def detector_scores(name: str, train: DataFrame, queries: DataFrame, key: str =
     """queries with anomaly_score of the named detector fitted on train."""
     if name == "local_outlier_factor":
         k = options.get("k", 5)
-        return lof(queries, train, fit_lof(train, k, options.get("contamination", 0.05), key), k, key)
+        search = NeighbourSearch(train, k, key)
+        return lof(queries, train, fit_lof(train, k, options.get("contamination", 0.05), key, search=search), k, key, search=search)
     if name == "isolation_forest":
         return forest_scores(queries, fit_forest(train, options.get("trees", 50), options.get("sample", 256), key))
     if name == "one_class_svm":

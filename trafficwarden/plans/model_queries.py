@@ -53,7 +53,7 @@ def _parts(s, d):
 
 
 def _lof_parts(s, d):
-    near = M.nearest_rows(_parts(s, d), _parts(s, d), 5)
+    near = kept(M.nearest_rows(_parts(s, d), _parts(s, d), 5))
     return M.lof_scores(near, M.lof_tables(near)).select("id", F.round("lof", 4).alias("lof"))
 
 
