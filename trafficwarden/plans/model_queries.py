@@ -6,8 +6,6 @@ from trafficwarden.functions import features as X
 from trafficwarden.operators import curate as C
 from trafficwarden.operators import metrics as E
 from trafficwarden.operators import models as M
-from trafficwarden.operators import sessions as S
-from trafficwarden.operators import decide as D
 from trafficwarden.operators.order import kept
 from trafficwarden.plans.text_queries import _c, tagged
 
@@ -57,17 +55,6 @@ def _lof_parts(s, d):
     return M.lof_scores(near, M.lof_tables(near)).select("id", F.round("lof", 4).alias("lof"))
 
 
-def _verdicts(s, d):
-    """All three checks over sessions of traffic, fused."""
-    rows = _classified(s, d)
-    train, queries = _vectors(s, d)
-    anomaly = M.flags(M.forest_scores(queries, M.fit_forest(train)), 0.6).select("id", "anomaly_score", "is_anomaly")
-    steps = S.with_steps(S.idle_gap_sessions(rows.join(anomaly, "id"), idle=21600))
-    per = S.behaviour(steps, 0.6, "anomaly_score").join(steps.groupBy("session_id").agg(F.max("attack_prob").alias("attack_prob"), F.max_by("predicted", "attack_prob").alias("top_label")), "session_id")
-    session = S.verdict(per, 0.9, 0.7, 0.8).select("session_id", F.col("is_attack").alias("session_attack"))
-    return D.decide(steps.join(session, "session_id").withColumn("is_anomaly", F.col("is_anomaly") == 1)).select("id", "session_id", "action", "reason")
-
-
 def _scaled_lineitem(s, d):
     rows = s.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").cast("double").alias("p"))
     return M.scaled(rows, M.fit_scaling(rows.filter("q > 10"), ["q", "p"], ["p"])).select("l_orderkey", "l_linenumber", F.round(F.col("x")[0], 6).alias("q"), F.round(F.col("x")[1], 6).alias("p"))
@@ -88,7 +75,6 @@ QUERIES = {
     "l4_best": lambda s, d: M.best(M.grid_search("isolation_forest", *_vectors(s, d), _positive(), {"trees": [10, 30]}), "options", "auc"),
     "ml12_zero_day": lambda s, d: M.zero_day_runs(_corpus(s, d), "label", [1, 2, 3, 4, 5], _detector("isolation_forest")(s, d), threshold=0.55),
     "ml13_univariate_ks": lambda s, d: M.univariate_ks(X.with_features(tagged(s, d), names=FEATURES), FEATURES, _positive()),
-    "ml14_verdicts": _verdicts,
     "a36_permutation": lambda s, d: E.permutation_importance(X.with_features(tagged(s, d), names=FEATURES).withColumn("length", F.col("length").cast("double")), ["special_char_ratio", "quote_imbalance"], "id", lambda df: df.withColumn("score", F.col("special_char_ratio") + F.col("quote_imbalance") / 4), _positive()),
     "a37_impact": lambda s, d: M.impact(_detector("isolation_forest")(s, d).withColumn("anomaly_score", F.col("anomaly_score") - 0.55), _detector("isolation_forest", sample=64)(s, d).withColumn("anomaly_score", F.col("anomaly_score") - 0.55), _positive()),
     "m16_fragment_sessions": lambda s, d: C.fragment_sessions(tagged(s, d).filter("is_attack"), "query_raw", "id"),
