@@ -87,15 +87,16 @@ def reset(rounds: DataFrame, versions: DataFrame, round_id: str) -> tuple[DataFr
 # Data versions.
 
 
-def content_hash(df: DataFrame, key: str = "id", label: str = "label", buckets: int = 4096) -> DataFrame:
-    """One row: n, content_hash of (id, label) pairs in any order: hashes of sorted row hashes by bucket, then of the buckets.
+def content_hash(df: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
+    """One row: n, content_hash of (id, label) pairs in any order.
 
-    Buckets are split by the row hash, so their number should grow with the table.
+    The SHA-256 of each row is four whole numbers; their sums over all rows, with the number of rows,
+    are hashed again. Sums are added up in the tasks, so no task holds more than four numbers.
     """
     row = F.sha2(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("\x1f"), F.coalesce(F.col(label).cast("string"), F.lit(""))), 256)
-    rows = df.select(row.alias("h")).withColumn("b", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
-    each = rows.groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\x1e"), 256).alias("h"))
-    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: s["h"]), "\x1e"), 256).alias("content_hash"))
+    part = lambda i: F.coalesce(F.sum(F.conv(F.substring("h", 16 * i + 1, 16), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
+    sums = df.select(row.alias("h")).agg(F.count("*").alias("n"), *[part(i).alias(f"s{i}") for i in range(4)])
+    return sums.select("n", F.sha2(F.concat_ws(":", "n", *[F.col(f"s{i}").cast("string") for i in range(4)]), 256).alias("content_hash"))
 
 
 def run_id(config: dict, data_hash: str, seed: int) -> str:

@@ -264,7 +264,7 @@ QUERIES = {
     "g3_gate": _gate,
     "g4_quality_floor": lambda s, d: L.quality_floor(_evaluations(s, d), 0.84, 0.15, 0.8).select("model", "passed", F.array_join("failing", ",").alias("failing")),
     "g5_shadow_gate": lambda s, d: L.shadow_gate(M.gate_evaluation(M.confusion(scored(s, d).orderBy("position").limit(500))), 0.14, 0.9).select("n_rows", "passed"),
-    "g6_content_hash": lambda s, d: L.content_hash(scored(s, d), "id", "label", 16),
+    "g6_content_hash": lambda s, d: L.content_hash(scored(s, d), "id", "label"),
     "g8_seal": _seal,
     "g9_stages": lambda s, d: L.stages(_events(s, d)).groupBy("branch", "stage").agg(F.count("*").alias("n")),
     "g9_resolve_active": lambda s, d: _active(_events(s, d)),
@@ -329,7 +329,7 @@ SQL = {
     "g3_gate": _w("SELECT CAST(model AS INTEGER) AS model, CASE WHEN skip THEN 'direct_promote' WHEN f1_ok AND fpr_ok AND lost IS NULL AND weak IS NULL THEN 'promote' ELSE 'reject' END AS verdict, CASE WHEN none THEN 'no_champion' WHEN other THEN 'cross_major_refused' ELSE 'same_major' END AS comparison, CASE WHEN NOT skip THEN coalesce(lost, '') END AS regressions, CASE WHEN NOT skip THEN coalesce(weak, '') END AS weak_new, CASE WHEN NOT skip THEN f1_ok END AS f1_ok, CASE WHEN NOT skip THEN fpr_ok END AS fpr_ok FROM gg", GATE),
     "g4_quality_floor": _w("SELECT CAST(model AS INTEGER) AS model, f = '' AS passed, f AS failing FROM (SELECT model, concat_ws(',', CASE WHEN f1 < 0.84 THEN 'f1_macro' END, CASE WHEN fpr > 0.15 THEN 'fpr' END, CASE WHEN (SELECT count(*) FROM er WHERE er.model = eb.model AND r < 0.8) > 0 THEN 'recall' END) AS f FROM eb)", EVAL),
     "g5_shadow_gate": _w("SELECT CAST(sum(n) AS BIGINT) AS n_rows, sum(n) FILTER (truth = 'normal' AND predicted <> 'normal') / CAST(sum(n) FILTER (truth = 'normal') AS DOUBLE) <= 0.145 AND (SELECT avg(f1) FROM f WHERE support > 0) >= 0.88 AS passed FROM cells", REPORT.replace("FROM scored GROUP BY ALL", "FROM scored WHERE position < 500 GROUP BY ALL", 1)),
-    "g6_content_hash": _w("SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, chr(30) ORDER BY b)) AS content_hash FROM (SELECT b, count(*) AS n, sha256(string_agg(h, chr(30) ORDER BY h)) AS h FROM (SELECT h, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 16 AS b FROM (SELECT sha256(id || chr(31) || label) AS h FROM scored)) GROUP BY b)"),
+    "g6_content_hash": _w("SELECT count(*) AS n, sha256(concat_ws(':', count(*), " + ", ".join(f"sum(CAST(CAST('0x' || substr(h, {16 * i + 1}, 16) AS UBIGINT) AS HUGEINT))" for i in range(4)) + ")) AS content_hash FROM (SELECT sha256(id || chr(31) || label) AS h FROM scored)"),
     "g8_seal": f"WITH {_V}, c AS (SELECT s_suppkey, (s_nationkey % 6 + 1) || '.' || s_nationkey AS parent, md5(CAST(s_suppkey AS VARCHAR)) AS content_hash, s_suppkey % 3 = 0 AS fresh FROM supplier), j AS (SELECT c.*, version IS NOT NULL AS known FROM c LEFT JOIN ver ON version = parent) SELECT parent, content_hash, CASE WHEN fresh OR NOT known THEN 'major' ELSE 'minor' END AS bump, CASE WHEN known THEN CASE WHEN fresh THEN (CAST(split_part(parent, '.', 1) AS INT) + 1) || '.0' ELSE split_part(parent, '.', 1) || '.' || (CAST(split_part(parent, '.', 2) AS INT) + 1) END END AS version, CASE WHEN known THEN CASE WHEN fresh THEN 'stacked' ELSE '' END ELSE CASE WHEN fresh THEN 'normal,stacked' ELSE 'normal' END END AS new_classes, CASE WHEN NOT known THEN 'unknown parent' END AS error FROM j",
     "g9_stages": FOLDED + """SELECT branch, CASE WHEN z.live AND z.f = v THEN 'production' ELSE 'archived' END AS stage, count(*) AS n FROM (SELECT DISTINCT branch, v FROM e WHERE a = 'promote') JOIN r USING (branch) GROUP BY ALL""",
     "g9_resolve_active": FOLDED + "SELECT branch, CASE WHEN z.live THEN z.f ELSE 'base' END AS version FROM r",

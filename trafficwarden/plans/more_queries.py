@@ -21,10 +21,13 @@ from trafficwarden.operators.order import kept
 from trafficwarden.plans import stream_queries, workflow
 from trafficwarden.plans.curation_queries import ranked_sql
 from trafficwarden.plans.model_queries import _corpus
+from trafficwarden.plans.pours import two_pours
 from trafficwarden.plans.stream_queries import _folder, _rows, in_order
 from trafficwarden.plans.text_queries import URL
 from trafficwarden.plans.traffic import SCORED_SQL, scored, traffic, traffic_sql
 from trafficwarden.sources import readers as S
+from trafficwarden.sources.readers import read_ledger
+from trafficwarden.sources.versions import VersionLedger
 from trafficwarden.streaming import jobs as J
 
 CSV = {"quote": '"', "escape": '"'}
@@ -217,7 +220,8 @@ def _late(s, d):
 # Workflow.
 
 
-CONFIG = {"vocabulary": 2000, "iterations": 20}
+#: The operators' own numbers of n-grams and iterations.
+CONFIG = {"vocabulary": M.VOCABULARY, "iterations": 100}
 
 
 def _golden(s, d):
@@ -226,18 +230,24 @@ def _golden(s, d):
 
 
 def _sealed(s, d):
-    """Two runs of one configuration: the second is reported, not repeated."""
+    """A run, the same again (reported, not repeated), and one with more rows of known classes (a minor version)."""
     root, (train, golden) = _folder(s), _golden(s, d)
-    runs = [workflow.train_and_seal(s, root, train, None, golden, "1.0", CONFIG) for _ in range(2)]
-    return s.createDataFrame([(r["version"], r["rows"], r["f1_macro"], r["repeated"]) for r in runs], "version string, rows long, f1_macro double, repeated boolean")
+    some, more = train.filter("id % 7 > 0"), train.filter("id % 7 = 0").withColumn("confirmed_at", F.timestamp_seconds("id"))
+    runs = [workflow.train_and_seal(s, root, some, extra, golden, CONFIG) for extra in (None, None, more)]
+    sealed = VersionLedger(s, f"{root}/versions").versions().select("version", "parent", "n_rows")
+    rows = s.createDataFrame([(i, r["version"], r["bump"], r["rows"], r["train_rows"], r["valid_rows"], r["f1_macro"], r["repeated"]) for i, r in enumerate(runs)], "run int, version string, bump string, rows long, train_rows long, valid_rows long, f1_macro double, repeated boolean")
+    return rows.join(F.broadcast(sealed), "version")  # a row a version
 
 
 def _on_golden(s, d):
-    train, golden = _golden(s, d)
-    model = M.fit_classifier(train.filter("label < 5"), **CONFIG)
-    path = _folder(s)
-    M.save_model(model, path)
-    return workflow.evaluate_on_golden(M.load_model(path), golden.filter("label < 5"), golden.filter("label = 5")).select("f1_macro", "fpr", "n_rows")
+    """The champion that the stage log names, looked up with the version of its data, on the golden rows and those of a class it never saw."""
+    root, (train, golden) = _folder(s), _golden(s, d)
+    run = workflow.train_and_seal(s, root, train.filter("label < 5"), None, golden.filter("label < 5"), CONFIG)
+    log = s.createDataFrame([(1, "branch1", "promote", run["version"])], "at long, branch string, action string, version string")
+    active = L.resolve_active(log, s.createDataFrame([("branch1", "none")], "branch string, version string")).first().version
+    known = read_ledger(s, f"{root}/runs", workflow.RUNS).filter(F.col("version") == active).first()
+    e = workflow.evaluate_on_golden(M.load_model(known.model), golden.filter("label < 5"), golden.filter("label = 5"))
+    return e.select(F.lit(known.version).alias("data_version"), F.lit(known.run_id).alias("run_id"), "f1_macro", "fpr", "n_rows")
 
 
 def _arms(s, d):
@@ -251,6 +261,14 @@ def _scenario(s, d):
     return workflow.scenario(s, _folder(s), corpus, names, 100, CONFIG)
 
 
+def _two_pours(s, d):
+    """Stacked queries are the new class; thresholds follow the size of the table."""
+    names = ["length", "special_char_ratio"]
+    corpus = kept(X.with_features(_corpus(s, d).select("id", "query_canonical", "label"), names=names))
+    n = corpus.count()
+    return two_pours(s, _folder(s), corpus, names, CONFIG, new_class=5, needed=max(1, n // 100), shadow=max(1, n // 20), window=max(10, n // 100))
+
+
 QUERIES = {
     "s1_labelled_csv": _labelled,
     "s2_payload_files": _payloads,
@@ -280,6 +298,7 @@ QUERIES = {
     "g12_evaluate_on_golden": _on_golden,
     "g13_ablation_arms": _arms,
     "g14_scenario": _scenario,
+    "g14_two_pours": _two_pours,
 }
 
 _T = f"WITH {traffic_sql()}"

@@ -85,7 +85,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_ledger(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Rows of a JSON ledger; blank and malformed lines are skipped, a missing ledger is empty."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
