@@ -35,8 +35,13 @@ PATH_SLOTS, PATH_SIZE, WORD_SLOTS, WORD_SIZE, NUMBERS = 2048, 16, 1024, 6, 6
 
 # Element classes of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "xmp", "noembed", "noframes"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+RAW = {"script", "style", "iframe", "noembed", "noframes"}
+UNSHOWN = {"noscript", "template"}
+#: Elements of other vocabularies, what in them is never shown, and the start tags that end them where they weren't closed.
+FOREIGN = {"svg", "math"}
+FOREIGN_UNSHOWN = {"title", "desc", "metadata", "annotation", "annotation-xml"}
+ENDS_FOREIGN = set("article aside b big blockquote body br center code dd div dl dt em embed figure footer form h1 h2 h3 h4 h5 h6 head header hr i img li listing main menu meta nav nobr ol p pre ruby s section small span strong strike sub sup table tt u ul var".split())
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "object", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 #: A start tag on the left closes an open element on the right.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in classes, ids or roles that mark what isn't the article, for the labels of sampled pages.
@@ -85,12 +90,22 @@ class Block:
         self.text, self.node, self.linked = text, node, linked
 
 
+@lru_cache(maxsize=32)
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(name)}\\b[^>]*>?", re.I)
+
+
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page that have text, in page order; references decoded, white space single."""
+    """The blocks of a page that have text, in page order; references decoded, white space single.
+
+    Scripts, styles and what a browser never shows are left out, to their end tag (raw ones to the
+    end of the page where it is missing). Formulas and drawings are text of the block they stand in;
+    one that isn't closed ends at the next HTML tag that can't be in it.
+    """
     out: list[Block] = []
     stack, opened = [Node()], Counter()
     parts: list[str] = []
-    links, linked, at, end = 0, 0, 0, len(page)
+    links, linked, at, end, foreign = 0, 0, 0, len(page), ""
 
     def flush() -> None:
         nonlocal linked
@@ -136,7 +151,11 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if name == "a":
                 links = 0
-            if name in INLINE:
+            if foreign and (name == foreign or opened[name]):
+                foreign = ""
+            if foreign or name in INLINE or name in FOREIGN:
+                if foreign == "svg":
+                    say(" ")
                 continue
             flush()
             if opened[name]:
@@ -144,9 +163,24 @@ def blocks(page: str) -> list[Block]:
                     leave()
                 leave()
             continue
-        if name in RAW and not m[3].endswith("/"):
-            close = re.compile(f"</{re.escape(name)}\\b[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else end
+        if not m[3].endswith("/") and (name in RAW or name in UNSHOWN or name == "xmp" or foreign and name in FOREIGN_UNSHOWN):
+            close = _end_tag(name).search(page, at)
+            if name == "xmp":  # its text as it stands
+                flush()
+                stack.append(Node(name, name, stack[-1]))
+                say(html.escape(page[at : close.start() if close else end], quote=False))
+                flush()
+                stack.pop()
+            if close or name in RAW or name == "xmp":
+                at = close.end() if close else end
+                continue
+        if foreign and name not in ENDS_FOREIGN:
+            if foreign == "svg":
+                say(" ")
+            continue
+        foreign = ""
+        if name in FOREIGN:
+            foreign = "" if m[3].endswith("/") else name
             continue
         if name == "br":
             say(" ")
