@@ -22,7 +22,7 @@ from trafficwarden.plans import stream_queries, workflow
 from trafficwarden.plans.curation_queries import ranked_sql
 from trafficwarden.plans.model_queries import _corpus
 from trafficwarden.plans.pours import two_pours
-from trafficwarden.plans.stream_queries import _folder, _rows, in_order
+from trafficwarden.plans.stream_queries import _folder, _rows, closed, in_order
 from trafficwarden.plans.text_queries import URL
 from trafficwarden.plans.traffic import SCORED_SQL, scored, traffic, traffic_sql
 from trafficwarden.sources import readers as S
@@ -173,19 +173,13 @@ def _stream(s, rows, job):
     return s.read.parquet(f"{base}/out")
 
 
-def _closed(rows):
-    """rows and a last one ten days later, of id -1, which closes all windows before it."""
-    last = rows.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 10 DAYS")).withColumn("id", F.lit(-1).cast("long"))
-    return rows.unionByName(last)
-
-
 def _window_psi(s, d):
-    rows = _closed(_rows(s, d).select("id", "ts", "score"))
+    rows = closed(_rows(s, d).select("id", "ts", "score"))
     return _stream(s, rows, lambda x: J.window_psi(x, [0.25, 0.5, 0.75], [0.25, 0.25, 0.25, 0.25])).select("start", "n", "psi")
 
 
 def _rates(s, d):
-    return _stream(s, _closed(_rows(s, d)), J.window_rates)
+    return _stream(s, closed(_rows(s, d)), J.window_rates)
 
 
 def _breaches(s, d):
@@ -200,7 +194,7 @@ def _holds(s, d):
     held = _rows(s, d).select("id", "ts").filter("id % 10 = 0")
     late = held.filter("id % 30 = 0 and id % 20 <> 0").select("id", (F.col("ts") + F.expr("INTERVAL 10 MINUTES")).alias("ts"), F.lit("approved").alias("kind"))
     soon = held.filter("id % 20 = 0").select("id", (F.col("ts") + F.expr("INTERVAL 2 MINUTES")).alias("ts"), F.lit("approved").alias("kind"))
-    rows = _closed(held.withColumn("kind", F.lit("hold")).unionByName(late).unionByName(soon))
+    rows = closed(held.withColumn("kind", F.lit("hold")).unionByName(late).unionByName(soon))
     return _stream(s, rows, J.hold_timeouts).filter("id >= 0")
 
 

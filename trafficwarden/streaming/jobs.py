@@ -56,26 +56,84 @@ def window_psi(stream: DataFrame, edges: list[float], ref: list[float], x: str =
     return out.select(F.col("window.start").alias("start"), "n", F.round(R.psi_of(cur, F.array(*[F.lit(float(r)) for r in ref])), 6).alias("psi"))
 
 
-def count_window_counts(stream: DataFrame, edges: list[float], size: int, table: str, checkpoint: str, x: str = "score") -> None:
-    """Bin counts of windows of so many rows, appended to a parquet table with each batch.
+def replaced(df: DataFrame, table: str, number: int) -> None:
+    """The rows of a micro-batch under its own number: a batch that is run again takes the place of what it wrote before."""
+    df.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+
+class CountWindows:
+    """Micro-batches as bin counts of windows of so many rows, in order of ts and id; rows of a batch follow those of the one before.
 
-    The offset of a batch is what the table holds already from earlier batches; a batch that is run
-    again gives the same rows under its number, and readers take each number once.
+    Each batch leaves window, bin, n and until (rows up to its end) in a folder of its own, so counts
+    and offset are one commit, and a repeated batch or a restart changes nothing. A window that is cut
+    by the end of a batch goes on in the next one; ``count_window_psi`` adds its parts up.
     """
-    def batch(df: DataFrame, number: int) -> None:
-        from trafficwarden.operators.order import with_position
+
+    def __init__(self, edges: list[float], size: int, table: str, x: str = "score"):
+        self.edges, self.size, self.table, self.x = edges, size, table, x
+
+    def _before(self, spark: SparkSession, number: int) -> int:
         from trafficwarden.sources.readers import _exists
 
+        last = f"{self.table}/batch={number - 1}"
+        if _exists(spark, f"{last}/_SUCCESS"):
+            return spark.read.parquet(last).agg(F.max("until")).first()[0]
+        if number == 0 or not _exists(spark, self.table):
+            return 0
+        return spark.read.parquet(self.table).filter(F.col("batch") < number).agg(F.max("until")).first()[0] or 0
+
+    def __call__(self, df: DataFrame, number: int) -> None:
+        from trafficwarden.operators.order import with_position
+
         spark = df.sparkSession
-        before = 0
-        if _exists(spark, table):
-            before = spark.read.parquet(table).filter(F.col("batch") < number).agg(F.sum("n")).first()[0] or 0
-        rows = with_position(df.select("ts", "id", x), ["ts", "id"], bucket=F.date_trunc("hour", "ts"))
-        bin_ = R.bin_of(F.col(x), F.array(*[F.lit(float(e)) for e in edges]))
-        counts = rows.groupBy(F.floor((F.col("position") + before) / size).alias("window"), bin_.alias("bin")).agg(F.count("*").alias("n"))
-        counts.withColumn("batch", F.lit(number)).write.mode("append").parquet(table)
-
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        before = self._before(spark, number)
+        rows = with_position(df.select("ts", "id", self.x), ["ts", "id"], bucket=F.date_trunc("hour", "ts"))
+        bin_ = R.bin_of(F.col(self.x), F.array(*[F.lit(float(e)) for e in self.edges]))
+        counts = rows.groupBy(F.floor((F.col("position") + before) / self.size).alias("window"), bin_.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+        end = before + rows.count()
+        mark = spark.range(1).select(F.lit(None).cast("long").alias("window"), F.lit(None).cast("int").alias("bin"), F.lit(0).cast("long").alias("n"))
+        replaced(counts.select(F.col("window").cast("long").alias("window"), "bin", "n").unionByName(mark).withColumn("until", F.lit(end).cast("long")), self.table, number)
+
+
+def count_window_counts(stream: DataFrame, edges: list[float], size: int, table: str, checkpoint: str, x: str = "score") -> None:
+    """Run a stream to its end through ``CountWindows``."""
+    stream.writeStream.foreachBatch(CountWindows(edges, size, table, x)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def count_window_psi(spark: SparkSession, table: str, size: int, ref: list[float]) -> DataFrame:
+    """window, psi against fixed reference shares, of the windows that are full."""
+    counts = spark.read.parquet(table).filter("window is not null").groupBy("window").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("bin") == i, F.col("n")).otherwise(0)).alias(f"b{i}") for i in range(len(ref))])
+    cur = F.array(*[F.col(f"b{i}") / F.col("n") for i in range(len(ref))])
+    return counts.filter(F.col("n") == size).select("window", F.round(R.psi_of(cur, F.array(*[F.lit(float(r)) for r in ref])), 6).alias("psi"))
+
+
+class ModelVerdicts:
+    """Micro-batches scored by the model that is in production when they start.
+
+    active() names the version, load(version) gives its fitted stages (canonical form, features,
+    classifier, detector); it is asked once a version. A version that is promoted while a batch runs
+    serves from the next one on. Each batch replaces its own folder; rows carry the version that
+    judged them, so a repeated batch may be judged by a newer one, but is never there twice.
+    """
+
+    KEEP = ("predicted", "attack_prob", "is_sqli", "anomaly_score", "is_anomaly", "action", "reason")
+
+    def __init__(self, active, load, table: str):
+        self.active, self.load, self.table, self.known = active, load, table, {}
+
+    def judged(self, df: DataFrame, version: str) -> DataFrame:
+        """df with what the version's stages say and the action."""
+        if version not in self.known:
+            self.known = {version: self.load(version)}  # the one before is not needed any more
+        rows = self.known[version].transform(df.drop(*self.KEEP))
+        out = decide(rows.withColumns({"is_anomaly": F.col("is_anomaly") == 1, "session_attack": F.lit(None).cast("boolean")}))
+        return out.select("id", "ts", "query_canonical", *self.KEEP, F.lit(version).alias("version"))
+
+    def __call__(self, df: DataFrame, number: int) -> None:
+        replaced(self.judged(df, self.active()), self.table, number)
+
+    def run_to_end(self, stream: DataFrame, checkpoint: str) -> None:
+        stream.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def session_rollup(stream: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
