@@ -186,6 +186,59 @@ def test_holds_time_out(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(1, "approved"), (2, "deny")}
 
 
+def test_late_windows_take_their_place(spark, tmp_path):
+    """Against a plain loop over the sorted windows; three restarts from the checkpoint, and a bounded state."""
+    rng = np.random.default_rng(5)
+    values = {(sig, w): float(rng.random()) for sig in ("a", "b", "c") for w in range(40)}
+    order = sorted(values, key=lambda k: k[1] + 3 * rng.random())  # a window is late by less than 4
+    order += [("c", 0), ("c", 5), ("a", 60), ("b", 60), ("c", 60)]
+    want = set()
+    for sig in "abc":
+        run = 0
+        for w in range(40):
+            run = run + 1 if values[sig, w] >= 0.4 else 0
+            if run == 3:
+                want.add((sig, w))
+                break
+    schema = "window long, signal string, psi double"
+    for i in range(3):
+        part = [(w, sig, values.get((sig, w), 0.0)) for sig, w in order[i * len(order) // 3 : (i + 1) * len(order) // 3]]
+        spark.createDataFrame([*part, (None, "a", 1.0)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        s = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        J.run_to_end(J.sustained_breaches(s, 0.4, 3, wait=4), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert len(want) == 3 and {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
+    held = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "settled").load()
+    assert held.count() == 3
+
+
+def test_holds_against_a_loop(spark, tmp_path):
+    """Decisions before, after and without a hold, in files that come in time order; each id once."""
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for k in range(200):
+        hold, decision = int(rng.integers(0, 3600)), int(rng.integers(-100, 600))
+        if k % 4 != 1:
+            rows.append((k, hold, "hold"))
+        if k % 4 != 2:
+            rows.append((k, max(hold + decision, 0), "approved"))
+        decided = max(hold + decision, 0)
+        if k % 4 == 1:
+            want[k] = "approved"
+        elif k % 4 == 2:
+            want[k] = "deny"
+        else:
+            want[k] = "deny" if decided > hold + 300 else "approved"
+    rows.append((-1, 90_000, "hold"))
+    rows.sort(key=lambda r: r[1])
+    for i in range(0, len(rows), 120):
+        part = spark.createDataFrame([(k, t, kind) for k, t, kind in rows[i : i + 120]], "id long, t long, kind string")
+        part.select("id", F.timestamp_seconds(F.col("t") + 1_700_000_000).alias("ts"), "kind").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema("id long, ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    J.run_to_end(J.hold_timeouts(s), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
 def test_stream_files_arrive_in_time_order(spark, tmp_path, monkeypatch):
     """Where the earliest range is slow to write, later ones still come after it, and no row is dropped as late."""
     from trafficwarden.plans import stream_queries as Q

@@ -14,6 +14,7 @@ from trafficwarden.functions import features as X
 from trafficwarden.functions import text as T
 from trafficwarden.operators import drift as R
 from trafficwarden.operators.decide import decide
+from trafficwarden.streaming.state import hold_timeouts, sustained_breaches  # noqa: F401
 
 EVENTS = "id long, ts timestamp, client long, query_raw string, is_attack boolean, predicted string, confidence double, score double, label_name string"
 
@@ -162,29 +163,6 @@ def late_counts(stream: DataFrame, clock: Column, checkpoint: str) -> DataFrame:
     return stream.sparkSession.createDataFrame([tuple(map(sum, zip(*rows)))] if rows else [], "late long, rows long")
 
 
-def sustained_breaches(signals: DataFrame, threshold: float = 0.2, sustained: int = 2) -> DataFrame:
-    """signal, window at which so many breaches in a row are reached (once).
-
-    signals: window, signal, psi. Windows must come in order from batch to batch (closed event-time
-    windows do); one that comes after a later one is left out.
-    """
-    def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        run, fired, last = state.get if state.exists else (0, False, -1)
-        out = []
-        rows = pd.concat(list(parts)).sort_values("window")
-        for w, v in zip(rows["window"], rows["psi"]):
-            if w <= last:
-                continue
-            run, last = (run + 1 if v >= threshold else 0), int(w)
-            if run >= sustained and not fired:
-                fired = True
-                out.append((key[0], int(w)))
-        state.update((int(run), bool(fired), int(last)))
-        yield pd.DataFrame(out, columns=["signal", "window"])
-
-    return signals.groupBy("signal").applyInPandasWithState(step, "signal string, window long", "run long, fired boolean, last long", "append", "NoTimeout")
-
-
 def retrain_triggers(confirmed: DataFrame, needed: int = 500) -> DataFrame:
     """round_id, n when a round reaches so many confirmed samples: at most once for a round."""
     def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -195,42 +173,3 @@ def retrain_triggers(confirmed: DataFrame, needed: int = 500) -> DataFrame:
         yield pd.DataFrame({"round_id": [key[0]] if hit else [], "n": [now] if hit else []})
 
     return confirmed.groupBy("round_id").applyInPandasWithState(step, "round_id string, n long", "n long", "append", "NoTimeout")
-
-
-def hold_timeouts(stream: DataFrame, seconds: int = 300, late: str = "1 minute") -> DataFrame:
-    """id, outcome, once for an id: its first decision, or deny where none came in time after its first hold.
-
-    stream: id, ts, kind (hold or a decision). An outcome is remembered as long again, so that what
-    comes after it gives no second one.
-    """
-    def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        due, settled = state.get if state.exists else (None, False)
-
-        def remember(at: int, done: bool) -> None:
-            state.update((int(at), done))
-            state.setTimeoutTimestamp(max(int(at), state.getCurrentWatermarkMs() + 1))
-
-        if state.hasTimedOut:
-            if settled:
-                state.remove()
-            else:
-                remember(due + seconds * 1000, True)
-                yield pd.DataFrame({"id": [key[0]], "outcome": ["deny"]})
-            return
-        rows = pd.concat(list(parts)).sort_values("ms")
-        decided = rows[rows["kind"] != "hold"]
-        if settled:
-            remember(due, True)
-            return
-        holds = rows[rows["kind"] == "hold"]["ms"]
-        due = due if due is not None else int(holds.iloc[0]) + seconds * 1000 if len(holds) else None
-        if len(decided):
-            at = int(decided["ms"].iloc[0])
-            remember(at + seconds * 1000, True)
-            yield pd.DataFrame({"id": [key[0]], "outcome": ["deny" if due is not None and at > due else decided["kind"].iloc[0]]})
-        else:
-            remember(due, False)
-
-    # milliseconds come from Spark: times in Python have no zone
-    rows = stream.withWatermark("ts", late).select("id", "ts", "kind", F.unix_millis("ts").alias("ms"))
-    return rows.groupBy("id").applyInPandasWithState(step, "id long, outcome string", "due long, settled boolean", "append", "EventTimeTimeout")
