@@ -58,6 +58,38 @@ def with_position(df: DataFrame, keys: list[str], out: str = "position", bucket:
     return running_sum(df, keys, F.lit(1).cast("long"), out, bucket).withColumn(out, F.col(out) - 1)
 
 
+def in_groups(df: DataFrame, group: str, keys: list[str], before: str, value: Column, out: str) -> DataFrame:
+    """df with the running sum, named out, of value in each group of rows in the order of keys, up to and including each row.
+
+    value may use ``_before``, the column named before of the row in front in its group (null for the
+    first). Rows are dealt out in ranges of group and keys (which must tell rows of a group apart), so
+    a group that holds most of the rows is spread over tasks. What a range must know of those in front
+    of it, its last row and the sum so far of the group that it ends in, is one row a range.
+    """
+    rows = kept(df.repartitionByRange(group, *keys).withColumn("_part", F.spark_partition_id()))
+    g, order = F.col(group), [F.col(group).asc_nulls_first(), *keys]
+    place = F.struct(g.isNotNull().alias("known"), g.alias("g"), *keys)
+    first, last = F.min(F.struct(place.alias("at"), F.col(before).alias("x"))), F.max(F.struct(place.alias("at"), F.col(before).alias("x")))
+    parts = W.orderBy("_part")  # a row for each range
+    ends = rows.groupBy("_part").agg(first.alias("first"), last.alias("last"))
+    ends = ends.select("_part", F.col("first.at.g").alias("_head"), F.col("last.at.g").alias("_tail"), F.lag("last").over(parts).alias("_front"))
+    met = F.col("_front").isNotNull() & F.col("_front.at.g").eqNullSafe(F.col("_head"))
+    ends = kept(ends.select("_part", "_head", "_tail", met.alias("_met"), F.when(met, F.col("_front.x")).alias("_last")))
+    inner = W.partitionBy("_part").orderBy(*order)
+    mates = W.partitionBy("_part", group).orderBy(*keys)
+    rows = rows.join(F.broadcast(ends), "_part")  # no more rows than shuffle partitions
+    front = F.when(F.row_number().over(inner) == 1, F.col("_last")).otherwise(F.lag(before).over(mates))
+    rows = rows.withColumn("_before", front).withColumn("_value", value)
+    tails = rows.groupBy("_part").agg(F.sum(F.when(g.eqNullSafe(F.col("_tail")), F.col("_value")).otherwise(0)).alias("_sum"))
+    chain = W.partitionBy("_tail").orderBy("_part")  # the ranges that end in one group
+    sums = ends.join(tails, "_part").withColumn("_sum", F.sum("_sum").over(chain))
+    sums = sums.select("_part", F.when(F.col("_met"), F.lag("_sum").over(parts)).otherwise(0).alias("_carry"))
+    rows = rows.join(F.broadcast(sums), "_part")
+    carry = F.when(g.eqNullSafe(F.col("_head")), F.col("_carry")).otherwise(0)
+    total = F.sum("_value").over(mates.rowsBetween(W.unboundedPreceding, 0)) + carry
+    return rows.withColumn(out, total).drop("_part", "_head", "_tail", "_met", "_last", "_value", "_carry")
+
+
 def quantiles(df: DataFrame, by: list[str], x: str, probabilities: list[float], out: str = "q") -> DataFrame:
     """by, out: the exact quantiles of x in each group (nulls left out), between two rows interpolated; a row for each group with a value.
 

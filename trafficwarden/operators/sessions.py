@@ -3,29 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trafficwarden.functions.text import LABELS
 from trafficwarden.operators.metrics import youden
-from trafficwarden.operators.order import quantiles
+from trafficwarden.operators.order import in_groups, quantiles
 
 
 def with_steps(df: DataFrame, session: str = "session_id", ts: str = "ts", tie: str = "id") -> DataFrame:
-    """df with step_index from 0 and gap_seconds to the step before (0 for the first)."""
-    w = W.partitionBy(session).orderBy(ts, tie)
+    """df with step_index from 0 and gap_seconds to the step before (0 for the first); a session of any length is spread over tasks."""
     seconds = lambda c: F.unix_micros(c) / 1e6
-    gap = F.coalesce(F.round(seconds(F.col(ts)) - seconds(F.lag(ts).over(w)), 6), F.lit(0.0))
-    return df.withColumn("step_index", F.row_number().over(w) - 1).withColumn("gap_seconds", gap)
+    rows = in_groups(df, session, [ts, tie], ts, F.lit(1), "step_index")
+    gap = F.coalesce(F.round(seconds(F.col(ts)) - seconds(F.col("_before")), 6), F.lit(0.0))
+    return rows.withColumns({"step_index": (F.col("step_index") - 1).cast("int"), "gap_seconds": gap}).drop("_before")
 
 
-def idle_gap_sessions(df: DataFrame, client: str = "client", ts: str = "ts", tie: str = "id", idle: int = 1800) -> DataFrame:
-    """df with session_id: a client's rows apart by at most so many seconds are one session."""
-    w = W.partitionBy(client).orderBy(ts, tie)
-    apart = (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) > idle * 1_000_000
-    rows = df.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
-    number = F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("session_id", F.concat_ws("-", F.col(client).cast("string"), number.cast("string"))).drop("_new")
+def idle_gap_sessions(df: DataFrame, client: str = "client", ts: str = "ts", tie: str = "id", idle: int = 1800, given: str | None = None) -> DataFrame:
+    """df with session_id: a client's rows apart by at most so many seconds are one session.
+
+    Where a column ``given`` has a session id, that stays; only rows without one (null or empty) are
+    put together by their gaps (and numbered within the client: given ids must not look so). A null client is a client. Clients of any number of rows are spread over tasks.
+    """
+    apart = (F.unix_micros(ts) - F.unix_micros("_before")) > idle * 1_000_000
+    new = F.coalesce(apart, F.lit(True)).cast("int")
+    named = lambda rows: F.concat_ws("-", F.col(client).cast("string"), rows.cast("string"))
+    if given is None:
+        return in_groups(df, client, [ts, tie], ts, new, "_number").withColumn("session_id", named(F.col("_number"))).drop("_number", "_before")
+    has = F.coalesce(F.col(given).cast("string") != "", F.lit(False))
+    found = in_groups(df.filter(~has), client, [ts, tie], ts, new, "_number").withColumn("_session", named(F.col("_number"))).drop("_number", "_before")
+    return df.filter(has).withColumn("_session", F.col(given).cast("string")).unionByName(found).drop("session_id").withColumnRenamed("_session", "session_id")
 
 
 def collected(df: DataFrame, text: str = "query_canonical", score: str = "score", session: str = "session_id") -> DataFrame:

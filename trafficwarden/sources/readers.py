@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,15 +45,28 @@ def multilabel_csv(spark: SparkSession, path: str, columns: list[str], request:
     return out.filter("is_attack is not null and raw_text <> ''")
 
 
-def split_requests(dumps: DataFrame, text: str = "value") -> DataFrame:
-    """A row for each request of whole HTTP dumps: position and raw_request; what stands before the first is dropped."""
-    parts = dumps.select(F.posexplode(F.split(text, rf"(?m)(?=^(?:{METHODS}) )")).alias("position", "raw_request"))
-    return parts.filter(F.rlike("raw_request", F.lit(rf"^(?:{METHODS}) "))).select("position", F.regexp_replace("raw_request", r"^\n+|\n+$", "").alias("raw_request"))
+def split_requests(lines: DataFrame) -> DataFrame:
+    """file, position (from 0 in its file), raw_request of dumps given as lines: file, block, line, value.
+
+    A line that starts like a request line begins a request; what stands before the first is dropped,
+    line breaks at both ends of a request go. line is the order within a block of a file, block that
+    within the file. Requests are numbered by running counts within a block and sums over the
+    blocks of the file in front, so a dump of any size is spread over tasks, and a request may reach over blocks.
+    """
+    rows = lines.withColumn("_start", F.rlike("value", F.lit(rf"^(?:{METHODS}) ")).cast("long"))
+    totals = rows.groupBy("file", "block").agg(F.sum("_start").alias("_n"))
+    before = totals.select("file", "block", (F.sum("_n").over(W.partitionBy("file").orderBy("block")) - F.col("_n")).alias("_front"))  # a row a block
+    inner = F.sum("_start").over(W.partitionBy("file", "block").orderBy("line"))
+    rows = rows.withColumn("_inner", inner).join(before, ["file", "block"]).withColumn("position", F.col("_inner") + F.col("_front") - 1).filter("position >= 0")
+    parts = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
+    text = F.array_join(F.transform(parts, lambda p: p["value"]), "\n")
+    return rows.groupBy("file", "position").agg(F.regexp_replace(text, r"\A\n+|\n+\z", "").alias("raw_request"))
 
 
 def http_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Requests of the dump files at path; a file is read by one task."""
-    return split_requests(spark.read.text(path, wholetext=True))
+    """file, position, raw_request of the requests of the dump files at path; a large file is read by many tasks."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return split_requests(lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value"))
 
 
 def http_requests(requests: DataFrame, split: str | None = None, source: str = "d3") -> DataFrame:
