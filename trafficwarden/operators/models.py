@@ -377,15 +377,6 @@ def best(table: DataFrame, name: str, value: str) -> DataFrame:
     return table.orderBy(F.desc(value), name).limit(1)
 
 
-def univariate_ks(df: DataFrame, features: list[str], positive: Column) -> DataFrame:
-    """feature, ks of benign against anomalous rows."""
-    from functools import reduce
-
-    from trafficwarden.operators.metrics import ks_statistic
-
-    return reduce(DataFrame.unionByName, [ks_statistic(df, f, positive).select(F.lit(f).alias("feature"), "ks") for f in features])
-
-
 def zero_day_runs(df: DataFrame, label: str, classes: list[int], scores: DataFrame, key: str = "id", text: str = "query_canonical", threshold: float = 0.0) -> DataFrame:
     """For each held-out class: how often a classifier trained without it and the detector catch it."""
     from functools import reduce

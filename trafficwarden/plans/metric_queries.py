@@ -242,6 +242,7 @@ QUERIES = {
     "w10_reference_windows": lambda s, d: scored(s, d).groupBy(R.count_window("position", SIZE).alias("w")).agg((F.max("position") < SIZE * BASE).alias("is_reference")),
     "w4_w5_steps": lambda s, d: _sessions(s, d).select("id", "session_id", "step_index", "gap_seconds"),
     "w12_sessions_30min": lambda s, d: _sessions(s, d, 1800).groupBy("session_id").agg(F.count("*").alias("steps")),
+    "w12_given_sessions": lambda s, d: S.idle_gap_sessions(scored(s, d).withColumn("known", F.when(F.col("client") % 5 == 0, F.concat(F.lit("s"), F.col("client") % 10))), given="known").select("id", "session_id"),
     "a13_session_meta": lambda s, d: _session_rows(s, d).groupBy("top_label").agg(F.count("*").alias("sessions"), F.sum("steps").alias("steps")),
     "a50_a51_collected": lambda s, d: S.collected(_sessions(s, d), "label_name").select("session_id", F.size("steps").alias("steps"), "session_text"),
     "a52_behaviour": lambda s, d: S.behaviour(_sessions(s, d), 0.8),
@@ -307,6 +308,7 @@ SQL = {
     "w10_reference_windows": _w("SELECT position // 100 AS w, max(position) < 300 AS is_reference FROM scored GROUP BY 1"),
     "w4_w5_steps": _w("SELECT id, session_id, step_index, gap_seconds FROM sess", _sess_sql()),
     "w12_sessions_30min": _w("SELECT session_id, count(*) AS steps FROM sess GROUP BY 1", _sess_sql(1800)),
+    "w12_given_sessions": _w("SELECT id, CASE WHEN client % 5 = 0 THEN 's' || client % 10 ELSE session_id END AS session_id FROM sess", _sess_sql(1800)),
     "a13_session_meta": _w("SELECT top_label, count(*) AS sessions, CAST(sum(steps) AS BIGINT) AS steps FROM srows GROUP BY 1", SROWS),
     "a50_a51_collected": _w("SELECT session_id, CAST(count(*) AS INTEGER) AS steps, string_agg(label_name, ' ' ORDER BY step_index) AS session_text FROM sess GROUP BY 1", _sess_sql()),
     "a52_behaviour": _w("SELECT session_id, steps, mean_score, fraction_above FROM srows", SROWS),

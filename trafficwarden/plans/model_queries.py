@@ -1,13 +1,16 @@
 """Queries of classifiers and detectors, over derived traffic and numeric tables."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from trafficwarden.functions import features as X
 from trafficwarden.operators import curate as C
+from trafficwarden.operators import explore as P
 from trafficwarden.operators import metrics as E
 from trafficwarden.operators import models as M
 from trafficwarden.operators.order import kept
-from trafficwarden.plans.text_queries import _c, tagged
+from trafficwarden.plans.text_queries import BIGRAMS, ENTROPY, PLAIN, _c, tagged
 
 FEATURES = ["length", "special_char_ratio", "entropy", "quote_imbalance"]
 DETECTORS = ["local_outlier_factor", "isolation_forest", "one_class_svm"]
@@ -60,6 +63,24 @@ def _scaled_lineitem(s, d):
     return M.scaled(rows, M.fit_scaling(rows.filter("q > 10"), ["q", "p"], ["p"])).select("l_orderkey", "l_linenumber", F.round(F.col("x")[0], 6).alias("q"), F.round(F.col("x")[1], 6).alias("p"))
 
 
+SEARCHED = [*P.BASE, *P.CANDIDATES]
+
+
+def _subsets(s, d):
+    """All 70 sets of features: fitted on benign training rows, measured on benign tested rows and all attacks."""
+    rows = kept(X.with_features(_corpus(s, d), names=SEARCHED))
+    return P.explore(rows.filter("not is_attack and split = 'train'"), rows.filter("is_attack or split = 'test'"), _positive())
+
+
+def _given_scores(s, d):
+    """The measures of the 70 sets, with the sum of a set's features (lengths in hundreds) as score."""
+    rows = kept(X.with_features(tagged(s, d), names=SEARCHED))
+    value = lambda f: F.col(f) / 100.0 if f in P.LOGGED else F.col(f)
+    pairs = [F.struct(F.lit(n).alias("name"), F.round(reduce(lambda a, b: a + b, map(value, of)), 6).alias("score")) for n, of in P.feature_sets().items()]
+    long = rows.select("is_attack", F.explode(F.array(*pairs)).alias("v")).select("is_attack", "v.*")
+    return P.matched(kept(long), "name", "score", _positive())
+
+
 QUERIES = {
     "ml1_gram_frequencies": lambda s, d: M.gram_frequencies(tagged(s, d)),
     "ml2_ml3_classify": lambda s, d: _classified(s, d).select("id", "label_name", "predicted", "confidence", "attack_prob", "is_sqli"),
@@ -74,12 +95,21 @@ QUERIES = {
     "ml11_compare_detectors": lambda s, d: M.compare_detectors(*_vectors(s, d), _positive(), DETECTORS),
     "l4_best": lambda s, d: M.best(M.grid_search("isolation_forest", *_vectors(s, d), _positive(), {"trees": [10, 30]}), "options", "auc"),
     "ml12_zero_day": lambda s, d: M.zero_day_runs(_corpus(s, d), "label", [1, 2, 3, 4, 5], _detector("isolation_forest")(s, d), threshold=0.55),
-    "ml13_univariate_ks": lambda s, d: M.univariate_ks(X.with_features(tagged(s, d), names=FEATURES), FEATURES, _positive()),
+    "ml13_univariate_ks": lambda s, d: P.univariate(X.with_features(tagged(s, d), names=SEARCHED), SEARCHED, _positive()),
+    "ml13_subsets": _subsets,
+    "ml13_given_scores": _given_scores,
     "a36_permutation": lambda s, d: E.permutation_importance(X.with_features(tagged(s, d), names=FEATURES).withColumn("length", F.col("length").cast("double")), ["special_char_ratio", "quote_imbalance"], "id", lambda df: df.withColumn("score", F.col("special_char_ratio") + F.col("quote_imbalance") / 4), _positive()),
     "a37_impact": lambda s, d: M.impact(_detector("isolation_forest")(s, d).withColumn("anomaly_score", F.col("anomaly_score") - 0.55), _detector("isolation_forest", sample=64)(s, d).withColumn("anomaly_score", F.col("anomaly_score") - 0.55), _positive()),
     "m16_fragment_sessions": lambda s, d: C.fragment_sessions(tagged(s, d).filter("is_attack"), "query_raw", "id"),
 }
 
+_VALUES = "WITH " + _c("").removeprefix("WITH ") + ", q AS (SELECT id, is_attack, query_canonical AS t FROM canon), " + ENTROPY + ", " + BIGRAMS + f""",
+v AS (SELECT q.is_attack, {', '.join(f"CAST({PLAIN[f]} AS DOUBLE) AS {f}" for f in SEARCHED if f in PLAIN)}, coalesce(round(en.v, 6), 0.0) AS entropy, coalesce(round(be.v, 6), 0.0) AS bigram_entropy FROM q LEFT JOIN en USING (id) LEFT JOIN be USING (id))"""
+_SETS = "[" + ", ".join("{'n': '" + n + "', 's': round(" + " + ".join(f"{f} / 100.0::DOUBLE" if f in P.LOGGED else f for f in of) + ", 6)}" for n, of in P.feature_sets().items()) + "]"
+_CELLS = """, c AS (SELECT g, x, CAST(count(*) FILTER (is_attack) AS DOUBLE) AS p, CAST(count(*) FILTER (NOT is_attack) AS DOUBLE) AS n FROM l GROUP BY g, x),
+w AS (SELECT *, sum(p) OVER o AS cp, sum(n) OVER o AS cn, sum(p) OVER (PARTITION BY g) AS tp, sum(n) OVER (PARTITION BY g) AS tn FROM c WINDOW o AS (PARTITION BY g ORDER BY x)),
+m AS (SELECT g, round(sum(p * (cn - n / 2)) / any_value(tp * tn), 6) AS auc, round(max(abs(cp / tp - cn / tn)), 6) AS ks FROM w GROUP BY g)"""
+
 SQL = {
     "ml1_gram_frequencies": _c(r", w AS (SELECT id, ' ' || unnest(regexp_extract_all(query_canonical, '\S+')) || ' ' AS t FROM canon), g AS (SELECT id, substr(t, i, n) AS gram FROM w, range(2, 5) a(n), range(1, 400) b(i) WHERE n <= length(t) AND i <= length(t) - n + 1) SELECT gram, count(DISTINCT id) AS df, count(*) AS tf, round(ln(((SELECT count(*) FROM canon) + 1) / CAST(count(DISTINCT id) + 1 AS DOUBLE)) + 1, 6) AS idf FROM g GROUP BY gram"),
     "ml5_scaling": "WITH r AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS q, ln(1 + CAST(l_extendedprice AS DOUBLE)) AS p FROM lineitem), f AS (SELECT avg(q) AS mq, stddev_pop(q) AS sq, avg(p) AS mp, stddev_pop(p) AS sp FROM r WHERE q > 10) SELECT l_orderkey, l_linenumber, round((q - mq) / sq, 6) AS q, round((p - mp) / sp, 6) AS p FROM r, f",
@@ -87,6 +117,8 @@ SQL = {
 near AS (SELECT id, nb, d FROM (SELECT x.id, y.id AS nb, sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b)) AS d, row_number() OVER (PARTITION BY x.id ORDER BY d, y.id) AS k FROM v x, v y WHERE x.id <> y.id) WHERE k <= 5),
 kd AS (SELECT id, max(d) AS kdist FROM near GROUP BY id), lr AS (SELECT near.id, 1.0 / (avg(greatest(d, kdist)) + 1e-10::DOUBLE) AS lrd FROM near JOIN kd ON kd.id = nb GROUP BY 1)
 SELECT near.id, round(avg(o.lrd) / any_value(s.lrd), 4) AS lof FROM near JOIN lr o ON o.id = nb JOIN lr s ON s.id = near.id GROUP BY near.id""",
-    "ml13_univariate_ks": None,
+    "ml13_univariate_ks": _VALUES + ", l AS (SELECT is_attack, u.n AS g, u.s AS x FROM (SELECT is_attack, unnest([" + ", ".join(f"{{'n': '{f}', 's': {f}}}" for f in SEARCHED) + "]) AS u FROM v))" + _CELLS + " SELECT g AS feature, ks FROM m",
+    "ml13_given_scores": _VALUES + f", l AS (SELECT is_attack, u.n AS g, u.s AS x FROM (SELECT is_attack, unnest({_SETS}) AS u FROM v))" + _CELLS + """, th AS (SELECT g, quantile_cont(x, 0.95) FILTER (NOT is_attack) AS t FROM l GROUP BY g),
+r AS (SELECT g, round(any_value(t), 6) AS threshold, round(avg(CAST(x > t AS DOUBLE)) FILTER (NOT is_attack), 6) AS fpr, round(avg(CAST(x > t AS DOUBLE)) FILTER (is_attack), 6) AS detection_rate FROM l JOIN th USING (g) GROUP BY g)
+SELECT g AS name, threshold, fpr, detection_rate, auc, ks FROM r JOIN m USING (g)""",
 }
-SQL = {k: v for k, v in SQL.items() if v}
