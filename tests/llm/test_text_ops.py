@@ -61,6 +61,34 @@ def test_decontamination(spark, odd, block_bytes):
     assert decontaminate.find_benchmark(df.limit(0), spark.createDataFrame(items, "item_id string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1, 20, 200])
+def test_parts_of_an_item_keep_its_windows(limit):
+    rng = np.random.default_rng(limit)
+    for n in (0, 1, 9, 10, 11, 40, 300):
+        words = ["w" * int(k) for k in rng.integers(1, 9, n)]
+        parts = [p.split() for p in decontaminate.cut(", ".join(words).upper(), 10, limit)]
+        at = lambda w: {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9) if w else 0)}
+        assert set().union(*map(at, parts)) == at(words) and all(len(p) >= min(10, n) for p in parts)
+        assert all(len(" ".join(p)) <= limit + 9 or len(p) <= 10 for p in parts)
+
+
+def test_blocks_are_bounded_whatever_the_ids(spark, odd):
+    """Items of one id, of none, and one longer than a block: no block is large, and the hits are those of a single one."""
+    rng = np.random.default_rng(0)
+    word = lambda: "".join(rng.choice(list("abc"), 3))
+    texts = [" ".join(word() for _ in range(14)) for _ in range(120)]
+    items = [*[("same", t) for t in texts[:50]], *[(None, t) for t in texts[50:100]], *[(str(i), t) for i, t in enumerate(texts[100:])], ("long", " ".join(word() for _ in range(900))), ("none", None), ("none", "...")]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    parts, blocks = decontaminate.dealt(benchmark.select(F.col("item_id").alias("item"), "text"), 10, 1000)
+    sizes = [r.n for r in parts.groupBy("block").agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+    assert len(sizes) == blocks >= 10 and max(sizes) <= 1500 + 40
+    rows = [(i, f"x {items[i][1]} y {items[-3][1][40 * i : 40 * i + 90]}", "r") for i in range(0, 120, 17)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    plain = lambda b: sorted((r.doc_id, r.found.n_words, [tuple(h) for h in r.found.hits], r.found["items"]) for r in decontaminate.find_benchmark(df, benchmark, block_bytes=b).collect())
+    whole = plain(1 << 20)
+    assert whole == plain(3000) and all(h for _, _, h, _ in whole)
+
+
 # Licences.
 
 

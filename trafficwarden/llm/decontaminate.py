@@ -6,7 +6,8 @@ table over blocks of bytes tells how far the search may jump, a shift of nought
 of strings with that suffix block, and a direct comparison confirms. The jumps of many stretches of
 text are made at once, in numpy arrays, inside ``mapInArrow``; there is no shuffle.
 
-Benchmarks are searched in blocks of about ``block_bytes`` of item text. The first pass gives a row for
+Benchmarks are searched in blocks of about ``block_bytes`` of item text, dealt out by a running sum of
+bytes; a longer item is cut into parts that share ``window`` - 1 words, so that no window is lost. The first pass gives a row for
 every document; each further one runs when the last is done, over the same written rows, and gives
 the documents that it hits alone, which are joined at the end. So what the driver sends, and the tables
 that a worker builds once and keeps, are those of one block however large the benchmark is.
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trafficwarden.llm.common import absent, materialise, slices, spaced_words, text_bytes
+from trafficwarden.operators.order import running_sum
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -41,13 +43,47 @@ _FOUND = pa.struct(
 )
 
 
+def _words(text: str | None) -> list[bytes]:
+    raw = (text or "").encode()
+    data, _ = spaced_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return data[1:].tobytes().split()
+
+
+def cut(text: str | None, window: int, limit: int) -> list[str]:
+    """The words of an item in parts of about limit bytes, each of a window at least (but for shorter items); every window lies in one part."""
+    words, out, first = _words(text), [], 0
+    while first < len(words):
+        last, size = first, 0
+        while last < len(words) and (size < limit or last - first < window):
+            size += len(words[last]) + 1
+            last += 1
+        out.append(b" ".join(words[first:last]).decode())
+        if last == len(words):
+            break
+        first = last - window + 1
+    return out
+
+
+def dealt(texts: DataFrame, window: int, block_bytes: int) -> tuple[DataFrame, int]:
+    """(block, item, text) and the number of blocks, of at most one and a half times block_bytes (and a window) each, whatever the ids."""
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                for part in cut(text, window, block_bytes // 2):
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([part], pa.string())], ["item", "text"])
+
+    rows = texts.mapInArrow(parts, "item string, text string").withColumn("uid", F.monotonically_increasing_id())
+    size = F.octet_length("text").cast("long")
+    summed = running_sum(materialise(rows, "parts"), ["uid"], size, "until")
+    out = materialise(summed.select(F.floor((F.col("until") - size) / block_bytes).alias("block"), "item", "text"), "blocks")
+    return out, (out.agg(F.max("block")).first()[0] or 0) + 1
+
+
 def test_strings(items: list[tuple[str, str | None]], window: int = WINDOW) -> dict[bytes, tuple[int, list[str]]]:
     """String (with its spaces) -> its number of words and the items that hold it; an item of no id isn't listed."""
     out: dict[bytes, tuple[int, list[str]]] = {}
     for item, text in items:
-        raw = (text or "").encode()
-        data, _ = spaced_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        words = data[1:].tobytes().split()
+        words = _words(text)
         for i in range(max(1, len(words) - window + 1) if words else 0):
             part = words[i : i + window]
             _, of = out.setdefault(b" " + b" ".join(part) + b" ", (len(part), []))
@@ -168,18 +204,19 @@ def find_benchmark(
     A null or empty text has no words and no hits; an item without words is never found; items with
     equal texts are all found; the words of an item of a null id are hit, but it isn't listed; an empty
     benchmark finds nothing. Repeated rows are judged each. ``found`` must not be a column of docs
-    (ValueError). No shuffle where the benchmark is one block; a block holds whole items.
+    (ValueError). No shuffle of documents where the benchmark is one block.
     """
     absent(docs, found)
     spark: SparkSession = docs.sparkSession
     texts = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    # an item counts for its id and two fields too, so that a block of many empty ones is bounded as well
+    size = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("item"), F.lit(0)) + 16)).first()[0] or 0
+    dealt_out, blocks = (texts, 1) if size <= block_bytes else dealt(texts, window, block_bytes)
     columns = list(docs.columns)
     row = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(None)
 
     def sent(b: int):
-        part = texts if blocks == 1 else texts.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
+        part = texts if dealt_out is texts else dealt_out.filter(F.col("block") == b)
         return spark.sparkContext.broadcast([(r.item, r.text) for r in part.collect()])
 
     if blocks == 1:
