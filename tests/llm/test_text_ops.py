@@ -102,6 +102,22 @@ def test_licences(spark, odd):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_index_words_are_the_rarest_of_the_files(spark):
+    """Counts are by file; the index follows them, and no choice of words changes the places."""
+    texts = ["mit License, MIT license", "a license", "The license of mit", "Apache License", None, "", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby hereby hereby"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    held = licenses.frequencies(df)
+    assert held["license"] == 4 and held["mit"] == 2 and held["apache"] == 1 and held["hereby"] == 2 and held["mozilla"] == 0
+    chosen = {t["label"]: [w for _, w in e] for t, e in zip(licenses.parsed(), licenses.index(held))}
+    assert chosen["mit"] == ["mit", "license"] and chosen["mpl-2.0"][0] == "mozilla" and "hereby" not in chosen["mit-grant"]
+    places = lambda h: [(r.doc_id, sorted((p.label, p.start) for p in r.licenses.places)) for r in licenses.scan(df, held=h).orderBy("doc_id").collect()]
+    rng = np.random.default_rng(0)
+    first = places(None)
+    assert first[0] == (0, [("mit", 0), ("mit", 2)]) and first[6] == (6, [("mit-grant", 0)])
+    for _ in range(3):
+        assert places({w: int(rng.integers(0, 9)) for w in held}) == first
+
+
 # Packing.
 
 

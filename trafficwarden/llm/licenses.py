@@ -1,21 +1,22 @@
 """Licence scan by a positional index of rare licence words, in DataFrame functions only.
 
-The templates are licence texts, headers and short notices. The words of each template's mandatory key
-phrases that are rarest among all templates (highest IDF there) are its index words. A file looks its
-words up in the index; a posting says at which place of which template the word stands, so a hit gives a
-start of the template in the file. Postings are intersected by relative position: a start that as many
+The templates are licence texts, headers and short notices; the licence words are those of their
+mandatory key phrases. How many files hold each licence word is counted over all files first (a row a
+word), which gives its IDF. A template is indexed under its words of highest IDF; a posting says at
+which place of which template the word stands. A file takes its own licence words and looks up the
+highest of each template that it can hold, that is, all whose index words it has. A hit gives a start of the template
+in the file. Postings are intersected by relative position: a start that as many
 postings give as the template has index words is a candidate, found as a run of equal starts in sorted
 order. A candidate counts if every mandatory key phrase stands there word by word. As index words are
 part of the key phrases, no place is missed, whichever words are chosen.
 
-All work on a file is in arrays of its own row: one scan, no shuffle. What is fixed in size (templates,
-index) is part of the plan.
+All work on a file is in arrays of its own row: one scan for the counts, one for the places, no shuffle
+of files. What is fixed in size (templates, index) is part of the plan.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,9 +75,8 @@ TEMPLATES = [
         subject to the following restrictions""", ["permission is granted to anyone to use this software for any purpose", "alter it and redistribute it freely"]),
 ]
 
-#: Index words of each template; words of plain prose are taken last.
+#: Index words of each template.
 RAREST = 2
-PLAIN = {"0", "a", "and", "any", "are", "as", "by", "for", "free", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "use", "used", "with", "without", "you"}
 #: Fixed value: what separates words in lower-cased text, as a Java pattern.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -100,26 +100,38 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(plain, BETWEEN), "")
 
 
-def index(rarest: int = RAREST) -> list[list[tuple[int, str]]]:
-    """For each template the places and words of the key-phrase words that are rarest among the templates, rarest first."""
-    templates, out = parsed(), []
-    df = Counter(w for t in templates for w in set(t["words"]))
-    for t in templates:
+def vocabulary() -> list[str]:
+    """The licence words: those of the key phrases."""
+    return sorted({w for t in parsed() for _, key in t["keys"] for w in key})
+
+
+def frequencies(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """Licence word -> number of files that hold it, 0 for none; the tasks send a row a word."""
+    known = vocabulary()
+    held = F.explode(F.array_intersect(words_of(F.col(f"`{text}`")), F.array(*[F.lit(w) for w in known])))
+    found = {r.word: r["count"] for r in docs.select(held.alias("word")).groupBy("word").count().collect()}
+    return {w: found.get(w, 0) for w in known}
+
+
+def index(held: dict[str, int], rarest: int = RAREST) -> list[list[tuple[int, str]]]:
+    """For each template the places and words of its key phrases that the fewest files hold (highest IDF), rarest first."""
+    out = []
+    for t in parsed():
         keyed = [(off + i, w) for off, key in t["keys"] for i, w in enumerate(key)]
-        out.append(sorted(keyed, key=lambda x: (x[1] in PLAIN, df[x[1]], -len(x[1]), x[0]))[:rarest])
+        out.append(sorted(keyed, key=lambda x: (held[x[1]], -len(x[1]), x[0]))[:rarest])
     return out
 
 
-def scan(docs: DataFrame, text: str = "text", found: str = "licenses") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", found: str = "licenses", held: dict[str, int] | None = None) -> DataFrame:
     """All columns of docs and a struct ``found``: n_words and places, an array of (label, base, start, share).
 
     start is where the template's first key phrase starts, in words from 0; share is the part of the
     template's words that stand in place. A null or empty text has no words and no places. Rows are
     scanned whole, each by itself; repeated rows get the same. ``found`` must not be a column of docs
-    (ValueError).
+    (ValueError). held are the ``frequencies`` of a corpus; by default those of docs, counted at once.
     """
     absent(docs, found)
-    templates, keyed = parsed(), index()
+    templates, keyed = parsed(), index(frequencies(docs, text) if held is None else held)
     postings: dict[str, list[tuple[int, int]]] = {}
     for i, entries in enumerate(keyed):
         for place, word in entries:
@@ -137,9 +149,14 @@ def scan(docs: DataFrame, text: str = "text", found: str = "licenses") -> DataFr
 
     # explode() of one element keeps the array from being computed again for each use
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.explode(F.array(words_of(F.col(f"`{text}`")))).alias("words"))
-    some = F.arrays_overlap("words", strings(rare))
-    hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), i)), lambda i: i.isNotNull())
-    rows = rows.select("row", "words", F.explode(F.array(F.when(some, hits).otherwise(F.array().cast("array<int>")))).alias("hits"))
+    rows = rows.select("row", "words", F.explode(F.array(F.array_intersect("words", strings(rare)))).alias("mine"))
+    # the file's own licence words of highest IDF: those of the templates that have all of theirs in it
+    heads = F.array(*[strings(sorted({w for _, w in entries})) for entries in keyed])
+    whole = F.filter(heads, lambda ws: F.size(F.array_except(ws, "mine")) == 0)
+    sought = F.when(F.size("mine") > 0, F.array_distinct(F.flatten(whole))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("row", "words", F.explode(F.array(sought)).alias("sought"))
+    hits = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("sought", w), i)), lambda i: i.isNotNull())
+    rows = rows.select("row", "words", F.explode(F.array(F.when(F.size("sought") > 0, hits).otherwise(F.array().cast("array<int>")))).alias("hits"))
     word_at = lambda i: F.get(F.col("words"), i)
     starts = F.flatten(F.transform("hits", lambda i: F.transform(F.element_at(lookup, word_at(i)), lambda p: F.struct(p["t"].alias("t"), (i - p["p"]).alias("at")))))
     rows = rows.select("row", "words", F.explode(F.array(F.array_sort(starts))).alias("starts"))
