@@ -45,6 +45,15 @@ def fractions(df: DataFrame, edges: DataFrame, windows: list[str], by: str = "fe
     return whole.select(*windows, by, "n", share.alias("cur"))
 
 
+def fractions_of_all(df: DataFrame, edges: DataFrame, frame: DataFrame, windows: list[str], by: str = "feature", x: str = "x") -> DataFrame:
+    """fractions of every window of the frame (a row a window): one without a value of a feature has n 0 and equal shares."""
+    every = frame.select(*windows).distinct().join(F.broadcast(edges.select(by, F.size("edges").alias("_inner"))))  # a row a feature
+    found = fractions(df, edges, windows, by, x)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*windows, by)]
+    equal = F.transform(F.sequence(F.lit(0), F.col("_inner")), lambda _: F.lit(1.0) / (F.col("_inner") + 1))
+    return every.alias("a").join(found.alias("b"), same, "left").select(*[f"a.{c}" for c in (*windows, by)], F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cur", equal).alias("cur"))
+
+
 def psi_of(cur: Column, ref: Column) -> Column:
     """Sum over bins of (cur - ref) ln(cur / ref), shares floored."""
     return _sum_bins(cur, ref, lambda c, r: (c - r) * F.ln(c / r))
@@ -60,10 +69,6 @@ def _sum_bins(cur: Column, ref: Column, term) -> Column:
     return F.aggregate(F.zip_with(cur, ref, lambda c, r: term(floored(c), floored(r))), F.lit(0.0), lambda a, b: a + b)
 
 
-def uniform(ref: Column) -> Column:
-    return F.transform(ref, lambda _: F.lit(1.0) / F.size(ref))
-
-
 def psi(df: DataFrame, reference: DataFrame, windows: list[str], by: str = "feature", x: str = "x", metric: str = "psi", digits: int | None = 6) -> DataFrame:
     """windows, feature, n, psi of each window against the reference. Windows without values have no row."""
     value = (psi_of if metric == "psi" else kl_of)(F.col("cur"), F.col("ref"))

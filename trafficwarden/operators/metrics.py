@@ -144,10 +144,17 @@ def youden(df: DataFrame, value: str, positive: Column) -> DataFrame:
 
 
 def zero_day(df: DataFrame, label: str, predicted: str, anomalous: Column) -> DataFrame:
-    """By class: n, share that the classifier misses, share that the detector flags, share that either catches."""
-    miss = F.col(predicted) == "normal"
-    r = lambda c: F.round(F.mean(c.cast("double")), 6)
-    return df.filter(F.col(label) != "normal").groupBy(label).agg(F.count("*").alias("n"), r(miss).alias("miss_rate"), r(anomalous).alias("detection_rate"), r(~miss | anomalous).alias("covered"))
+    """By class: n, share that the classifier misses, share that the detector flags, share that either catches, and predictions (class -> rows).
+
+    A row that the detector has no verdict on isn't flagged; a null prediction counts as "none" and as no miss.
+    """
+    named, flag = F.coalesce(predicted, F.lit("none")), F.coalesce(anomalous, F.lit(False))
+    miss = named == "normal"
+    checks = {"miss_rate": miss, "detection_rate": flag, "covered": ~miss | flag}
+    cells = df.filter(F.col(label) != "normal").groupBy(label, named.alias("_p")).agg(F.count("*").alias("_c"), *[F.count_if(c).alias(f"_{n}") for n, c in checks.items()])
+    rates = [F.round(F.sum(f"_{n}") / F.sum("_c"), 6).alias(n) for n in checks]
+    # a row for each pair of classes is left
+    return cells.groupBy(label).agg(F.sum("_c").alias("n"), *rates, F.map_from_entries(F.array_sort(F.collect_list(F.struct("_p", "_c")))).alias("predictions"))
 
 
 def ablation(df: DataFrame, label: str, content: Column, behaviour: Column) -> DataFrame:
@@ -170,10 +177,25 @@ def latency(timings: DataFrame, seconds: str, rows: str) -> DataFrame:
     return timings.agg(F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95))).alias("q")).select(F.round(F.col("q")[0], 6).alias("p50_ms"), F.round(F.col("q")[1], 6).alias("p95_ms"))
 
 
+def scoring_times(score, df: DataFrame, key: str, batches: int = 8) -> DataFrame:
+    """batch, rows, seconds: how long score(rows) takes over all its columns, for batches by the hash of the key.
+
+    Every row is scored once. A batch without rows isn't listed.
+    """
+    import time
+
+    found, part = [], F.pmod(F.xxhash64(key), F.lit(batches))
+    for i in range(batches):
+        rows, began = score(df.filter(part == i)), time.time()
+        n = rows.agg(F.count("*").alias("n"), F.max(F.xxhash64(*rows.columns))).first().n  # every column is needed
+        found.append((i, n, time.time() - began))
+    return df.sparkSession.createDataFrame([f for f in found if f[1]], "batch int, rows long, seconds double")
+
+
 def permuted(df: DataFrame, column: str, key: str, seed: int = 0) -> DataFrame:
     """df with one column shuffled: rows take the value of the row of the same rank by another hash."""
     from trafficwarden.operators.curate import sample_key
-    at = lambda d, s, out: with_position(d.withColumn("_h", sample_key(key, s)), ["_h", key], out, F.substring("_h", 1, 2)).drop("_h")
+    at = lambda d, s, out: with_position(d.withColumn("_h", sample_key(key, s)), ["_h", key], out).drop("_h")
     values = at(df.select(key, column), f"{seed}:values", "_at").select("_at", column)
     return at(df.drop(column), f"{seed}:rows", "_at").join(values, "_at").drop("_at")
 

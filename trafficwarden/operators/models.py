@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trafficwarden.functions.text import LABELS, word_ngrams
-from trafficwarden.operators.metrics import auc, class_report, confusion, detector_report, latency, summary
+from trafficwarden.operators.metrics import auc, class_report, confusion, detector_report, latency, permutation_importance, summary
 from trafficwarden.operators.neighbours import CELL_ROWS, NeighbourSearch
 from trafficwarden.operators.order import kept, quantiles, shared_folder
 
@@ -111,32 +111,55 @@ def classify(model: PipelineModel, df: DataFrame, text: str = "query_canonical",
     return out.select(*df.columns, *extra).withColumn("is_sqli", F.col("attack_prob") >= least)
 
 
+#: N-grams of the candidates whose fits keep a dense histogram or layer of them.
+DENSE = 2000
+
+
 def candidates() -> dict:
-    """Classifiers to compare; boosted trees stand for gradient boosting, one class against the rest."""
+    """Classifiers to compare; boosted trees stand for gradient boosting, one class against the rest. The network reads characters, the others n-grams."""
+    from trafficwarden.operators.sequences import SequenceClassifier
+
     return {
         "logistic_regression": LogisticRegression(family="multinomial", maxIter=50),
         "naive_bayes": NaiveBayes(),
         "random_forest": RandomForestClassifier(numTrees=20, maxDepth=8, seed=1),
         "boosted_trees": OneVsRest(classifier=GBTClassifier(maxIter=5, maxDepth=3, seed=1)),
         "perceptron": MultilayerPerceptronClassifier(maxIter=50, seed=1),
+        "character_network": SequenceClassifier(),
     }
 
 
-def compare_classifiers(train: DataFrame, test: DataFrame, text: str = "query_canonical", names: list[str] | None = None, done: set[str] | None = None, vocabulary: int = 2000, batches: int = 4) -> DataFrame:
+COMPARED = "candidate string, f1_macro double, accuracy double, f1_by_class map<string,double>, confusion map<string,long>, train_seconds double, score_ms_per_row double, p50_ms double, p95_ms double, size_bytes long"
+
+
+def compare_classifiers(train: DataFrame, test: DataFrame, text: str = "query_canonical", names: list[str] | None = None, done: set[str] | None = None, vocabulary: int = VOCABULARY, batches: int = 4, results: str | None = None) -> DataFrame:
     """candidate, f1_macro, accuracy, f1_by_class, confusion (truth>predicted -> rows), train_seconds, score_ms_per_row, p50_ms, p95_ms, size_bytes.
 
-    Candidates in done are skipped. All test rows are scored, in batches by the hash of the text; p50 and
-    p95 are milliseconds a row over the batches. The size is that of the saved model.
+    Candidates in done are skipped. results is a folder of finished rows: a candidate found there isn't
+    fitted again, a new one is added as soon as it is measured, so a lost run goes on where it was. All
+    test rows are scored, in batches by the hash of the text; p50 and p95 are milliseconds a row over the
+    batches. The size is that of the saved model. Trees and the perceptron take at most ``DENSE`` n-grams.
     """
     import time
 
-    spark, rows = train.sparkSession, []
+    from trafficwarden.sources.readers import append_ledger, read_ledger
+
+    spark = train.sparkSession
+    finished = [tuple(r) for r in read_ledger(spark, results, COMPARED).collect()] if results else []  # a row a candidate
+    finished, rows = {r[0]: r for r in finished}, []
     part = F.pmod(F.xxhash64(text), F.lit(batches))
     for name in names or list(candidates()):
         if name in (done or set()):
             continue
+        if name in finished:
+            rows.append(finished[name])
+            continue
         began = time.time()
-        model = fit_classifier(train, text, vocabulary=vocabulary, estimator=candidates()[name])
+        estimator = candidates()[name]
+        if name == "character_network":
+            model = PipelineModel([estimator.fit(train, {estimator.text: text})])
+        else:
+            model = fit_classifier(train, text, vocabulary=vocabulary if name in ("logistic_regression", "naive_bayes") else min(vocabulary, DENSE), estimator=estimator)
         took, cells, timed = time.time() - began, Counter(), []
         for i in range(batches):
             began = time.time()
@@ -149,7 +172,9 @@ def compare_classifiers(train: DataFrame, test: DataFrame, text: str = "query_ca
         q = latency(spark.createDataFrame(timed, "seconds double, rows long"), "seconds", "rows").first()
         per_row = sum(t for t, _ in timed) * 1000 / max(sum(n for _, n in timed), 1)
         rows.append((name, r.f1_macro, r.accuracy, each, {f"{t}>{p}": n for (t, p), n in cells.items()}, round(took, 3), round(per_row, 4), q.p50_ms, q.p95_ms, saved_size(model)))
-    return spark.createDataFrame(rows, "candidate string, f1_macro double, accuracy double, f1_by_class map<string,double>, confusion map<string,long>, train_seconds double, score_ms_per_row double, p50_ms double, p95_ms double, size_bytes long")
+        if results:
+            append_ledger(spark.createDataFrame(rows[-1:], COMPARED), results)
+    return spark.createDataFrame(rows, COMPARED)
 
 
 def saved_size(model: PipelineModel) -> int:
@@ -377,27 +402,65 @@ def best(table: DataFrame, name: str, value: str) -> DataFrame:
     return table.orderBy(F.desc(value), name).limit(1)
 
 
-def zero_day_runs(df: DataFrame, label: str, classes: list[int], scores: DataFrame, key: str = "id", text: str = "query_canonical", threshold: float = 0.0) -> DataFrame:
-    """For each held-out class: how often a classifier trained without it and the detector catch it."""
+def zero_day_runs(train: DataFrame, test: DataFrame, label: str, classes: list[int], scores: DataFrame, key: str = "id", text: str = "query_canonical", threshold: float = 0.0, vocabulary: int = VOCABULARY, iterations: int = 100) -> DataFrame:
+    """For each held-out class: what a classifier trained without it makes of its tested rows, how often that and the detector catch them, and f1_macro on the tested rows of the other classes."""
     from functools import reduce
 
     from trafficwarden.operators.metrics import zero_day
 
     out = []
     for c in classes:
-        model = fit_classifier(df.filter(F.col(label) != c), text, label, vocabulary=5000, iterations=30)
-        held = classify(model, df.filter(F.col(label) == c), text).join(scores.select(key, "anomaly_score"), key)
-        out.append(zero_day(held, "label_name", "predicted", F.col("anomaly_score") > threshold))
+        model = fit_classifier(train.filter(F.col(label) != c), text, label, vocabulary=vocabulary, iterations=iterations)
+        held = classify(model, test.filter(F.col(label) == c), text).join(scores.select(key, "anomaly_score"), key, "left")
+        rest = summary(confusion(classify(model, test.filter(F.col(label) != c), text))).select("f1_macro")  # one row
+        out.append(zero_day(held, "label_name", "predicted", F.col("anomaly_score") > threshold).join(F.broadcast(rest)))
     return reduce(DataFrame.unionByName, out)
 
 
-def impact(current: DataFrame, cleaned: DataFrame, positive: Column, score: str = "anomaly_score") -> DataFrame:
-    """pool, fpr, detection_rate, p90 of the benign scores for two scored versions of the same rows."""
+def impact(current: DataFrame, cleaned: DataFrame, positive: Column, score: str = "anomaly_score", threshold: float = 0.0) -> DataFrame:
+    """pool, fpr, detection_rate, and p50, p90, p99, largest and mean benign score, for the same rows scored by detectors of two pools; a third row holds cleaned less current."""
+    measures = ["fpr", "detection_rate", "p50", "p90", "p99", "largest", "mean"]
+
     def one(df: DataFrame, name: str) -> DataFrame:
-        p90 = quantiles(df.filter(~positive), [], score, [0.9]).select(F.round(F.col("q")[0], 6).alias("p90"))
-        return detector_report(df, F.col(score) > 0, positive).join(F.broadcast(p90)).select(F.lit(name).alias("pool"), "fpr", "detection_rate", "p90")
+        benign = df.filter(~positive)
+        q = quantiles(benign, [], score, [0.5, 0.9, 0.99]).select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p50", "p90", "p99"))])
+        whole = benign.agg(F.round(F.max(score).cast("double"), 6).alias("largest"), F.round(F.mean(score), 6).alias("mean"))  # one-row tables
+        return detector_report(df, F.col(score) > threshold, positive).join(F.broadcast(q)).join(F.broadcast(whole)).select(F.lit(name).alias("pool"), *measures)
+
+    both = kept(one(current, "current").unionByName(one(cleaned, "cleaned")))  # two rows
+    of = lambda name, m: F.max(F.when(F.col("pool") == name, F.col(m)))
+    return both.unionByName(both.agg(F.lit("difference").alias("pool"), *[F.round(of("cleaned", m) - of("current", m), 6).alias(m) for m in measures]))
+
 
-    return one(current, "current").unionByName(one(cleaned, "cleaned"))
+def pool_impact(pool: DataFrame, leaked: Column, tested: DataFrame, features: list[str], positive: Column, name: str = "isolation_forest", logged: list[str] | None = None, threshold: float = 0.0, key: str = "id", **options) -> DataFrame:
+    """What cleaning a training pool changes: ``impact`` of two fits, with train_rows, leaked_rows and leaked_flagged.
+
+    A detector (and its scaling) is fitted on the whole pool, another without the leaked rows; both
+    score the tested rows. leaked_flagged is the share of the leaked rows that the detector of their
+    own pool flags, null without such rows. The features are those that ``tested`` and ``pool`` have.
+    """
+    marked = kept(pool.withColumn("_leaked", F.coalesce(leaked, F.lit(False))))
+    scores, sizes = [], []
+    for rows in (marked, marked.filter(~F.col("_leaked"))):
+        scaling = fit_scaling(rows, features, logged)
+        train = scaled(rows, scaling)
+        asked = scaled(tested, scaling).withColumn("_pool", F.lit(False)).select(key, "x", "_pool", positive.alias("_positive")).unionByName(train.filter("_leaked").select(key, "x", F.lit(True).alias("_pool"), F.lit(False).alias("_positive")))
+        asked = asked.withColumn("_row", F.concat(F.when(F.col("_pool"), "pool:").otherwise("tested:"), F.col(key).cast("string")))  # an id may be in both
+        found = detector_scores(name, train.withColumn("_row", F.concat(F.lit("pool:"), F.col(key).cast("string"))), asked, "_row", **options)
+        scores.append(kept(found))
+        sizes.append(rows.agg(F.count("*").alias("train_rows"), F.count_if("_leaked").alias("leaked_rows")))
+    table = impact(*[s.filter(~F.col("_pool")) for s in scores], F.col("_positive"), threshold=threshold)
+    flagged = scores[0].filter("_pool").agg(F.round(F.mean((F.col("anomaly_score") > threshold).cast("double")), 6).alias("leaked_flagged"))
+    more = [s.withColumn("pool", F.lit(n)) for n, s in zip(("current", "cleaned"), sizes)]
+    sizes = more[0].join(F.broadcast(flagged)).unionByName(more[1].withColumn("leaked_flagged", F.lit(None).cast("double")))
+    return table.join(F.broadcast(sizes), "pool", "left")  # two rows
+
+
+def detector_importance(train: DataFrame, tested: DataFrame, features: list[str], positive: Column, logged: list[str] | None = None, trees: int = 50, sample: int = 256, key: str = "id") -> DataFrame:
+    """feature, drop: how much AUC a fitted isolation forest loses on the tested rows when one feature is shuffled among them."""
+    scaling = fit_scaling(train, features, logged)
+    nodes = kept(fit_forest(scaled(train, scaling), trees, sample, key))  # bounded by trees and sample
+    return permutation_importance(tested, features, key, lambda df: forest_scores(scaled(df, scaling), nodes, out="score"), positive)
 
 
 # Persistence.
@@ -411,6 +474,3 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def save_thresholds(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from trafficwarden.operators import audit as A
 from trafficwarden.operators import decide as D
 from trafficwarden.operators import drift as R
 from trafficwarden.operators import lifecycle as L
@@ -80,6 +81,14 @@ def _reference(s, d):
     return R.fit_reference(R.long_features(_stream(s, d).filter(F.col("position") < 300), FEATURES, []))
 
 
+def _all_fractions(s, d):
+    """Shares of all windows, where every third window's values have not arrived."""
+    rows = _stream(s, d).withColumn("w", R.count_window("position", SIZE))
+    values = R.long_features(rows, FEATURES, ["w"]).withColumn("x", F.when(F.col("w") % 3 != 2, F.col("x")))
+    found = R.fractions_of_all(values, _reference(s, d), rows.select("w"), ["w"])
+    return found.select("w", "feature", "n", F.round(F.get("cur", F.lit(0)), 6).alias("first_share"))
+
+
 def _numeric_drift(s, d, metric="psi"):
     rows = s.read.parquet(f"{d}/lineitem.parquet").select(F.lit("l_quantity").alias("feature"), F.col("l_quantity").cast("double").alias("x"), F.year("l_shipdate").alias("year"))
     return R.psi(rows, R.fit_reference(rows.filter("year = 1997")), ["year"], metric=metric)
@@ -225,11 +234,12 @@ QUERIES = {
     "a29_rate_by_source": lambda s, d: M.rate_by(scored(s, d), "source", F.col("score") > 0.7),
     "a30_ks": lambda s, d: M.ks_statistic(scored(s, d), "score", _attack()),
     "a31_youden": lambda s, d: M.youden(scored(s, d), "score", _attack()),
-    "a32_zero_day": lambda s, d: M.zero_day(scored(s, d), "label_name", "predicted", F.col("score") > 0.8),
+    "a32_zero_day": lambda s, d: M.zero_day(scored(s, d), "label_name", "predicted", F.col("score") > 0.8).withColumn("predictions", F.array_join(F.array_sort(F.transform(F.map_entries("predictions"), lambda e: F.concat_ws(":", e["key"], e["value"]))), ",")),
     "a33_ablation": lambda s, d: M.ablation(scored(s, d), "label_name", F.col("score") > 0.9, F.col("confidence") > 0.9),
     "a34_shadow": lambda s, d: M.shadow_report(scored(s, d), scored(s, d).withColumn("predicted", F.when(F.col("id") % 13 == 0, F.lit("normal")).otherwise(F.col("predicted")))),
     "a40_reference_bins": lambda s, d: _reference(s, d).select("feature", F.size("edges").alias("edges"), F.round(F.get("edges", F.lit(0)), 6).alias("first"), F.round(F.array_max("edges"), 6).alias("last")),
     "a41_fractions": lambda s, d: R.fractions(R.long_features(_stream(s, d).withColumn("w", R.count_window("position", SIZE)), FEATURES, ["w"]), _reference(s, d), ["w"]).select("w", "feature", "n", F.round(F.get("cur", F.lit(0)), 6).alias("first_share")),
+    "a41_empty_windows": _all_fractions,
     "a42_psi": lambda s, d: _numeric_drift(s, d),
     "a47_kl": lambda s, d: _numeric_drift(s, d, "kl"),
     "a43_categorical_psi": lambda s, d: R.psi_categorical(R.shares(_stream(s, d).withColumn("w", R.count_window("position", SIZE)), ["w"], "predicted"), R.shares(_stream(s, d).filter("position < 300"), [], "predicted"), ["w"], "predicted"),
@@ -243,7 +253,7 @@ QUERIES = {
     "w4_w5_steps": lambda s, d: _sessions(s, d).select("id", "session_id", "step_index", "gap_seconds"),
     "w12_sessions_30min": lambda s, d: _sessions(s, d, 1800).groupBy("session_id").agg(F.count("*").alias("steps")),
     "w12_given_sessions": lambda s, d: S.idle_gap_sessions(scored(s, d).withColumn("known", F.when(F.col("client") % 5 == 0, F.concat(F.lit("s"), F.col("client") % 10))), given="known").select("id", "session_id"),
-    "a13_session_meta": lambda s, d: _session_rows(s, d).groupBy("top_label").agg(F.count("*").alias("sessions"), F.sum("steps").alias("steps")),
+    "a13_session_meta": lambda s, d: A.session_meta(_sessions(s, d).select("session_id", "step_index", F.col("label_name").alias("session_label"), F.col("source").alias("session_source"), F.when(F.col("position") < 400, "early").otherwise("late").alias("split"))),
     "a50_a51_collected": lambda s, d: S.collected(_sessions(s, d), "label_name").select("session_id", F.size("steps").alias("steps"), "session_text"),
     "a52_behaviour": lambda s, d: S.behaviour(_sessions(s, d), 0.8),
     "a53_verdict": lambda s, d: S.verdict(_session_rows(s, d), 0.9, 0.75, 0.6).select("session_id", "fires_content", "fires_behavior", "is_attack", "predicted_label"),
@@ -291,11 +301,12 @@ SQL = {
     "a29_rate_by_source": _w("SELECT source, count(*) AS n, round(avg(CAST(score > 0.7 AS DOUBLE)), 6) AS rate FROM scored GROUP BY 1"),
     "a30_ks": _w("SELECT round(max(abs(tp / CAST(p AS DOUBLE) - fp / CAST(n AS DOUBLE))), 6) AS ks FROM cv", CURVE),
     "a31_youden": _w("SELECT score AS threshold, round(g, 6) AS gain FROM (SELECT score, round(tp / CAST(p AS DOUBLE) - fp / CAST(n AS DOUBLE), 12) AS g FROM cv) ORDER BY g DESC, score LIMIT 1", CURVE),
-    "a32_zero_day": _w("SELECT label_name, count(*) AS n, round(avg(CAST(predicted = 'normal' AS DOUBLE)), 6) AS miss_rate, round(avg(CAST(score > 0.8 AS DOUBLE)), 6) AS detection_rate, round(avg(CAST(predicted <> 'normal' OR score > 0.8 AS DOUBLE)), 6) AS covered FROM scored WHERE label_name <> 'normal' GROUP BY 1"),
+    "a32_zero_day": _w("SELECT label_name, count(*) AS n, round(avg(CAST(predicted = 'normal' AS DOUBLE)), 6) AS miss_rate, round(avg(CAST(score > 0.8 AS DOUBLE)), 6) AS detection_rate, round(avg(CAST(predicted <> 'normal' OR score > 0.8 AS DOUBLE)), 6) AS covered, (SELECT string_agg(predicted || ':' || c, ',' ORDER BY predicted) FROM (SELECT predicted, count(*) AS c FROM scored b WHERE b.label_name = a.label_name GROUP BY 1)) AS predictions FROM scored a WHERE label_name <> 'normal' GROUP BY label_name"),
     "a33_ablation": _w(" UNION ALL ".join(f"SELECT '{m}' AS method, label_name, count(*) AS n, round(avg(CAST({c} AS DOUBLE)), 6) AS rate FROM scored GROUP BY 2" for m, c in (("content", "score > 0.9"), ("behaviour", "confidence > 0.9"), ("combined", "(score > 0.9 OR confidence > 0.9)")))),
     "a34_shadow": _w("SELECT count(*) AS n, round(avg(CAST(predicted = b AS DOUBLE)), 6) AS agreement, count(*) FILTER (predicted <> 'normal' AND b = 'normal') AS candidate_allows, count(*) FILTER (predicted = 'normal' AND b <> 'normal') AS candidate_blocks, round(avg(CAST(predicted <> 'normal' AS DOUBLE)), 6) AS champion_block_rate, round(avg(CAST(b <> 'normal' AS DOUBLE)), 6) AS candidate_block_rate FROM (SELECT *, CASE WHEN id % 13 = 0 THEN 'normal' ELSE predicted END AS b FROM scored)"),
     "a40_reference_bins": _w("SELECT feature, CAST(len(e) AS INTEGER) AS edges, round(e[1], 6) AS first, round(list_max(e), 6) AS last FROM pg_e", STREAM + _psi_sql("pg", "all", _REF, FEATURES)),
     "a41_fractions": _w("SELECT w, feature, n, round(cur, 6) AS first_share FROM pg_wf JOIN (SELECT w, feature, CAST(sum(c) AS BIGINT) AS n FROM pg_wc GROUP BY ALL) USING (w, feature) WHERE b = 0", STREAM + _psi_sql("pg", "all", _REF, FEATURES)),
+    "a41_empty_windows": _w("SELECT w, feature, CASE WHEN w % 3 = 2 THEN 0 ELSE n END AS n, round(CASE WHEN w % 3 = 2 THEN 1 / CAST(bins AS DOUBLE) ELSE cur END, 6) AS first_share FROM pg_wf JOIN (SELECT w, feature, CAST(sum(c) AS BIGINT) AS n FROM pg_wc GROUP BY ALL) USING (w, feature) JOIN (SELECT feature, count(*) AS bins FROM pg_b GROUP BY 1) USING (feature) WHERE b = 0", STREAM + _psi_sql("pg", "all", _REF, FEATURES)),
     "a42_psi": _numeric_sql("(a - d) * ln(a / d)", "psi"),
     "a47_kl": _numeric_sql("a * ln(a / d)", "kl"),
     "a43_categorical_psi": _w("SELECT w, v AS psi FROM pp", STREAM + PRED),
@@ -309,7 +320,7 @@ SQL = {
     "w4_w5_steps": _w("SELECT id, session_id, step_index, gap_seconds FROM sess", _sess_sql()),
     "w12_sessions_30min": _w("SELECT session_id, count(*) AS steps FROM sess GROUP BY 1", _sess_sql(1800)),
     "w12_given_sessions": _w("SELECT id, CASE WHEN client % 5 = 0 THEN 's' || client % 10 ELSE session_id END AS session_id FROM sess", _sess_sql(1800)),
-    "a13_session_meta": _w("SELECT top_label, count(*) AS sessions, CAST(sum(steps) AS BIGINT) AS steps FROM srows GROUP BY 1", SROWS),
+    "a13_session_meta": _w("SELECT session_id, count(*) AS steps, arg_min(label_name, step_index) AS session_label, arg_min(source, step_index) AS session_source, CASE WHEN arg_min(position, step_index) < 400 THEN 'early' ELSE 'late' END AS split FROM sess GROUP BY 1", _sess_sql()),
     "a50_a51_collected": _w("SELECT session_id, CAST(count(*) AS INTEGER) AS steps, string_agg(label_name, ' ' ORDER BY step_index) AS session_text FROM sess GROUP BY 1", _sess_sql()),
     "a52_behaviour": _w("SELECT session_id, steps, mean_score, fraction_above FROM srows", SROWS),
     "a53_verdict": _w("SELECT session_id, fires_content, fires_behavior, fires_content OR fires_behavior AS is_attack, CASE WHEN fires_content THEN top_label WHEN fires_behavior THEN 'anomalous_session' ELSE 'benign' END AS predicted_label FROM ver", VERDICT),

@@ -11,6 +11,7 @@ from trafficwarden.operators import metrics as E
 from trafficwarden.operators import models as M
 from trafficwarden.operators.order import kept
 from trafficwarden.plans.text_queries import BIGRAMS, ENTROPY, PLAIN, _c, tagged
+from trafficwarden.plans.traffic import SCORED_SQL, scored
 
 FEATURES = ["length", "special_char_ratio", "entropy", "quote_imbalance"]
 DETECTORS = ["local_outlier_factor", "isolation_forest", "one_class_svm"]
@@ -81,6 +82,36 @@ def _given_scores(s, d):
     return P.matched(kept(long), "name", "score", _positive())
 
 
+def _zero_day(s, d):
+    rows = _corpus(s, d)
+    return M.zero_day_runs(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "label", [1, 2, 3, 4, 5], _detector("isolation_forest")(s, d), threshold=0.55)
+
+
+def _tested(s, d):
+    """Rows with features, parted in training and tested ones."""
+    rows = kept(X.with_features(_corpus(s, d), names=FEATURES).withColumn("length", F.col("length").cast("double")))
+    return rows.filter("split = 'train'"), rows.filter("split = 'test'")
+
+
+def _importance(s, d):
+    train, tested = _tested(s, d)
+    return M.detector_importance(train.filter("not is_attack"), tested, FEATURES, _positive(), ["length"])
+
+
+def _impact(s, d):
+    """A benign pool into which the attacks of one class have leaked, and the pool without them."""
+    train, tested = _tested(s, d)
+    pool = train.filter("not is_attack or label_name = 'stacked'")
+    return M.pool_impact(pool, _positive(), tested, FEATURES, _positive(), logged=["length"], threshold=0.55)
+
+
+def _latency(s, d):
+    """Milliseconds a row of the fitted classifier over the tested rows, in batches."""
+    rows = _corpus(s, d)
+    model, tested = M.fit_classifier(rows.filter("split = 'train'")), rows.filter("split = 'test'")
+    return E.latency(kept(E.scoring_times(lambda df: M.classify(model, df).select("id", "predicted", "confidence"), tested, "id")), "seconds", "rows")
+
+
 QUERIES = {
     "ml1_gram_frequencies": lambda s, d: M.gram_frequencies(tagged(s, d)),
     "ml2_ml3_classify": lambda s, d: _classified(s, d).select("id", "label_name", "predicted", "confidence", "attack_prob", "is_sqli"),
@@ -94,23 +125,41 @@ QUERIES = {
     "ml10_grid_search": lambda s, d: M.grid_search("isolation_forest", *_vectors(s, d), _positive(), {"trees": [10, 30], "sample": [64, 256]}),
     "ml11_compare_detectors": lambda s, d: M.compare_detectors(*_vectors(s, d), _positive(), DETECTORS),
     "l4_best": lambda s, d: M.best(M.grid_search("isolation_forest", *_vectors(s, d), _positive(), {"trees": [10, 30]}), "options", "auc"),
-    "ml12_zero_day": lambda s, d: M.zero_day_runs(_corpus(s, d), "label", [1, 2, 3, 4, 5], _detector("isolation_forest")(s, d), threshold=0.55),
+    "ml12_zero_day": _zero_day,
     "ml13_univariate_ks": lambda s, d: P.univariate(X.with_features(tagged(s, d), names=SEARCHED), SEARCHED, _positive()),
     "ml13_subsets": _subsets,
     "ml13_given_scores": _given_scores,
-    "a36_permutation": lambda s, d: E.permutation_importance(X.with_features(tagged(s, d), names=FEATURES).withColumn("length", F.col("length").cast("double")), ["special_char_ratio", "quote_imbalance"], "id", lambda df: df.withColumn("score", F.col("special_char_ratio") + F.col("quote_imbalance") / 4), _positive()),
-    "a37_impact": lambda s, d: M.impact(_detector("isolation_forest")(s, d).withColumn("anomaly_score", F.col("anomaly_score") - 0.55), _detector("isolation_forest", sample=64)(s, d).withColumn("anomaly_score", F.col("anomaly_score") - 0.55), _positive()),
+    "a35_scoring_latency": _latency,
+    "a36_permutation": _importance,
+    "a36_given_scores": lambda s, d: E.permutation_importance(X.with_features(tagged(s, d), names=FEATURES).withColumn("length", F.col("length").cast("double")), ["special_char_ratio", "quote_imbalance"], "id", lambda df: df.withColumn("score", F.round(F.col("special_char_ratio") + F.col("quote_imbalance") / 4, 6)), _positive()),
+    "a37_impact": _impact,
+    "a37_given_scores": lambda s, d: M.impact(scored(s, d).select("id", "is_attack", F.round(F.col("score") - 0.9, 6).alias("anomaly_score")), scored(s, d).select("id", "is_attack", F.round(F.col("score") * 0.9 + F.col("confidence") * 0.1 - 0.9, 6).alias("anomaly_score")), _positive()),
     "m16_fragment_sessions": lambda s, d: C.fragment_sessions(tagged(s, d).filter("is_attack"), "query_raw", "id"),
 }
 
 _VALUES = "WITH " + _c("").removeprefix("WITH ") + ", q AS (SELECT id, is_attack, query_canonical AS t FROM canon), " + ENTROPY + ", " + BIGRAMS + f""",
-v AS (SELECT q.is_attack, {', '.join(f"CAST({PLAIN[f]} AS DOUBLE) AS {f}" for f in SEARCHED if f in PLAIN)}, coalesce(round(en.v, 6), 0.0) AS entropy, coalesce(round(be.v, 6), 0.0) AS bigram_entropy FROM q LEFT JOIN en USING (id) LEFT JOIN be USING (id))"""
+v AS (SELECT q.id, q.is_attack, {', '.join(f"CAST({PLAIN[f]} AS DOUBLE) AS {f}" for f in SEARCHED if f in PLAIN)}, coalesce(round(en.v, 6), 0.0) AS entropy, coalesce(round(be.v, 6), 0.0) AS bigram_entropy FROM q LEFT JOIN en USING (id) LEFT JOIN be USING (id))"""
 _SETS = "[" + ", ".join("{'n': '" + n + "', 's': round(" + " + ".join(f"{f} / 100.0::DOUBLE" if f in P.LOGGED else f for f in of) + ", 6)}" for n, of in P.feature_sets().items()) + "]"
 _CELLS = """, c AS (SELECT g, x, CAST(count(*) FILTER (is_attack) AS DOUBLE) AS p, CAST(count(*) FILTER (NOT is_attack) AS DOUBLE) AS n FROM l GROUP BY g, x),
 w AS (SELECT *, sum(p) OVER o AS cp, sum(n) OVER o AS cn, sum(p) OVER (PARTITION BY g) AS tp, sum(n) OVER (PARTITION BY g) AS tn FROM c WINDOW o AS (PARTITION BY g ORDER BY x)),
 m AS (SELECT g, round(sum(p * (cn - n / 2)) / any_value(tp * tn), 6) AS auc, round(max(abs(cp / tp - cn / tn)), 6) AS ks FROM w GROUP BY g)"""
 
+
+def _shuffled_sql():
+    """AUC that is lost when one of two columns is shuffled by ranks of SHA-256."""
+    rank = lambda seed: f"row_number() OVER (ORDER BY substr(sha256('{seed}:' || id), 1, 16), id)"
+    columns = ["special_char_ratio", "quote_imbalance"]
+    tables = [f"r{i} AS (SELECT a.id, a.is_attack, b.y AS {c}, a.{columns[1 - i]} FROM (SELECT *, {rank(f'{i}:rows')} AS k FROM v) a JOIN (SELECT {c} AS y, {rank(f'{i}:values')} AS k FROM v) b USING (k))" for i, c in enumerate(columns)]
+    long = " UNION ALL ".join(f"SELECT '{g}' AS g, is_attack, round(special_char_ratio + quote_imbalance / 4, 6) AS x FROM {t}" for g, t in (("", "v"), (columns[0], "r0"), (columns[1], "r1")))
+    return _VALUES + ", " + ", ".join(tables) + f", l AS ({long})" + _CELLS + " SELECT g AS feature, round((SELECT auc FROM m WHERE g = '') - auc, 6) AS \"drop\" FROM m WHERE g <> ''"
+
+
+_IMPACT = "round(avg(CAST(x > 0 AS DOUBLE)) FILTER (NOT is_attack), 6) AS fpr, round(avg(CAST(x > 0 AS DOUBLE)) FILTER (is_attack), 6) AS detection_rate, " + ", ".join(f"round(quantile_cont(x, {p}) FILTER (NOT is_attack), 6) AS {n}" for p, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))) + ", round(max(x) FILTER (NOT is_attack), 6) AS largest, round(avg(x) FILTER (NOT is_attack), 6) AS mean"
+_MEASURES = ["fpr", "detection_rate", "p50", "p90", "p99", "largest", "mean"]
+
 SQL = {
+    "a36_given_scores": _shuffled_sql(),
+    "a37_given_scores": f"WITH {SCORED_SQL}, l AS (SELECT 'current' AS pool, is_attack, round(score - 0.9::DOUBLE, 6) AS x FROM scored UNION ALL SELECT 'cleaned', is_attack, round(score * 0.9::DOUBLE + confidence * 0.1::DOUBLE - 0.9::DOUBLE, 6) FROM scored), p AS (SELECT pool, {_IMPACT} FROM l GROUP BY pool) SELECT * FROM p UNION ALL SELECT 'difference', " + ", ".join(f"round(a.{m} - b.{m}, 6)" for m in _MEASURES) + " FROM p a, p b WHERE a.pool = 'cleaned' AND b.pool = 'current'",
     "ml1_gram_frequencies": _c(r", w AS (SELECT id, ' ' || unnest(regexp_extract_all(query_canonical, '\S+')) || ' ' AS t FROM canon), g AS (SELECT id, substr(t, i, n) AS gram FROM w, range(2, 5) a(n), range(1, 400) b(i) WHERE n <= length(t) AND i <= length(t) - n + 1) SELECT gram, count(DISTINCT id) AS df, count(*) AS tf, round(ln(((SELECT count(*) FROM canon) + 1) / CAST(count(DISTINCT id) + 1 AS DOUBLE)) + 1, 6) AS idf FROM g GROUP BY gram"),
     "ml5_scaling": "WITH r AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS q, ln(1 + CAST(l_extendedprice AS DOUBLE)) AS p FROM lineitem), f AS (SELECT avg(q) AS mq, stddev_pop(q) AS sq, avg(p) AS mp, stddev_pop(p) AS sp FROM r WHERE q > 10) SELECT l_orderkey, l_linenumber, round((q - mq) / sq, 6) AS q, round((p - mp) / sp, 6) AS p FROM r, f",
     "ml6_lof_parts": """WITH v AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS a, CAST(p_retailprice AS DOUBLE) / 50 AS b FROM part),

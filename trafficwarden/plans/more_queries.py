@@ -122,7 +122,7 @@ def _dataset(s, d):
 
 def _fragments(s, d):
     rows = traffic(s, d).select("id", "query_raw", T.fragments(F.col("query_raw"), 4).alias("f"))
-    return rows.select("id", (F.size("f") <= 4).alias("few"), F.regexp_replace(F.array_join("f", ""), r"\s+", "").alias("joined"))
+    return rows.select("id", F.size("f").alias("n"), F.array_contains(F.transform("f", lambda p: F.trim(p) == ""), True).alias("blank"), F.regexp_replace(F.array_join("f", ""), r"\s+", "").alias("joined"))
 
 
 def _day_sessions(s, d):
@@ -309,7 +309,7 @@ SQL = {
     "s8_ledger": f"{_SC} SELECT id, predicted AS action FROM scored",
     "s9_missing_ledger": f"{_SC} SELECT predicted AS action, count(*) AS n FROM scored GROUP BY 1",
     "s11_reports": f"{_SC} SELECT label_name, count(*) AS n, form FROM scored, (VALUES ('json'), ('csv')) f(form) GROUP BY ALL",
-    "p17_fragments": rf"{_T} SELECT id, true AS few, regexp_replace(query_raw, '\s+', '', 'g') AS joined FROM traffic",
+    "p17_fragments": rf"{_T} SELECT id, CAST(least(4, len(regexp_extract_all(query_raw, '[(),;]|[^\s(),;]+'))) AS INTEGER) AS n, false AS blank, regexp_replace(query_raw, '\s+', '', 'g') AS joined FROM traffic",
     "p35_prefixed_columns": "SELECT l_orderkey, l_linenumber, l_linestatus FROM lineitem",
     "j6_session_leakage": _T + r""", s0 AS (SELECT *, client || ':' || strftime(ts, '%Y-%m-%d') AS sid FROM traffic),
 s AS (SELECT *, CASE WHEN CAST('0x' || substr(sha256('0:' || sid), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.3 THEN 'test' ELSE 'train' END AS split, max(CAST(is_attack AS INT)) OVER (PARTITION BY sid) AS lab, nullif(regexp_extract(query_raw, 'username\s*=\s*''([^'']+)''', 1), '') AS target FROM s0),
