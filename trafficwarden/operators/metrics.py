@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trafficwarden.operators.order import quantiles, running_sums, with_position
+from trafficwarden.operators.order import kept, quantiles, running_sums, with_position
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -204,6 +204,7 @@ def permutation_importance(df: DataFrame, features: list[str], key: str, score,
     """feature, drop: how much AUC is lost when a feature is shuffled; score(df) adds the column score."""
     from functools import reduce
 
+    df = kept(df)  # each feature reads the rows twice
     base = auc(score(df), "score", positive).withColumnRenamed("auc", "_base")
     rows = [auc(score(permuted(df, f, key, i)), "score", positive).join(F.broadcast(base)).select(F.lit(f).alias("feature"), F.round(F.col("_base") - F.col("auc"), 6).alias("drop")) for i, f in enumerate(features)]
     return reduce(DataFrame.unionByName, rows)
