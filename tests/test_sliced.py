@@ -83,3 +83,21 @@ def test_dump_larger_than_a_task(slices, tmp_path):
         parts = [p for p in re.split(r"(?m)(?=^(?:GET|POST|PUT) )", text) if re.match("(?:GET|POST|PUT) ", p)]
         want |= {(name, i, p.strip("\n")) for i, p in enumerate(parts)}
     assert {(r.file.split("/")[-1], r.position, r.raw_request) for r in got.collect()} == want and len(want) == 642
+
+
+def test_ledger_files_follow_the_rows(spark, tmp_path):
+    """A small append is one file, a large one several; none is made in a single task."""
+    few, many = str(tmp_path / "few"), str(tmp_path / "many")
+    kind = "id long, action string"
+    S.append_ledger(spark.range(50, numPartitions=8).withColumn("action", F.lit("x")).select("id", "action"), few)
+    assert len(spark.read.schema(kind).json(few).inputFiles()) == 1
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "16k")
+    try:
+        for low in (0, 20_000):
+            S.append_ledger(spark.range(low, low + 20_000, numPartitions=8).withColumn("action", F.sha2(F.col("id").cast("string"), 256)), many)
+    finally:
+        spark.conf.set(size, before)
+    found = S.read_ledger(spark, many, kind)
+    assert len(found.inputFiles()) > 4 and found.count() == found.distinct().count() == 40_000

@@ -83,8 +83,8 @@ QUERIES = {
     "f5_flagged": lambda s, d: C.flagged(scored(s, d)).select("id", "review_source"),
     "w1_keep_first": lambda s, d: C.keep_first(corpus(s, d), ["query_raw"], ["position"]).select("id", "query_raw"),
     "w2_keep_last": lambda s, d: C.keep_first(corpus(s, d), ["query_raw"], ["position"], descending=True).select("id", "query_raw"),
-    "w9_position": lambda s, d: with_position(s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], bucket=F.floor(F.col("o_totalprice") / 10000)).select("o_orderkey", "position"),
-    "s7_dataset_ids": lambda s, d: with_position(split(s, d), ["split", "position"], "row_id", F.col("split")).select("id", "split", "row_id"),
+    "w9_position": lambda s, d: with_position(s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select("o_orderkey", "position"),
+    "s7_dataset_ids": lambda s, d: with_position(split(s, d), ["split", "position"], "row_id").select("id", "split", "row_id"),
     "m1_undersample": lambda s, d: counts(C.undersample(s.read.parquet(f"{d}/documents.parquet"), "lang", 40, "doc_id"), "lang", "doc_id"),
     "m2_stratified_split": lambda s, d: split(s, d).select("id", "split"),
     "m3_random_split": lambda s, d: C.random_split(s.read.parquet(f"{d}/documents.parquet"), "doc_id", 0.3, 5).select("doc_id", "split"),

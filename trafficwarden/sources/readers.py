@@ -90,8 +90,8 @@ def write_dataset(df: DataFrame, path: str, by: str = "split") -> None:
 
 
 def append_ledger(df: DataFrame, path: str) -> None:
-    """Rows as JSON lines at the end of a ledger; df is brought to its least number of files."""
-    df.coalesce(1).write.mode("append").json(path)
+    """Rows as JSON lines at the end of a ledger, in files of even size: one for a few rows, more for many."""
+    df.hint("rebalance").write.mode("append").json(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -111,6 +111,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, form: str = "json") -> None:
-    """A metric table as JSON lines or CSV with a header."""
-    writer = df.coalesce(1).write.mode("overwrite")
+    """A metric table (a few rows, one file) as JSON lines or CSV with a header; what makes it runs in parallel."""
+    writer = df.repartition(1).write.mode("overwrite")
     writer.json(path) if form == "json" else writer.option("header", True).csv(path)
