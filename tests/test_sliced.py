@@ -86,7 +86,7 @@ def test_dump_larger_than_a_task(slices, tmp_path):
 
 
 def test_ledger_files_follow_the_rows(spark, tmp_path):
-    """A small append is one file, a large one several; none is made in a single task."""
+    """A small append is one file, a large one several."""
     few, many = str(tmp_path / "few"), str(tmp_path / "many")
     kind = "id long, action string"
     S.append_ledger(spark.range(50, numPartitions=8).withColumn("action", F.lit("x")).select("id", "action"), few)
