@@ -128,7 +128,9 @@ def replay(stream: DataFrame, features: list[str], size: int, baseline: int, bin
         mean("all", features).alias("global"), mean("hit", features).alias("attack_subpop"), mean("all", ["confidence"]).alias("confidence"),
         mean("hit", ["confidence"]).alias("own"), mean("mix", ["confidence"]).alias("other"))
     refs = ref.agg(F.count_if(flagged).alias("ref_flagged"))  # one row
-    base = rows.groupBy("window").agg(F.min("phase").alias("phase"), F.count("*").alias("n"), F.count_if(flagged).alias("flagged"), F.round(F.mean(flagged.cast("double")), 6).alias("block"), F.round(F.mean((F.col("confidence") < 0.6).cast("double")), 6).alias("low_confidence"), F.round(F.mean("confidence"), 6).alias("mean_confidence"), F.max("position").alias("last"))
+    # a mean of doubles depends on their order: each window is added up from its first row to its last
+    ordered = rows.select("window", "position", "phase", "predicted", "confidence").repartition("window").sortWithinPartitions("window", "position")
+    base = ordered.groupBy("window").agg(F.min("phase").alias("phase"), F.count("*").alias("n"), F.count_if(flagged).alias("flagged"), F.round(F.mean(flagged.cast("double")), 6).alias("block"), F.round(F.mean((F.col("confidence") < 0.6).cast("double")), 6).alias("low_confidence"), F.round(F.mean("confidence"), 6).alias("mean_confidence"), F.max("position").alias("last"))
     out = base.join(F.broadcast(refs))
     out = out.join(means, "window", "left")
     out = out.join(psi_categorical(shares(rows, keep, "predicted"), shares(ref, [], "predicted"), keep, "predicted").withColumnRenamed("psi", "prediction"), "window", "left")
