@@ -172,9 +172,9 @@ def shadow_report(champion: DataFrame, candidate: DataFrame, key: str = "id") ->
 
 
 def latency(timings: DataFrame, seconds: str, rows: str) -> DataFrame:
-    """One row: p50 and p95 of milliseconds a row over batches timed."""
+    """One row: p50 and p95 of milliseconds a row over batches timed; no task holds the different values of all batches."""
     ms = F.col(seconds) * 1000 / F.col(rows)
-    return timings.agg(F.percentile(ms, F.array(F.lit(0.5), F.lit(0.95))).alias("q")).select(F.round(F.col("q")[0], 6).alias("p50_ms"), F.round(F.col("q")[1], 6).alias("p95_ms"))
+    return quantiles(timings.select(ms.alias("_ms")), [], "_ms", [0.5, 0.95]).select(F.round(F.col("q")[0], 6).alias("p50_ms"), F.round(F.col("q")[1], 6).alias("p95_ms"))
 
 
 def scoring_times(score, df: DataFrame, key: str, batches: int = 8) -> DataFrame:
