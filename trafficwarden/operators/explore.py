@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficwarden.operators.models import fit_scaling, scaled
-from trafficwarden.operators.order import kept, quantiles, running_sums
+from trafficwarden.operators.order import kept, quantiles, running_sums, spread
 
 BASE = ["length", "special_char_ratio", "sql_keyword_count", "entropy"]
 CANDIDATES = ["quote_imbalance", "bigram_entropy", "same_type_run_ratio", "max_token_length"]
@@ -34,13 +34,23 @@ def feature_sets(base: list[str] = BASE, candidates: list[str] = CANDIDATES) ->
     return out
 
 
+def _cells(long: DataFrame, by: str, score: str, positive: Column, rows: str | None = None) -> DataFrame:
+    """_g, _s, and how many rows of the group and score are positive (_pos) and not (_neg); a row of long counts as often as the column rows says."""
+    n = F.col(rows) if rows else F.lit(1)
+    some = long.select(F.col(by).alias("_g"), F.col(score).cast("double").alias("_s"), positive.alias("_p"), n.cast("long").alias("_n")).filter("_s is not null and _g is not null")
+    count = lambda c, out: F.sum(F.when(c, F.col("_n")).otherwise(0)).alias(out)
+    return some.groupBy("_g", "_s").agg(count(F.col("_p"), "_pos"), count(~F.col("_p"), "_neg"))
+
+
 def curves(long: DataFrame, by: str, score: str, positive: Column) -> DataFrame:
     """by, auc (ties count half), ks, p, n of every group; rows of a null score or group are left out, measures of a group without both kinds are null.
 
     Cells of equal scores are counted first; groups stand one after the other in a global order, so neither a group nor a score meets in one task.
     """
-    cells = long.select(F.col(by).alias("_g"), F.col(score).cast("double").alias("_s"), positive.alias("_p")).filter("_s is not null and _g is not null")
-    cells = cells.groupBy("_g", "_s").agg(F.count_if("_p").alias("_pos"), F.count_if(~F.col("_p")).alias("_neg"))
+    return _curves(_cells(long, by, score, positive), by)
+
+
+def _curves(cells: DataFrame, by: str) -> DataFrame:
     cells = kept(running_sums(cells, ["_g", "_s"], {"_cp": F.col("_pos"), "_cn": F.col("_neg")}))
     # what the groups in front add up to; a row for each group
     ends = cells.groupBy("_g").agg(F.sum("_pos").alias("p"), F.sum("_neg").alias("n"), F.max("_cp").alias("_ep"), F.max("_cn").alias("_en"))
@@ -54,13 +64,17 @@ def curves(long: DataFrame, by: str, score: str, positive: Column) -> DataFrame:
     return out.select(F.col("_g").alias(by), F.round(auc, 6).alias("auc"), F.round("_gap", 6).alias("ks"), "p", "n")
 
 
-def matched(long: DataFrame, by: str, score: str, positive: Column, quantile: float = 0.95) -> DataFrame:
-    """by, threshold (the quantile of the benign scores), fpr and detection_rate strictly above it, auc, ks of every group."""
-    limits = quantiles(long.filter(~positive), [by], score, [quantile]).select(by, F.col("q")[0].alias("_t"))
-    over = long.filter(F.col(score).isNotNull()).join(F.broadcast(limits), by)  # a row for each group
-    rate = lambda which: F.round(F.mean(F.when(which, (F.col(score) > F.col("_t")).cast("double"))), 6)
-    rates = over.groupBy(by).agg(F.round(F.max("_t"), 6).alias("threshold"), rate(~positive).alias("fpr"), rate(positive).alias("detection_rate"))
-    return rates.join(curves(long, by, score, positive).select(by, "auc", "ks"), by)
+def matched(long: DataFrame, by: str, score: str, positive: Column, quantile: float = 0.95, rows: str | None = None) -> DataFrame:
+    """by, threshold (the quantile of the benign scores), fpr and detection_rate strictly above it, auc, ks of every group.
+
+    long is read once: all is found from its counts by group and score. With ``rows`` each of its rows counts as often as that column says.
+    """
+    cells = kept(_cells(long, by, score, positive, rows))
+    limits = quantiles(cells.filter("_neg > 0"), ["_g"], "_s", [quantile], rows="_neg").select("_g", F.col("q")[0].alias("_t"))
+    over = cells.join(F.broadcast(limits), "_g")  # a row for each group
+    rate = lambda n: F.round(F.sum(F.when(F.col("_s") > F.col("_t"), F.col(n)).otherwise(0)) / F.nullif(F.sum(n).cast("double"), F.lit(0.0)), 6)
+    rates = over.groupBy(F.col("_g").alias(by)).agg(F.round(F.max("_t"), 6).alias("threshold"), rate("_neg").alias("fpr"), rate("_pos").alias("detection_rate"))
+    return rates.join(_curves(cells, by).select(by, "auc", "ks"), by)
 
 
 def univariate(df: DataFrame, features: list[str], positive: Column) -> DataFrame:
@@ -75,26 +89,26 @@ def _expanded(x: np.ndarray, turns: np.ndarray, shift: np.ndarray) -> np.ndarray
     return np.sqrt(2 / len(shift)) * np.cos(np.einsum("nd,sdf->snf", x, turns, optimize=True) + shift)
 
 
-def fit_svms(train: DataFrame, masks: np.ndarray, nu: float = 0.05, gamma: float = 0.5, features: int = 64, iterations: int = 15, x: str = "x", seed: int = 0) -> dict:
-    """A one-class SVM over random Fourier features for each row of masks (which dimensions of x it sees)."""
+def fit_svms(train: DataFrame, masks: np.ndarray, nu: float = 0.05, gamma: float = 0.5, features: int = 64, iterations: int = 15, x: str = "x", seed: int = 0, rows: str | None = None) -> dict:
+    """A one-class SVM over random Fourier features for each row of masks (which dimensions of x it sees). With ``rows`` each row counts as often as that column says."""
     rng = np.random.default_rng(seed)
     sets, dims = masks.shape
     turns = (rng.standard_normal((dims, features)) * np.sqrt(2 * gamma))[None] * masks[:, :, None]
     shift = rng.uniform(0, 2 * np.pi, features)
-    rows = train.select(x)
+    vectors = train.select(x, (F.col(rows) if rows else F.lit(1)).cast("double").alias("_rows"))
 
     def sums(w: np.ndarray, rho: np.ndarray):
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, inside, n = np.zeros((sets, features)), np.zeros(sets, np.int64), 0
+            total, inside, n = np.zeros((sets, features)), np.zeros(sets), 0.0
             for part in parts:
                 for at in range(0, len(part), 512):
-                    z = _expanded(np.stack(part[x].to_numpy()[at : at + 512]), turns, shift)
-                    low = np.einsum("snf,sf->sn", z, w) < rho[:, None]
-                    total += np.einsum("snf,sn->sf", z, low.astype(float))
-                    inside, n = inside + low.sum(1), n + z.shape[1]
-            yield pd.DataFrame({"no": np.arange(sets), "g": total.tolist(), "low": inside, "n": n})
+                    z, times = _expanded(np.stack(part[x].to_numpy()[at : at + 512]), turns, shift), part["_rows"].to_numpy()[at : at + 512]
+                    low = (np.einsum("snf,sf->sn", z, w) < rho[:, None]) * times
+                    total += np.einsum("snf,sn->sf", z, low)
+                    inside, n = inside + low.sum(1), n + times.sum()
+            yield pd.DataFrame({"no": np.arange(sets), "g": total.tolist(), "low": inside.astype(np.int64), "n": int(n)})
 
-        each = rows.mapInPandas(run, "no int, g array<double>, low long, n long")
+        each = vectors.mapInPandas(run, "no int, g array<double>, low long, n long")
         added = each.groupBy("no").agg(F.sum("low").alias("low"), F.sum("n").alias("n"), *[F.sum(F.col("g")[i]).alias(f"g{i}") for i in range(features)])
         got = sorted(added.collect())  # a row for each set
         if not got:
@@ -130,15 +144,17 @@ def explore(train: DataFrame, tested: DataFrame, positive: Column, sets: dict[st
     """name, features, threshold, fpr, detection_rate, auc, ks for every set of features.
 
     Each detector learns from the (benign) training rows; its threshold is the 95th percentile of the
-    benign tested scores. Both tables have all features as columns, without nulls. An empty training
-    table gives detectors that know nothing, an empty tested one no rows.
+    benign tested scores. Equal vectors are fitted and scored once, as one row of their number. Both tables
+    have all features as columns, without nulls. An empty training table gives detectors that know
+    nothing, an empty tested one no rows.
     """
     sets = feature_sets() if sets is None else sets
     names = list(dict.fromkeys(f for of in sets.values() for f in of))
     scaling = fit_scaling(train, names, [f for f in (LOGGED if logged is None else logged) if f in names])
     masks = np.array([[float(f in of) for f in names] for of in sets.values()])
-    model = fit_svms(kept(scaled(train, scaling).select("x")), masks)
-    long = svms_scores(scaled(tested, scaling).select("x", positive.alias("positive")), model)
-    long = kept(long.select("positive", F.posexplode("scores").alias("no", "score")))
+    count = F.count("*").alias("rows")
+    model = fit_svms(kept(spread(scaled(train, scaling).groupBy("x").agg(count))), masks, rows="rows")
+    vectors = spread(scaled(tested, scaling).groupBy("x", positive.alias("positive")).agg(count))
+    long = svms_scores(vectors, model).select("positive", "rows", F.posexplode("scores").alias("no", "score"))
     given = tested.sparkSession.createDataFrame([(i, n, of) for i, (n, of) in enumerate(sets.items())], "no int, name string, features array<string>")
-    return matched(long, "no", "score", F.col("positive")).join(F.broadcast(given), "no").select("name", "features", "threshold", "fpr", "detection_rate", "auc", "ks")
+    return matched(long, "no", "score", F.col("positive"), rows="rows").join(F.broadcast(given), "no").select("name", "features", "threshold", "fpr", "detection_rate", "auc", "ks")

@@ -90,15 +90,22 @@ def in_groups(df: DataFrame, group: str, keys: list[str], before: str, value: Co
     return rows.withColumn(out, total).drop("_part", "_head", "_tail", "_met", "_last", "_value", "_carry")
 
 
-def quantiles(df: DataFrame, by: list[str], x: str, probabilities: list[float], out: str = "q") -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out to all cores: for small rows with much work on each, which would otherwise lie in few parts."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def quantiles(df: DataFrame, by: list[str], x: str, probabilities: list[float], out: str = "q", rows: str | None = None) -> DataFrame:
     """by, out: the exact quantiles of x in each group (nulls left out), between two rows interpolated; a row for each group with a value.
 
+    With ``rows`` each row counts as often as that column says.
+
     Distinct values are counted first and dealt out in ranges over all groups, so neither a large
     group nor a frequent value meets in one task. From the totals of the ranges it is known which of
     them hold a quantile; only their values are ordered. Without ``by`` the result is one row, of
     null where no row has a value.
     """
-    cells = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    cells = df.filter(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.sum(rows).alias("_c") if rows else F.count("*").alias("_c"))
     cells = kept(cells.repartitionByRange(*by, "_x").withColumn("_part", F.spark_partition_id()))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # a row for each range
     ranges = cells.groupBy("_part", *by).agg(F.sum("_c").alias("_t"))

@@ -9,7 +9,7 @@ from trafficwarden.operators import curate as C
 from trafficwarden.operators import explore as P
 from trafficwarden.operators import metrics as E
 from trafficwarden.operators import models as M
-from trafficwarden.operators.order import kept
+from trafficwarden.operators.order import kept, spread
 from trafficwarden.plans.text_queries import BIGRAMS, ENTROPY, PLAIN, _c, tagged
 from trafficwarden.plans.traffic import SCORED_SQL, scored
 
@@ -75,11 +75,11 @@ def _subsets(s, d):
 
 def _given_scores(s, d):
     """The measures of the 70 sets, with the sum of a set's features (lengths in hundreds) as score."""
-    rows = kept(X.with_features(tagged(s, d), names=SEARCHED))
+    rows = X.with_features(tagged(s, d), names=SEARCHED).groupBy("is_attack", *SEARCHED).agg(F.count("*").alias("rows"))
     value = lambda f: F.col(f) / 100.0 if f in P.LOGGED else F.col(f)
     pairs = [F.struct(F.lit(n).alias("name"), F.round(reduce(lambda a, b: a + b, map(value, of)), 6).alias("score")) for n, of in P.feature_sets().items()]
-    long = rows.select("is_attack", F.explode(F.array(*pairs)).alias("v")).select("is_attack", "v.*")
-    return P.matched(kept(long), "name", "score", _positive())
+    long = spread(rows).select("is_attack", "rows", F.explode(F.array(*pairs)).alias("v")).select("is_attack", "rows", "v.*")
+    return P.matched(long, "name", "score", _positive(), rows="rows")
 
 
 def _zero_day(s, d):
