@@ -72,46 +72,79 @@ def sustained_breaches(signals: DataFrame, threshold: float = 0.2, sustained: in
 
 
 class Holds(StatefulProcessor):
-    """For each id: when its hold is due, then, for as long again, that it has its outcome. A timer each."""
+    """For the ids of a group: when each one's hold is due, then, for as long again, that it has its outcome.
+
+    A group has one list and one timer, at the first of its times: calls to the state server are a few
+    for each group and batch, not for each id. The list holds what waits, or came in the last batch.
+    """
 
     def __init__(self, wait: int):
         self.wait = wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.hold = handle.getValueState("hold", "at long, settled boolean")
-
-    def _remember(self, at: int, settled: bool) -> None:
-        before = self.hold.get()
-        if before is not None:
-            self.handle.deleteTimer(before[0])
-        self.hold.update((at, settled))
-        self.handle.registerTimer(at)
+        self.holds = handle.getListState("holds", "id string, at long, settled boolean")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _held(self) -> dict[str | None, tuple[int, bool]]:
+        return {i: (at, settled) for i, at, settled in self.holds.get()}
+
+    def _remember(self, held: dict[str | None, tuple[int, bool]], expired: int | None = None, least: int | None = None) -> None:
+        """Keep the list and set the timer, not before least; an expired one is gone by itself."""
+        if held:
+            self.holds.put([(i, at, settled) for i, (at, settled) in held.items()])
+        else:
+            self.holds.clear()
+        before = self.timer.get()
+        before, due = before[0] if before else None, min((at for at, _ in held.values()), default=None)
+        due = max(due, least) if due is not None and least is not None else due
+        if before == due and before != expired:
+            return
+        if before is not None and before != expired:
+            self.handle.deleteTimer(before)
+        if due is None:
+            self.timer.clear()
+        else:
+            self.timer.update((due,))
+            self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first: dict[bool, tuple[int, str]] = {}  # of the holds and of the decisions
+        came: dict[str | None, dict[bool, tuple[int, str]]] = {}  # the first of the holds and of the decisions of each id
         for part in rows:
-            for at, kind in zip(part["ms"].tolist(), part["kind"].tolist()):
+            for i, at, kind in zip(part["id"].tolist(), part["ms"].tolist(), part["kind"].tolist()):
+                first = came.setdefault(i, {})
                 first[kind == "hold"] = min((at, kind), first.get(kind == "hold", (at, kind)))
-        at, settled = self.hold.get() or (None, False)
-        if settled or not first:
-            return
-        due = at if at is not None else first[True][0] + self.wait if True in first else None
-        if False in first:
-            when, kind = first[False]
-            self._remember(when + self.wait, True)
-            yield pd.DataFrame({"id": [key[0]], "outcome": ["deny" if due is not None and when > due else kind]})
-        elif at is None:
-            self._remember(due, False)
+        held, out = self._held(), []
+        for i, first in came.items():
+            at, settled = held.get(i, (None, False))
+            if settled:
+                continue
+            due = at if at is not None else first[True][0] + self.wait if True in first else None
+            if False in first:
+                when, kind = first[False]
+                held[i] = (when + self.wait, True)
+                out.append((i, "deny" if due is not None and when > due else kind))
+            elif at is None:
+                held[i] = (due, False)
+        self._remember(held)
+        if out:
+            yield pd.DataFrame(out, columns=["id", "outcome"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, settled = self.hold.get()
-        if settled:
-            self.hold.clear()
-            return
-        self.hold.update((at + self.wait, True))
-        self.handle.registerTimer(at + self.wait)
-        yield pd.DataFrame({"id": [key[0]], "outcome": ["deny"]})
+        now, held, out = timerValues.getCurrentWatermarkInMs(), {}, []
+        for i, (at, settled) in self._held().items():
+            if at > now:
+                held[i] = (at, settled)
+            elif not settled:
+                held[i] = (at + self.wait, True)
+                out.append((i, "deny"))
+        self._remember(held, expiredTimerInfo.getExpiryTimeInMs(), now + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["id", "outcome"])
+
+
+#: Groups of ids that share a list and a timer.
+GROUPS = 1024
 
 
 def hold_timeouts(stream: DataFrame, seconds: int = 300, late: str = "1 minute") -> DataFrame:
@@ -123,5 +156,6 @@ def hold_timeouts(stream: DataFrame, seconds: int = 300, late: str = "1 minute")
     """
     use_rocks(stream.sparkSession)
     # milliseconds come from Spark: times in Python have no zone
-    rows = stream.filter("ts is not null and kind is not null").withWatermark("ts", late).select("id", "ts", "kind", F.unix_millis("ts").alias("ms"))
-    return rows.groupBy("id").transformWithStateInPandas(Holds(seconds * 1000), "id long, outcome string", "append", "EventTime")
+    rows = stream.filter("ts is not null and kind is not null").withWatermark("ts", late).select(F.pmod(F.xxhash64("id"), F.lit(GROUPS)).alias("of"), F.col("id").cast("string").alias("id"), "ts", "kind", F.unix_millis("ts").alias("ms"))
+    found = rows.groupBy("of").transformWithStateInPandas(Holds(seconds * 1000), "id string, outcome string", "append", "EventTime")
+    return found.select(F.col("id").cast("long").alias("id"), "outcome")
