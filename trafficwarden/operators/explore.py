@@ -154,7 +154,8 @@ def explore(train: DataFrame, tested: DataFrame, positive: Column, sets: dict[st
     masks = np.array([[float(f in of) for f in names] for of in sets.values()])
     count = F.count("*").alias("rows")
     model = fit_svms(kept(spread(scaled(train, scaling).groupBy("x").agg(count))), masks, rows="rows")
-    vectors = spread(scaled(tested, scaling).groupBy("x", positive.alias("positive")).agg(count))
+    # kept: scores of a grouping column would be found before the rows are grouped
+    vectors = kept(spread(scaled(tested, scaling).groupBy("x", positive.alias("positive")).agg(count)))
     long = svms_scores(vectors, model).select("positive", "rows", F.posexplode("scores").alias("no", "score"))
     given = tested.sparkSession.createDataFrame([(i, n, of) for i, (n, of) in enumerate(sets.items())], "no int, name string, features array<string>")
     return matched(long, "no", "score", F.col("positive"), rows="rows").join(F.broadcast(given), "no").select("name", "features", "threshold", "fpr", "detection_rate", "auc", "ks")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trafficwarden.functions.text import LABELS
 from trafficwarden.operators.metrics import youden
-from trafficwarden.operators.order import in_groups, quantiles
+from trafficwarden.operators.order import in_groups, kept, quantiles
 
 
 def with_steps(df: DataFrame, session: str = "session_id", ts: str = "ts", tie: str = "id") -> DataFrame:
@@ -64,7 +64,7 @@ def calibrate(steps: DataFrame, sessions: DataFrame, percentile: float = 0.9, sc
     limit = steps.join(sessions.select("session_id", "label"), "session_id").filter("label = 0")
     limit = quantiles(limit, [], score, [percentile]).select(F.col("q")[0].alias("per_query"))  # one row
     per = steps.join(F.broadcast(limit)).groupBy("session_id").agg(F.round(F.mean(score), 6).alias("mean_score"), F.round(F.mean((F.col(score) > F.col("per_query")).cast("double")), 6).alias("fraction_above"))
-    rows = per.join(sessions, "session_id")
+    rows = kept(per.join(sessions, "session_id"))  # three thresholds are found in it
     attack = F.col("label") != 0
     found = [youden(rows, v, attack).select(F.col("threshold").alias(n)) for n, v in (("mean", "mean_score"), ("fraction", "fraction_above"), ("content", "attack_prob"))]
     out = limit.select(F.round("per_query", 6).alias("per_query"))
