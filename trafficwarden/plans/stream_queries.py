@@ -1,5 +1,6 @@
 """Streaming jobs run over the derived traffic as a bounded stream, in batch where the result is the same."""
 
+import time
 import uuid
 
 from pyspark.ml import PipelineModel
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trafficwarden.operators import estimators as E
 from trafficwarden.operators import lifecycle as L
-from trafficwarden.operators.order import kept, shared_folder
+from trafficwarden.operators.order import kept, shared_folder, spread
 from trafficwarden.plans.text_queries import PLAIN, signature_sql, steps_sql, tagged
 from trafficwarden.plans.traffic import SCORED_SQL, scored, traffic, traffic_sql
 from trafficwarden.streaming import jobs as J
@@ -26,19 +27,36 @@ FILE_ROWS, FILES = 250_000, 4
 
 
 def in_order(rows, base, per_file=FILE_ROWS):
-    """The folder of rows in files of rising ts, written one after the other: a stream takes files by the time they were written.
+    """The folder of rows in files of rising ts: a stream takes files by the time they were written.
 
-    The rows are dealt out once, in parallel; then each range is copied in its turn, so a slow or repeated task can't let a later range come first.
+    The rows are dealt out in ranges and written in parallel; then the files are given times of writing in
+    the order of their ranges, so a slow or repeated task can't let a later range come first. Where the
+    store doesn't take such times, each range is copied in its turn instead.
     """
     spark = rows.sparkSession
     rows.write.parquet(f"{base}/rows")
     kept = spark.read.schema(rows.schema).parquet(f"{base}/rows")
     files = max(FILES, -(-kept.count() // per_file))
-    kept.repartitionByRange(files, "ts").withColumn("_range", F.spark_partition_id()).write.partitionBy("_range").parquet(f"{base}/ranges")
+    dealt = kept.repartitionByRange(files, "ts").sortWithinPartitions("ts")
+    dealt.write.option("maxRecordsPerFile", 0).parquet(f"{base}/in")  # a file for each range, numbered by it
+    if _dated(spark, f"{base}/in"):
+        return f"{base}/in"
+    spark.read.schema(rows.schema).parquet(f"{base}/in").withColumn("_range", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")).write.partitionBy("_range").parquet(f"{base}/ranges")
     dealt = spark.read.parquet(f"{base}/ranges").select("_range").distinct().collect()  # a row for each file
     for r in sorted(r["_range"] for r in dealt):
-        spark.read.schema(rows.schema).parquet(f"{base}/ranges/_range={r}").coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(f"{base}/in")
-    return f"{base}/in"
+        spark.read.schema(rows.schema).parquet(f"{base}/ranges/_range={r}").coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(f"{base}/copied")
+    return f"{base}/copied"
+
+
+def _dated(spark, folder):
+    """Give the files of a folder times of writing that rise with their names; whether the store took them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in store.listStatus(path) if f.getPath().getName().startswith("part-")), key=lambda p: (len(p.getName()), p.getName()))
+    times = [(int(time.time()) - len(files) + i) * 1000 for i in range(len(files))]
+    for p, at in zip(files, times):
+        store.setTimes(p, at, -1)
+    return all(store.getFileStatus(p).getModificationTime() == at for p, at in zip(files, times))
 
 
 def streamed(job, sort=True):
@@ -87,7 +105,7 @@ def fitted_stages(rows, algorithm="local_outlier_factor"):
 def _model_verdicts(s, d):
     """Verdicts of the promoted models over the stream: one that never saw stacked queries, then, after half of the batches, one that did."""
     base, rows = _folder(s), _rows(s, d)
-    train = tagged(s, d).filter("id % 3 = 0")
+    train = kept(spread(tagged(s, d).filter("id % 3 = 0").select("id", "query_raw", "label")))
     for version, part in (("1.0", train.filter("label < 5")), ("2.0", train)):
         fitted_stages(part, "isolation_forest").save(f"{base}/models/{version}")
     files, log = in_order(rows, base), [(1, "branch1", "promote", "1.0"), (2, "branch1", "promote", "2.0")]

@@ -14,6 +14,7 @@ from trafficwarden.functions import features as X
 from trafficwarden.functions import text as T
 from trafficwarden.operators import drift as R
 from trafficwarden.operators.decide import decide
+from trafficwarden.operators.order import spread
 from trafficwarden.streaming.state import hold_timeouts, sustained_breaches  # noqa: F401
 
 EVENTS = "id long, ts timestamp, client long, query_raw string, is_attack boolean, predicted string, confidence double, score double, label_name string"
@@ -126,7 +127,7 @@ class ModelVerdicts:
         """df with what the version's stages say and the action."""
         if version not in self.known:
             self.known = {version: self.load(version)}  # the one before is not needed any more
-        rows = self.known[version].transform(df.drop(*self.KEEP))
+        rows = self.known[version].transform(spread(df.drop(*self.KEEP)))
         out = decide(rows.withColumns({"is_anomaly": F.col("is_anomaly") == 1, "session_attack": F.lit(None).cast("boolean")}))
         return out.select("id", "ts", "query_canonical", *self.KEEP, F.lit(version).alias("version"))
 
