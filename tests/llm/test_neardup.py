@@ -53,3 +53,35 @@ def test_run_hashes_are_of_the_words():
     hashes, counts, *_ = N.run_hashes(pa.array(["a b c d e f", "A, b c d e; f", None, "b c d e f"]))
     assert counts.tolist() == [2, 2, 0, 1]
     assert hashes[:2].tolist() == hashes[2:4].tolist() and hashes[4] == hashes[1]
+
+
+def _written(monkeypatch):
+    """Names of the tables that are written, and the lines of their plans."""
+    found, write = [], N.materialise
+    monkeypatch.setattr(N, "materialise", lambda df, tag: (found.append((tag, df._jdf.queryExecution().optimizedPlan().toString().count("\n"))), write(df, tag))[1])
+    return found
+
+
+def test_components_of_chains_stars_and_pairs(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 6)
+    rng = np.random.default_rng(3)
+    links = [(i, i + 1) for i in range(100, 140)] + [(500, i) for i in range(501, 530)] + [(700 + i, 699) for i in range(20)] + [(5, 5), (9, 8), (8, 9)]
+    links += [tuple(int(x) for x in rng.integers(1000, 1060, 2)) for _ in range(50)]
+    head = {x: x for pair in links if pair[0] != pair[1] for x in pair}
+    for _ in range(len(head)):
+        for a, b in links:
+            if a != b:
+                head[a] = head[b] = min(head[a], head[b])
+    got = [tuple(r) for r in N.components(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert sorted(got) == sorted(head.items())
+    assert N.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_stars_need_no_step_and_plans_stay_small(spark, monkeypatch):
+    """Each plan and task leaves its trace on the driver: stars are known at once, a table without frequent keys is joined once."""
+    found = _written(monkeypatch)
+    got = {r.uid: r.comp for r in N.components(spark.createDataFrame([(2, 1), (3, 1), (9, 7)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 7: 7, 9: 7} and [t for t, _ in found] == ["edges", "nodes"]
+    found.clear()
+    assert N.components(spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")).filter("comp = 0").count() == 31
+    assert max(n for _, n in found) <= 12

@@ -214,13 +214,21 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float, tag: str) -> Da
     return materialise(both.mapInArrow(_verified(threshold), "a long, b long"), tag)
 
 
-def joined(rows: DataFrame, small: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def joined(rows: DataFrame, small: DataFrame, key: str, size: str, total: int, most: int | None = None) -> DataFrame:
     """rows joined with small, which has a row for each key and in ``size`` how many rows have it (dropped), of ``total`` rows.
 
     Keys with more than a ``HOT``-th of all rows (at least ``HOT`` rows) are ``HOT`` at most: they are
-    broadcast, so that their rows stay where they are. The others are joined by a shuffle.
+    broadcast, so that their rows stay where they are. The others are joined by a shuffle; without
+    such keys it is a plain join. most is the largest size, where small is a written table
+    of known sizes; else small is written first, as the plan would hold it three times.
     """
-    hot = F.col(size) > max(HOT, total // HOT)
+    if most is None:
+        small = materialise(small, "keys")
+        most = small.agg(F.max(size)).first()[0]
+    many = max(HOT, total // HOT)
+    if (most or 0) <= many:
+        return rows.join(small.drop(size), key)
+    hot = F.col(size) > many
     few = F.broadcast(small.filter(hot).drop(size))
     rest = rows.join(few.select(key), key, "left_anti").join(small.filter(~hot).drop(size), key)
     return rest.unionByName(rows.join(few, key))
@@ -229,30 +237,24 @@ def joined(rows: DataFrame, small: DataFrame, key: str, size: str, total: int) -
 def components(links: DataFrame) -> DataFrame:
     """uid, comp: the smallest node of the component, for every node of links (a, b).
 
-    Alternating large-star and small-star steps; the tables lie in the shared folder, the driver
-    reads counts alone.
+    Alternating large-star and small-star steps, until every edge leads from a node of no other edge
+    to one that is the smallest of its edges; the tables lie in the shared folder, the driver reads
+    counts alone.
     """
-    def both_ways(e: DataFrame) -> DataFrame:
-        return e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    def check(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
     edges = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = check(edges)
-    while seen[0]:
-        near = both_ways(edges)
-        least = near.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("size")).select("a", F.least("a", "m").alias("m"), "size")
-        large = joined(near.filter("b > a"), least, "a", "size", seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    while True:
+        near = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        nodes = near.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("size"), F.count_if(F.col("b") < F.col("a")).alias("up"))
+        nodes = materialise(nodes.select("a", F.least("a", "m").alias("m"), "size", "up"), "nodes")
+        n, most, up, middle = nodes.agg(F.sum("size"), F.max("size"), F.max("up"), F.max(F.least("up", "size"))).first()
+        if not n or up == 1 and middle == 0:
+            return nodes.select(F.col("a").alias("uid"), F.col("m").alias("comp"))
+        large = joined(near.filter("b > a"), nodes.select("a", "m", "size"), "a", "size", n, most).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = materialise(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size"))
-        small = joined(large, least, "a", "size", seen[0]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size")), "least")
+        n, most = least.agg(F.sum("size"), F.max("size")).first()
+        small = joined(large, least, "a", "size", n, most).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
         edges = materialise(small, "small")
-        now = check(edges)
-        if now == seen:
-            break
-        seen = now
-    return edges.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "uid").unionAll(edges.select(F.col("b").alias("uid"), F.col("b").alias("comp")).distinct())
 
 
 def _block(threshold: float):
