@@ -14,9 +14,9 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
-def confusion(df: DataFrame, truth: str = "label_name", predicted: str = "predicted") -> DataFrame:
-    """truth, predicted, n of the pairs that occur."""
-    return df.groupBy(F.col(truth).cast("string").alias("truth"), F.col(predicted).cast("string").alias("predicted")).agg(F.count("*").alias("n"))
+def confusion(df: DataFrame, truth: str = "label_name", predicted: str = "predicted", rows: str | None = None) -> DataFrame:
+    """truth, predicted, n of the pairs that occur. With rows each row counts as often as that column says."""
+    return df.groupBy(F.col(truth).cast("string").alias("truth"), F.col(predicted).cast("string").alias("predicted")).agg((F.sum(rows) if rows else F.count("*")).alias("n"))
 
 
 def class_report(cells: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from trafficwarden.operators import drift as R
 from trafficwarden.operators import lifecycle as L
 from trafficwarden.operators import metrics as M
 from trafficwarden.operators import models as ML
+from trafficwarden.operators.order import spread
 from trafficwarden.sources.readers import append_ledger, read_ledger
 from trafficwarden.sources.versions import VersionLedger
 
@@ -34,10 +35,10 @@ def _kept(df: DataFrame, path: str) -> DataFrame:
 
 
 def evaluate_on_golden(model, golden: DataFrame, fresh: DataFrame | None = None, text: str = "query_canonical") -> DataFrame:
-    """One row: the gate evaluation of a model on golden rows (and held-out rows of a new class)."""
+    """One row: the gate evaluation of a model on golden rows (and held-out rows of a new class). Rows of one text and class are scored once."""
     rows = golden if fresh is None else L.with_new_class(golden, fresh)
-    scored = ML.classify(model, rows.withColumn("label_name", label_name(F.col("label"))), text)
-    return M.gate_evaluation(M.confusion(scored))
+    different = rows.groupBy(F.col(text).cast("string").alias(text), label_name(F.col("label")).alias("label_name")).agg(F.count("*").alias("_rows"))
+    return M.gate_evaluation(M.confusion(ML.classify(model, spread(different), text), rows="_rows"))
 
 
 def _ids_hash(df: DataFrame) -> str:
