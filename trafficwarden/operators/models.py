@@ -33,8 +33,8 @@ from trafficwarden.operators.order import kept, quantiles, shared_folder
 # Classifier.
 
 VOCABULARY = 50_000
-#: Different training rows of a part, at most.
-PART_ROWS = 50_000
+#: Different training rows of a part, at most, and characters of their texts: their n-grams take some 35 bytes for each.
+PART_ROWS, PART_CHARS = 50_000, 4_000_000
 #: Parts whose sums are added up in one step.
 FEW_PARTS = 4
 
@@ -102,7 +102,7 @@ def fit_classifier(df: DataFrame, text: str = "query_canonical", label: str = "l
     regression or of Bayes as it is. Trees, which draw rows, and the perceptron take each row by itself.
     """
     different = kept(df.groupBy(F.col(text).cast("string").alias(text), F.col(label).cast("double").alias("_y")).agg(F.count("*").alias("_rows")))
-    size = different.agg(F.sum("_rows").alias("n"), F.count("*").alias("m")).first()
+    size = different.agg(F.sum("_rows").alias("n"), F.count("*").alias("m"), F.sum(F.length(text)).alias("chars")).first()
     n = size.n or 0
     tfidf = fit_tfidf(different, n, text, vocabulary, "_rows")
     estimator = estimator or LogisticRegression(family="multinomial", regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=iterations, tol=1e-4)
@@ -112,13 +112,13 @@ def fit_classifier(df: DataFrame, text: str = "query_canonical", label: str = "l
     if isinstance(estimator, (LogisticRegression, NaiveBayes)):
         # small rows, much work on each: more parts than their bytes would give
         cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = max(cores, -(-size.m // PART_ROWS))
-        rows = different.repartition(parts).withColumn("_weight", F.col("_rows").cast("double"))
+        least = max(-(-size.m // PART_ROWS), -(-(size.chars or 0) // PART_CHARS))
+        rows = different.repartition(max(cores, least)).withColumn("_weight", F.col("_rows").cast("double"))
         estimator.setWeightCol("_weight")
-        if size.m <= FEW_PARTS * PART_ROWS:
+        if least <= FEW_PARTS:
             # few rows: an iteration takes less time than the sums of many parts, so the n-grams are found on all cores and kept in few
             ready = kept(tfidf.transform(with_grams(rows, text)).select("_y", "_weight", "tfidf"))
-            return PipelineModel([*tfidf.stages, estimator.fit(ready.coalesce(min(FEW_PARTS, cores)))])
+            return PipelineModel([*tfidf.stages, estimator.fit(ready.coalesce(max(least, min(FEW_PARTS, cores))))])
     else:
         rows = df.withColumn("_y", F.col(label).cast("double"))
     return PipelineModel([*tfidf.stages, estimator.fit(tfidf.transform(with_grams(rows, text)))])
