@@ -174,8 +174,8 @@ def rehearsal_pool(base: DataFrame, new: DataFrame, fraction: float, key: str, s
 
 
 def reservoir(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
-    """So many rows by hash."""
-    return df.withColumn("_h", sample_key(key, seed)).orderBy("_h", key).limit(rows).drop("_h")
+    """So many rows by hash, ranked within buckets of it: no task holds them all."""
+    return take(df, [], key, F.lit(rows), seed)
 
 
 def with_replacement(df: DataFrame, key: str, rows: int, seed: int = 0) -> DataFrame:
