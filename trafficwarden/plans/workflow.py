@@ -132,7 +132,7 @@ def ablation_arms(base: DataFrame, fresh: DataFrame, golden: DataFrame, config:
         return pool.agg(F.sum("_rows")).first()[0] or 0, _evaluated(ML.fit_counted(pool, **options), asked).first()
 
     rows, champion = [], None
-    for name, (size, e) in zip(arms, ML.side_by_side([partial(run, parts) for parts in arms.values()], old)):
+    for name, (size, e) in zip(arms, ML.side_by_side([partial(run, parts) for parts in arms.values()], old.count())):
         pack = ("1.1", e.f1_macro, e.fpr, e.per_class_recall)
         champion = champion or ("1.0", *pack[1:])
         recall = [e.per_class_recall.get(c, 0.0) for c in new]
