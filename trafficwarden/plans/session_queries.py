@@ -1,6 +1,7 @@
 """Queries of the session correlator and of saved models, over sessions of derived traffic."""
 
 import uuid
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer
@@ -12,6 +13,7 @@ from trafficwarden.operators import curate as C
 from trafficwarden.operators import decide as D
 from trafficwarden.operators import estimators as E
 from trafficwarden.operators import metrics as M
+from trafficwarden.operators import models as ML
 from trafficwarden.operators import sessions as S
 from trafficwarden.operators.order import kept, shared_folder
 from trafficwarden.plans.text_queries import tagged, tagged_sql
@@ -29,21 +31,26 @@ def _named(rows):
     return rows.withColumns({"session_id": F.concat_ws("-", F.col("client").cast("string"), "session_kind", week), "session_label": F.when(F.col("label") == 0, 0).when(F.col("label") == 3, 1).otherwise(2)})
 
 
-def _whole_sessions(s, d):
+def _whole_sessions(rows):
     """Steps of a client's benign, boolean and time based queries of a week, each kind a session of its own."""
-    return S.with_steps(_named(tagged(s, d)))
+    return S.with_steps(_named(rows))
 
 
-def _session_corpus(s, d):
+def _session_corpus(rows):
     """The same, and attacks of the other classes split over the steps of a session; with a split by session."""
-    whole = _whole_sessions(s, d).select(*STEPS)
-    split = C.fragment_sessions(tagged(s, d).filter("label in (1, 2, 5)"), "query_raw", "id")
+    whole = _whole_sessions(rows).select(*STEPS)
+    split = C.fragment_sessions(rows.filter("label in (1, 2, 5)"), "query_raw", "id")
     split = T.canonicalize(split).withColumn("session_kind", F.lit(KINDS[3])).select(*STEPS)
     return kept(C.split_by_entity(whole.unionByName(split), "session_id", 0.3))
 
 
-def _content(s, d, without=None):
-    rows = tagged(s, d).filter(~_tested(F.col("id")))
+def _traffic(s, d):
+    """Tagged traffic, written once: models, sessions and tested queries are all made of it."""
+    return kept(tagged(s, d).select("id", "ts", "client", "is_attack", "query_raw", "query_canonical", "label"))
+
+
+def _content(rows, without=None):
+    rows = rows.filter(~_tested(F.col("id")))
     return E.TextClassifier().fit(rows if without is None else rows.filter(F.col("label") != without))
 
 
@@ -52,19 +59,21 @@ def _tested(key):
     return F.conv(F.substring(C.sample_key(key), 1, 4), 16, 10).cast("int") % 4 == 0
 
 
-def _detector(s, d, algorithm="local_outlier_factor"):
-    benign = tagged(s, d).filter((F.col("label") == 0) & ~_tested(F.col("id")))
+def _detector(rows, algorithm="local_outlier_factor"):
+    benign = rows.filter((F.col("label") == 0) & ~_tested(F.col("id")))
     return E.AnomalyDetector(algorithm=algorithm, features=FEATURES, logged=["length"]).fit(X.with_features(benign, names=FEATURES))
 
 
-def _fitted(s, d):
-    steps = _session_corpus(s, d)
-    model = E.SessionCorrelator(content=_content(s, d), detector=_detector(s, d)).fit(steps.filter("split = 'train'"))
-    return model, steps.filter("split = 'test'")
+def _fitted(rows, *without):
+    """The correlator, its tested steps, and a content model without each of the classes; small models are fitted at the same time."""
+    jobs = [partial(_session_corpus, rows), partial(_detector, rows), partial(_content, rows), *(partial(_content, rows, c) for c in without)]
+    steps, detector, content, *others = ML.side_by_side(jobs, rows.count())
+    model = E.SessionCorrelator(content=content, detector=detector).fit(steps.filter("split = 'train'"))
+    return model, steps.filter("split = 'test'"), *others
 
 
 def _judged(s, d):
-    model, steps = _fitted(s, d)
+    model, steps = _fitted(_traffic(s, d))
     kinds = steps.groupBy("session_id").agg(F.max("session_kind").alias("session_kind"))
     return model.transform(steps).join(kinds, "session_id")
 
@@ -77,18 +86,19 @@ def _report(s, d):
 
 def _zero_day(s, d):
     """Sessions of boolean based attacks before a content model that never saw the class, beside the one that did."""
-    model, steps = _fitted(s, d)
+    model, steps, never = _fitted(_traffic(s, d), 3)
     blind = kept(steps.filter(F.col("session_kind") == KINDS[1]))
-    rows = [(name, E.zero_day_sessions(model, content, blind)) for name, content in (("known", model.content), ("never seen", _content(s, d, 3)))]
+    rows = [(name, E.zero_day_sessions(model, content, blind)) for name, content in (("known", model.content), ("never seen", never))]
     return rows[0][1].withColumn("content_model", F.lit(rows[0][0])).unionByName(rows[1][1].withColumn("content_model", F.lit(rows[1][0])))
 
 
 def _all_checks(s, d):
     """An action for every tested query: classifier, detector and correlator, all fitted."""
-    model, _ = _fitted(s, d)
-    rows = kept(tagged(s, d).filter(_tested(F.col("id"))))
+    traffic = _traffic(s, d)
+    model, _ = _fitted(traffic)
+    rows = kept(traffic.filter(_tested(F.col("id"))))
     one = model.content.transform(rows).select("id", "client", "ts", "query_canonical", "is_sqli")
-    anomaly = model.detector.transform(X.with_features(rows, names=FEATURES)).select("id", "anomaly_score", "is_anomaly")
+    anomaly = model.detector.transform(X.with_features(rows.select("id", "query_canonical"), names=FEATURES)).select("id", "anomaly_score", "is_anomaly")
     steps = kept(S.with_steps(S.idle_gap_sessions(one.join(anomaly, "id"), idle=21600)))
     session = model.transform(steps).select("session_id", F.col("is_attack").alias("session_attack"))
     return D.decide(steps.join(session, "session_id").withColumn("is_anomaly", F.col("is_anomaly") == 1)).select("id", "session_id", "action", "reason")
@@ -102,7 +112,7 @@ CONTENT = f"SELECT *, round(({RULES.format(t='query_canonical')}) / (length(quer
 
 
 def _given(s, d):
-    steps = _whole_sessions(s, d)
+    steps = _whole_sessions(tagged(s, d))
     score = F.round(((F.col("id") * 7919) % 1000) / 1000.0 + F.when(F.col("label") > 0, 0.3).otherwise(0.0), 6)
     steps = kept(C.split_by_entity(steps.withColumn("anomaly_score", score), "session_id", 0.3))
     return E.SessionCorrelator(content=SQLTransformer(statement=CONTENT)).fit(steps.filter("split = 'train'")), steps.filter("split = 'test'")
