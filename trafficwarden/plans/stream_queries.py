@@ -2,12 +2,14 @@
 
 import time
 import uuid
+from functools import partial
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from trafficwarden.operators import estimators as E
 from trafficwarden.operators import lifecycle as L
+from trafficwarden.operators import models as M
 from trafficwarden.operators.order import kept, shared_folder, spread
 from trafficwarden.plans.text_queries import PLAIN, signature_sql, steps_sql, tagged
 from trafficwarden.plans.traffic import SCORED_SQL, scored, traffic, traffic_sql
@@ -106,8 +108,11 @@ def _model_verdicts(s, d):
     """Verdicts of the promoted models over the stream: one that never saw stacked queries, then, after half of the batches, one that did."""
     base, rows = _folder(s), _rows(s, d)
     train = kept(spread(tagged(s, d).filter("id % 3 = 0").select("id", "query_raw", "label")))
-    for version, part in (("1.0", train.filter("label < 5")), ("2.0", train)):
+
+    def fit(version, part):
         fitted_stages(part, "isolation_forest").save(f"{base}/models/{version}")
+
+    M.side_by_side([partial(fit, "1.0", train.filter("label < 5")), partial(fit, "2.0", train)], train.count())
     files, log = in_order(rows, base), [(1, "branch1", "promote", "1.0"), (2, "branch1", "promote", "2.0")]
     batches = []
 
